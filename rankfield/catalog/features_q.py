@@ -216,7 +216,7 @@ def practice_ctes(src: str, p: str) -> None:
         CASE WHEN count(fp_latest_gap_pct) OVER (PARTITION BY series, race_seq, team) >= 2
           THEN fp_latest_gap_pct - min(fp_latest_gap_pct) OVER (PARTITION BY series, race_seq, team) END AS fp_teammate_gap_pct,
         fp2_gap_pct - fp1_gap_pct AS fp_trend_12, fp3_gap_pct - fp2_gap_pct AS fp_trend_23,
-        CASE WHEN len(list_filter([fp1_gap_pct, fp2_gap_pct, fp3_gap_pct], x -> x IS NOT NULL)) >= 2
+        CASE WHEN list_aggregate([fp1_gap_pct, fp2_gap_pct, fp3_gap_pct], 'count') >= 2
           THEN list_aggregate([fp1_gap_pct, fp2_gap_pct, fp3_gap_pct], 'stddev_pop') END AS fp_consistency
         FROM {p}_fp1""",
     )

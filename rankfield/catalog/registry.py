@@ -29,13 +29,14 @@ def _spark_cast(name: str, kind: str):
 
 
 def _sql_cast(name: str, kind: str) -> str:
+    q = f'"{name}"'
     return {
-        "i": f"CAST({name} AS BIGINT)",
-        "d": f"round(CAST({name} AS DOUBLE), 6)",
-        "s": f"CAST({name} AS VARCHAR)",
-        "b": f"CAST({name} AS BOOLEAN)",
-        "t": f"strftime({name}, '%Y-%m-%d %H:%M:%S')",
-    }[kind] + f" AS {name}"
+        "i": f"CAST({q} AS BIGINT)",
+        "d": f"round(CAST({q} AS DOUBLE), 6)",
+        "s": f"CAST({q} AS VARCHAR)",
+        "b": f"CAST({q} AS BOOLEAN)",
+        "t": f"strftime({q}, '%Y-%m-%d %H:%M:%S')",
+    }[kind] + f" AS {q}"
 
 
 def query(name: str, spec: str, sql: str | None = None):

@@ -99,7 +99,7 @@ def resolve_grid(
     cols = [*event, "entity", "position"]
     entrants = frame.select(*event, "entity")
     candidates = (
-        frame.where("grid is not null").withColumn("position", F.col("grid")).select(*cols, F.lit("results").alias("source"))
+        frame.where("grid is not null").select(*event, "entity", F.col("grid").alias("position"), F.lit("results").alias("source"))
         .unionByName(official.select(*cols).withColumn("source", F.lit("official")))
         .unionByName(
             qualifying.withColumnRenamed("quali_position", "position").select(*cols)
@@ -111,15 +111,17 @@ def resolve_grid(
         check_grid(candidates, entrants, event).where(F.size("problems") == 0)
         .groupBy(*event).agg(F.min_by("source", rank).alias("source"))
     )
-    slots = candidates.join(chosen, [*event, "source"]).select(*cols, "source")
+    slots = candidates.join(chosen, [*event, "source"]).select(
+        *event, "entity", F.col("position").alias("_slot"), F.col("source").alias("_source")
+    )
     size = F.count(F.lit(1)).over(W.partitionBy(*event))
-    grid = F.when(F.col("position").isNull() | (F.col("position") == 0), F.col("_n")).otherwise(F.col("position"))
+    grid = F.when(F.coalesce(F.col("_slot"), F.lit(0)) == 0, F.col("_n")).otherwise(F.col("_slot"))
     return (
         frame.drop("grid", "grid_source").withColumn("_n", size)
         .join(slots, [*event, "entity"], "left")
-        .withColumn("grid", F.when(F.col("source").isNotNull(), grid))
-        .withColumn("grid_source", F.when(F.col("grid").isNotNull(), F.col("source")))
-        .drop("_n", "position", "source")
+        .withColumn("grid", F.when(F.col("_source").isNotNull(), grid))
+        .withColumn("grid_source", F.when(F.col("grid").isNotNull(), F.col("_source")))
+        .drop("_n", "_slot", "_source")
     )
 
 

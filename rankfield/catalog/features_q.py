@@ -125,10 +125,7 @@ def _(t):
 
 @query("e14_head_to_head", ROW + "drv_teammate_quali_edge:d", "SELECT * FROM fa_entity")
 def _(t):
-    from ..operators.windows import teammate_gap
-
-    gap = teammate_gap("best_ms", ["series", "race_seq", "team"])
-    return ft.add_edge(t.outcomes.withColumn("quali_gap_to_teammate_pct", gap))
+    return ft.add_edge(t.outcomes)
 
 
 @query(
@@ -137,10 +134,7 @@ def _(t):
     "SELECT * FROM fa_entity JOIN fa_team USING (series, team, race_seq)",
 )
 def _(t):
-    from ..operators.windows import gap_to_best
-
-    gap = gap_to_best("best_ms", ["series", "race_seq"])
-    return ft.add_pace(t.outcomes.withColumn("quali_gap_to_pole_pct", gap))
+    return ft.add_pace(t.outcomes)
 
 
 @query(

@@ -13,13 +13,14 @@ def cte(name: str, body: str) -> None:
 
 def with_ctes(sql: str) -> str:
     used: list[str] = []
+    open_: set[str] = set()
 
     def visit(text: str) -> None:
         for name in CTES:
-            if name not in used and re.search(rf"\b{name}\b", text):
+            if name not in used and name not in open_ and re.search(rf"\b(FROM|JOIN)\s+{name}\b|,\s*{name}\s+[a-z]", text):
+                open_.add(name)
                 visit(CTES[name])
-                if name not in used:
-                    used.append(name)
+                used.append(name)
 
     visit(sql)
     if not used:

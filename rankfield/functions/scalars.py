@@ -36,12 +36,12 @@ def is_finished(status: str | Column) -> Column:
 def lap_time_ms(text: str | Column) -> Column:
     """'M:SS.fff' or 'SS.fff' to milliseconds; anything else is null."""
     c = F.trim(col(text))
-    pattern = r"^(?:(\d+):)?(\d{1,2})(?:\.(\d+))?$"
+    pattern = r"^(?:(\d+):)?(\d{1,2})\.(\d+)$"
 
     def part(i: int) -> Column:
         return F.nullif(F.regexp_extract(c, pattern, i), F.lit(""))
 
-    millis = F.substring(F.rpad(F.coalesce(part(3), F.lit("0")), 3, "0"), 1, 3).cast("long")
+    millis = F.substring(F.rpad(part(3), 3, "0"), 1, 3).cast("long")
     return F.when(
         c.rlike(pattern),
         F.coalesce(part(1).cast("long"), F.lit(0)) * 60000 + part(2).cast("long") * 1000 + millis,

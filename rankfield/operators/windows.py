@@ -50,34 +50,37 @@ def prior_by_event(
     seq: str,
     member: str,
     specs: dict[str, tuple[str, str, int | None, str]],
-    skip_nulls: bool = False,
+    skip_nulls: bool | tuple[str, ...] = False,
 ) -> DataFrame:
     """Collapse a group to one value per event, then look back over earlier events.
 
     specs: out -> (column, collapse, n, statistic); n counts events, or only
-    events with a value when skip_nulls; None looks back to the start."""
+    events with a value for the outputs in skip_nulls (True = all of them);
+    None looks back to the start."""
+    skipping = set(specs) if skip_nulls is True else set(skip_nulls or ())
     keys = sorted({(c, how) for c, how, _, _ in specs.values()})
     value = {k: f"_v{i}" for i, k in enumerate(keys)}
     event = W.partitionBy(*group, seq)
     history = W.partitionBy(*group).orderBy(seq)
-    first = F.row_number().over(event.orderBy(member)) == 1
-    df = df.withColumn("_first", first).withColumns(
+    before = history.rangeBetween(W.unboundedPreceding, -1)
+    df = df.withColumn("_first", F.row_number().over(event.orderBy(member)) == 1).withColumns(
         {v: F.when(F.col("_first"), _AGG[how](c).over(event)) for (c, how), v in value.items()}
     )
-    before = history.rangeBetween(W.unboundedPreceding, -1)
-    if skip_nulls:
-        df = df.withColumns({f"{v}n": F.count(v).over(before) for v in value.values()})
-    else:
-        df = df.withColumn("_turn", F.dense_rank().over(history))
+    counted = sorted({value[s[:2]] for o, s in specs.items() if o in skipping and s[2] is not None})
+    helpers = {f"{v}n": F.count(v).over(before) for v in counted}
+    if any(s[2] is not None for o, s in specs.items() if o not in skipping):
+        helpers["_turn"] = F.dense_rank().over(history)
+    if helpers:
+        df = df.withColumns(helpers)
     out = {}
     for name, (c, how, n, stat) in specs.items():
         v = value[(c, how)]
         if n is None:
             frame = before
         else:
-            frame = W.partitionBy(*group).orderBy(f"{v}n" if skip_nulls else "_turn").rangeBetween(-n, -1)
+            frame = W.partitionBy(*group).orderBy(f"{v}n" if name in skipping else "_turn").rangeBetween(-n, -1)
         out[name] = _AGG[stat](v).over(frame)
-    return df.withColumns(out).drop("_first", "_turn", *value.values(), *[f"{v}n" for v in value.values()])
+    return df.withColumns(out).drop("_first", *helpers, *value.values())
 
 
 def prior_count(by: list[str], seq: str) -> Column:

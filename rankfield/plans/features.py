@@ -46,142 +46,117 @@ def previous_standing(df: DataFrame, standings: DataFrame) -> DataFrame:
     return out.withColumn("champ_points_before", start.otherwise(F.col("champ_points_before")))
 
 
+# What each window group reads: out -> (column, n, statistic), or for groups of
+# several entrants (column, collapse, n, statistic).
+GAP = "quali_gap_to_pole_pct"
+FORM_VALID = {
+    "drv_avg_finish_3": ("finish_when_running", 3, "median"),
+    "drv_avg_finish_5": ("finish_when_running", 5, "median"),
+}
+FORM_ROWS = {
+    "drv_avg_grid_5": ("grid", 5, "mean"),
+    "drv_points_rate_5": ("points", 5, "mean"),
+    "drv_dnf_rate_10": ("dnf_flag", 10, "mean"),
+}
+TEAM_FORM_VALID = {
+    "team_avg_finish_3": ("finish_when_running", "mean", 3, "median"),
+    "team_avg_finish_5": ("finish_when_running", "mean", 5, "median"),
+}
+TEAM_FORM_ROWS = {
+    "team_points_rate_5": ("points", "sum", 5, "mean"),
+    "team_dnf_rate_10": ("dnf_flag", "mean", 10, "mean"),
+}
+QUALI_ROWS = {
+    "drv_avg_quali_3": ("quali_position", 3, "mean"),
+    "drv_avg_quali_5": ("quali_position", 5, "mean"),
+    "drv_pole_rate_10": ("pole_flag", 10, "mean"),
+    "drv_quali_top3_rate_10": ("quali_top3_flag", 10, "mean"),
+}
+TEAM_QUALI_ROWS = {"team_avg_quali_5": ("quali_position", "min", 5, "mean")}
+EDGE_VALID = {"drv_teammate_quali_edge": ("_edge", 5, "mean")}
+PACE_ROWS = {"drv_pace_gap_pct": (GAP, 5, "mean")}
+TEAM_PACE_ROWS = {
+    "team_pace_gap_pct": (GAP, "min", 5, "mean"),
+    "_recent": (GAP, "min", 3, "mean"),
+    "_longer": (GAP, "min", 8, "mean"),
+}
+CRAFT_VALID = {"drv_positions_gained_5": ("positions_gained", 5, "mean")}
+CRAFT_ROWS = {"drv_podium_rate_10": ("podium_flag", 10, "mean"), "drv_top10_rate_10": ("top10_flag", 10, "mean")}
+
+
+def with_stat(specs: dict, stat: str) -> dict:
+    """The form windows with another statistic than the median."""
+    return {o: (*s[:-1], stat) for o, s in specs.items()}
+
+
 def add_form(df: DataFrame, stat: str = "median") -> DataFrame:
-    df = prior_valid(
-        df,
-        ENTITY,
-        SEQ,
-        {
-            "drv_avg_finish_3": ("finish_when_running", 3, stat),
-            "drv_avg_finish_5": ("finish_when_running", 5, stat),
-        },
-    )
-    df = prior_rolling(
-        df,
-        ENTITY,
-        SEQ,
-        {
-            "drv_avg_grid_5": ("grid", 5, "mean"),
-            "drv_points_rate_5": ("points", 5, "mean"),
-            "drv_dnf_rate_10": ("dnf_flag", 10, "mean"),
-        },
-    ).withColumn("drv_experience", prior_count(ENTITY, SEQ))
-    df = prior_by_event(
-        df,
-        TEAM,
-        SEQ,
-        "entity",
-        {
-            "team_avg_finish_3": ("finish_when_running", "mean", 3, stat),
-            "team_avg_finish_5": ("finish_when_running", "mean", 5, stat),
-        },
-        skip_nulls=True,
-    )
-    return prior_by_event(
-        df,
-        TEAM,
-        SEQ,
-        "entity",
-        {
-            "team_points_rate_5": ("points", "sum", 5, "mean"),
-            "team_dnf_rate_10": ("dnf_flag", "mean", 10, "mean"),
-        },
-    )
+    df = prior_valid(df, ENTITY, SEQ, with_stat(FORM_VALID, stat))
+    df = prior_rolling(df, ENTITY, SEQ, FORM_ROWS).withColumn("drv_experience", prior_count(ENTITY, SEQ))
+    team = {**with_stat(TEAM_FORM_VALID, stat), **TEAM_FORM_ROWS}
+    return prior_by_event(df, TEAM, SEQ, "entity", team, tuple(TEAM_FORM_VALID))
 
 
 def add_venue_history(df: DataFrame) -> DataFrame:
     df = prior_valid(
         df, [*ENTITY, "venue"], SEQ, {"drv_circuit_avg_finish": ("finish_when_running", None, "mean")}
     ).withColumn("drv_circuit_starts", prior_count([*ENTITY, "venue"], SEQ))
-    return prior_by_event(
-        df,
-        [*TEAM, "venue"],
-        SEQ,
-        "entity",
-        {"team_circuit_avg_finish": ("finish_when_running", "mean", None, "mean")},
-        skip_nulls=True,
-    )
+    past = {"team_circuit_avg_finish": ("finish_when_running", "mean", None, "mean")}
+    return prior_by_event(df, [*TEAM, "venue"], SEQ, "entity", past, True)
 
 
 def add_venue_profile(df: DataFrame) -> DataFrame:
     ran = F.col("position").isNotNull()
+    pole_win = F.coalesce((F.col("grid") == 1) & (F.col("position") == 1), F.lit(False)).cast("int")
     df = df.withColumns(
         {
             "_moved": F.when(ran, F.abs(F.col("grid") - F.col("finish_or_last"))),
-            "_pole_win": F.when(
-                ran, F.coalesce((F.col("grid") == 1) & (F.col("position") == 1), F.lit(False)).cast("int")
-            ),
+            "_pole_win": F.when(ran, pole_win),
         }
     )
-    return prior_by_event(
-        df,
-        VENUE,
-        SEQ,
-        "entity",
-        {
-            "circuit_overtaking_score": ("_moved", "mean", None, "mean"),
-            "circuit_dnf_rate": ("dnf_flag", "mean", None, "mean"),
-            "circuit_pole_win_rate": ("_pole_win", "max", None, "mean"),
-        },
-    ).drop("_moved", "_pole_win")
+    past = {
+        "circuit_overtaking_score": ("_moved", "mean", None, "mean"),
+        "circuit_dnf_rate": ("dnf_flag", "mean", None, "mean"),
+        "circuit_pole_win_rate": ("_pole_win", "max", None, "mean"),
+    }
+    return prior_by_event(df, VENUE, SEQ, "entity", past).drop("_moved", "_pole_win")
 
 
-def add_quali(df: DataFrame) -> DataFrame:
-    df = df.withColumns(
+def weekend_inputs(df: DataFrame) -> DataFrame:
+    """This event's gaps, flags and places gained: what the windows look back on."""
+    return df.withColumns(
         {
-            "quali_gap_to_pole_pct": gap_to_best("best_ms", THIS_EVENT),
+            GAP: gap_to_best("best_ms", THIS_EVENT),
             "quali_gap_to_teammate_pct": teammate_gap("best_ms", [*THIS_EVENT, "team"]),
             "pole_flag": (F.col("quali_position") == 1).cast("int"),
             "quali_top3_flag": (F.col("quali_position") <= 3).cast("int"),
+            "positions_gained": F.col("grid") - F.col("finish_when_running"),
         }
-    )
-    df = prior_rolling(
-        df,
-        ENTITY,
-        SEQ,
-        {
-            "drv_avg_quali_3": ("quali_position", 3, "mean"),
-            "drv_avg_quali_5": ("quali_position", 5, "mean"),
-            "drv_pole_rate_10": ("pole_flag", 10, "mean"),
-            "drv_quali_top3_rate_10": ("quali_top3_flag", 10, "mean"),
-        },
-    )
-    df = prior_by_event(df, TEAM, SEQ, "entity", {"team_avg_quali_5": ("quali_position", "min", 5, "mean")})
-    return add_edge(df)
+    ).withColumn("_edge", clip("quali_gap_to_teammate_pct", -TEAMMATE_GAP_CLIP, TEAMMATE_GAP_CLIP))
+
+
+def add_quali(df: DataFrame) -> DataFrame:
+    df = prior_rolling(weekend_inputs(df), ENTITY, SEQ, QUALI_ROWS)
+    df = prior_by_event(df, TEAM, SEQ, "entity", TEAM_QUALI_ROWS)
+    return prior_valid(df, ENTITY, SEQ, EDGE_VALID).drop("_edge")
 
 
 def add_edge(df: DataFrame) -> DataFrame:
     """Clipped head-to-head against the team-mate over the last five comparisons."""
-    df = df.withColumn("_edge", clip("quali_gap_to_teammate_pct", -TEAMMATE_GAP_CLIP, TEAMMATE_GAP_CLIP))
-    return prior_valid(df, ENTITY, SEQ, {"drv_teammate_quali_edge": ("_edge", 5, "mean")}).drop("_edge")
+    return prior_valid(weekend_inputs(df), ENTITY, SEQ, EDGE_VALID).drop("_edge")
 
 
 def add_pace(df: DataFrame) -> DataFrame:
-    """Needs quali_gap_to_pole_pct (add_quali)."""
-    gap = "quali_gap_to_pole_pct"
-    df = prior_by_event(
-        df,
-        TEAM,
-        SEQ,
-        "entity",
-        {
-            "team_pace_gap_pct": (gap, "min", 5, "mean"),
-            "_recent": (gap, "min", 3, "mean"),
-            "_longer": (gap, "min", 8, "mean"),
-        },
-    ).withColumn("team_pace_trend", F.col("_recent") - F.col("_longer"))
-    return prior_rolling(df, ENTITY, SEQ, {"drv_pace_gap_pct": (gap, 5, "mean")}).drop("_recent", "_longer")
+    df = prior_by_event(weekend_inputs(df), TEAM, SEQ, "entity", TEAM_PACE_ROWS)
+    return prior_rolling(_trend(df), ENTITY, SEQ, PACE_ROWS).drop("_edge")
+
+
+def _trend(df: DataFrame) -> DataFrame:
+    return df.withColumn("team_pace_trend", F.col("_recent") - F.col("_longer")).drop("_recent", "_longer")
 
 
 def add_racecraft(df: DataFrame) -> DataFrame:
-    df = df.withColumn("positions_gained", F.col("grid") - F.col("finish_when_running"))
-    df = prior_valid(df, ENTITY, SEQ, {"drv_positions_gained_5": ("positions_gained", 5, "mean")})
-    return prior_rolling(
-        df,
-        ENTITY,
-        SEQ,
-        {"drv_podium_rate_10": ("podium_flag", 10, "mean"), "drv_top10_rate_10": ("top10_flag", 10, "mean")},
-    )
+    df = prior_valid(weekend_inputs(df), ENTITY, SEQ, CRAFT_VALID)
+    return prior_rolling(df, ENTITY, SEQ, CRAFT_ROWS).drop("_edge")
 
 
 def practice_pivot(pace: DataFrame, calendar: DataFrame) -> DataFrame:
@@ -273,15 +248,19 @@ def add_progress(df: DataFrame, calendar: DataFrame) -> DataFrame:
 
 
 def add_all(df: DataFrame, stat: str = "median") -> DataFrame:
-    """Every window feature and the labels, on a frame with inputs joined."""
-    for step in (
-        lambda d: add_form(d, stat), add_venue_history, add_venue_profile, add_quali, add_pace, add_racecraft,
-        add_practice,
-    ):
-        df = step(df)
+    """Every window feature and the labels, on a frame with inputs joined.
+
+    The groups above share their windows here: one pass per partition key."""
+    df = weekend_inputs(df)
+    df = prior_valid(df, ENTITY, SEQ, {**with_stat(FORM_VALID, stat), **EDGE_VALID, **CRAFT_VALID})
+    df = prior_rolling(df, ENTITY, SEQ, {**FORM_ROWS, **QUALI_ROWS, **PACE_ROWS, **CRAFT_ROWS})
+    df = df.withColumn("drv_experience", prior_count(ENTITY, SEQ))
+    team = {**with_stat(TEAM_FORM_VALID, stat), **TEAM_FORM_ROWS, **TEAM_QUALI_ROWS, **TEAM_PACE_ROWS}
+    df = _trend(prior_by_event(df, TEAM, SEQ, "entity", team, tuple(TEAM_FORM_VALID)))
+    df = add_practice(add_venue_profile(add_venue_history(df)))
     return df.withColumns(
         {"race_relevance": relevance("position"), "quali_relevance": relevance("quali_position")}
-    )
+    ).drop("_edge")
 
 
 def frame(t: Tables, results: DataFrame | None = None, upcoming: bool = True, today: Column | None = None,
@@ -309,7 +288,8 @@ def frame(t: Tables, results: DataFrame | None = None, upcoming: bool = True, to
 
 
 def build(t: Tables, upcoming: bool = True, stat: str = "median", results: DataFrame | None = None) -> DataFrame:
-    """The whole feature table."""
+    """The whole feature table, from landed results so that no source is read twice."""
+    t = t.landed()
     return add_all(frame(t, results, upcoming), stat)
 
 

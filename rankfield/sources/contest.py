@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from ..constants import MAX_FIELD, POINTS, SPRINT_POINTS
 from ..operators.windows import event_sequence
-from ..session import tune
+from ..session import ensure_checkpoint_dir, tune
 
 SERIES_SIZE = 20
 EVENT = ["series", "season", "round"]
@@ -38,6 +38,18 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = tune(spark)
         self.folder = str(folder)
+        self.stored = False
+
+    def landed(self) -> Tables:
+        """The same views over stored results: one reliable checkpoint cuts the lineage of them all."""
+        if self.stored:
+            return self
+        ensure_checkpoint_dir(self.spark)
+        out = Tables(self.spark, self.folder)
+        out.stored = True
+        out.__dict__["totals"] = self.totals.checkpoint()
+        out.__dict__["contest"] = out.contest.checkpoint()
+        return out
 
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import laps as op
+from ..session import cut
 from ..sources.contest import Tables
 from .registry import query
 from .sqlbase import cte
@@ -37,7 +38,7 @@ cte("stint_rows", """SELECT DISTINCT pool, session, entity, s.stint, s.ord, sess
   CASE WHEN entity % 11 = 0 AND s.stint = 2 THEN NULL ELSE session * 30 - 30 + s.b END AS lap_end,
   CASE s.stint WHEN 1 THEN CASE WHEN entity % 2 = 0 THEN 'SOFT' ELSE 'MEDIUM' END ELSE 'HARD' END AS compound
   FROM lap_rows, (VALUES (1, 1, 0, 18), (2, 2, 14, 40)) s(stint, ord, a, b)""")
-cte("lap_tagged", """SELECT *, coalesce(clean AND stint IS NOT NULL AND count(*) FILTER (clean AND stint IS NOT NULL) OVER (PARTITION BY pool, session, entity, stint) >= 3, false) AS long_run
+cte("lap_tagged", """SELECT *, coalesce(clean AND stint IS NOT NULL AND count(*) FILTER (clean AND stint IS NOT NULL) OVER (PARTITION BY pool, session, entity, stint) >= 2, false) AS long_run
   FROM (SELECT c.*, (SELECT arg_max(s.stint, s.ord) FROM stint_rows s WHERE (s.pool, s.session, s.entity) = (c.pool, c.session, c.entity) AND c.lap BETWEEN s.lap_start AND s.lap_end) AS stint,
    (SELECT arg_max(s.compound, s.ord) FROM stint_rows s WHERE (s.pool, s.session, s.entity) = (c.pool, c.session, c.entity) AND c.lap BETWEEN s.lap_start AND s.lap_end) AS compound
    FROM lap_clean c)""")
@@ -107,8 +108,7 @@ def _green(t):
 
 
 def _clean(t):
-    d = _green(t)
-    return op.clean_laps(op.mark_in_laps(d, lap_rows(t).where("pitted"), SESSION), SESSION)
+    return cut(op.clean_laps(cut(op.mark_in_laps(_green(t), lap_rows(t).where("pitted"), SESSION)), SESSION))
 
 
 @query("c1_not_clear_periods", S + "lo:i hi:i", "SELECT * FROM flag_spans")
@@ -133,7 +133,7 @@ def _(t):
 
 @query("c5_stint_tagging", S + "entity:i event_id:i stint:i compound:s", "SELECT * FROM lap_tagged")
 def _(t):
-    return op.tag_stints(_clean(t), stint_rows(t), SESSION, 3)
+    return op.tag_stints(_clean(t), stint_rows(t), SESSION, 2)
 
 
 @query(
@@ -142,7 +142,7 @@ def _(t):
     """SELECT pool, session, entity, median(duration) AS long_run_s, count(*) AS laps FROM lap_tagged WHERE long_run GROUP BY ALL""",
 )
 def _(t):
-    d = op.tag_stints(_clean(t), stint_rows(t), SESSION, 3).where("long_run")
+    d = op.tag_stints(_clean(t), stint_rows(t), SESSION, 2).where("long_run")
     return d.groupBy(*SESSION, "entity").agg(
         F.percentile("duration", F.lit(0.5)).alias("long_run_s"), F.count(F.lit(1)).alias("laps")
     )
@@ -155,7 +155,7 @@ def _(t):
       (SELECT pool, session, entity, compound, count(*) AS n FROM lap_tagged WHERE clean AND compound IS NOT NULL GROUP BY ALL) GROUP BY ALL""",
 )
 def _(t):
-    d = op.tag_stints(_clean(t), stint_rows(t), SESSION, 3).where("clean and compound is not null")
+    d = op.tag_stints(_clean(t), stint_rows(t), SESSION, 2).where("clean and compound is not null")
     return d.groupBy(*SESSION, "entity").agg(F.mode("compound", True).alias("compound"))
 
 
@@ -171,4 +171,4 @@ def _(t):
 )
 def _(t):
     spans = op.not_clear_periods(messages(t), SESSION)
-    return op.driver_pace(lap_rows(t).drop("end"), stint_rows(t), lap_rows(t).where("pitted"), spans, SESSION, 3)
+    return op.driver_pace(lap_rows(t).drop("end"), stint_rows(t), lap_rows(t).where("pitted"), spans, SESSION, 2)

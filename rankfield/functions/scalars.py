@@ -36,7 +36,7 @@ def is_finished(status: str | Column) -> Column:
 def lap_time_ms(text: str | Column) -> Column:
     """'M:SS.fff' or 'SS.fff' to milliseconds; anything else is null."""
     c = F.trim(col(text))
-    pattern = r"^(?:(\d+):)?(\d{1,2})\.(\d+)$"
+    pattern = r"^(?:(\d+):)?(\d+)\.(\d+)$"
 
     def part(i: int) -> Column:
         return F.nullif(F.regexp_extract(c, pattern, i), F.lit(""))

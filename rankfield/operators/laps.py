@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..constants import CLEAN_LAP_FACTOR, MIN_STINT_LAPS
+from ..session import cut
 
 BUCKET_US = 600 * 1_000_000
 NEVER = 2**62
@@ -62,13 +63,15 @@ def not_clear_periods(messages: DataFrame, session: list[str]) -> DataFrame:
     # Nearest clear of the same key, then nearest clear of everything.
     keyed = carry(messages, [*session, "key"], "t", order, F.when(F.col("kind") == "clear", t), "_own", F.min, True)
     both = carry(keyed, session, "t", order, F.when(F.col("kind") == "clear_all", t), "_all", F.min, True)
-    raised = both.where(F.col("kind") == "raise").select(
-        *session, t.alias("lo"), "ord", F.coalesce(F.least("_own", "_all"), F.lit(NEVER)).alias("hi")
+    raised = cut(
+        both.where(F.col("kind") == "raise").select(
+            *session, t.alias("lo"), "ord", F.coalesce(F.least("_own", "_all"), F.lit(NEVER)).alias("hi")
+        )
     )
     seen = carry(raised, session, "lo", ["lo", "ord"], F.col("hi"), "_open", F.max)
     starts = seen.withColumn("_start", F.when(F.col("_open").isNull() | (F.col("lo") >= F.col("_open")), F.col("lo")))
     last = carry(starts, session, "lo", ["lo", "ord"], F.col("_start"), "_prev", F.max)
-    return (
+    return cut(
         last.withColumn("_id", F.coalesce("_start", "_prev"))
         .groupBy(*session, "_id").agg(F.max("hi").alias("hi")).withColumnRenamed("_id", "lo")
     )
@@ -136,9 +139,8 @@ def driver_pace(
     timed = laps.where("duration is not null").withColumn(
         "end", F.col("start") + F.round(F.col("duration") * 1_000_000).cast("long")
     )
-    tagged = tag_stints(
-        clean_laps(mark_in_laps(green_laps(timed, spans, session), pits, session), session), stints, session, min_laps
-    )
+    flagged = cut(mark_in_laps(green_laps(timed, spans, session), pits, session))
+    tagged = tag_stints(cut(clean_laps(flagged, session)), stints, session, min_laps)
 
     def ms(c: Column) -> Column:
         return F.bround(c * 1000).cast("long")

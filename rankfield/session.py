@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -52,3 +52,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="rankfield-", dir=os.environ.get("TMPDIR", "/tmp")))
         else:
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint, where a plan would otherwise be read several times over."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()

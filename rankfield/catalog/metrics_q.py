@@ -91,14 +91,14 @@ def _(t):
 
 
 cte("dist_field", "SELECT series, race_seq, entity, position, score FROM baselines WHERE method = 'grid'")
-cte("dist", f"""SELECT d.*, c.position AS actual FROM ({summary_sql('(' + counts_sql(orders_sql('dist_field', 'score', '0.6', 40, 'dist'), 40) + ')')}) d
+cte("dist", f"""SELECT d.*, c.position AS actual FROM ({summary_sql('(' + counts_sql(orders_sql('dist_field', 'score', '0.6', 37, 'dist'), 37) + ')')}) d
   JOIN contest c USING (series, race_seq, entity)""")
 
 
 def dist(t: Tables):
     """Stated probabilities of the grid baseline beside the actual positions."""
     d = cut(baselines(t, ("grid",)).select("series", "race_seq", "entity", "position", "score"))
-    table = lw.summarise(lw.position_matrix(d, "score", 0.6, 40, tag="dist"))
+    table = lw.summarise(lw.position_matrix(d, "score", 0.6, 37, tag="dist"))
     return table.join(d.select("series", "race_seq", "entity", F.col("position").alias("actual")), ["series", "race_seq", "entity"])
 
 
@@ -168,7 +168,7 @@ _LO, _HI = wilson_sql("sum(y)", "count(*)")
     "i10_reliability",
     "bucket:i stated:d observed:d hits:i n:i ci_low:d ci_high:d",
     f"""SELECT bucket, avg(p) AS stated, avg(y) AS observed, sum(y) AS hits, count(*) AS n, {_LO} AS ci_low, {_HI} AS ci_high
-      FROM (SELECT {BUCKET_SQL} AS bucket, p, y FROM (SELECT p_podium AS p, podium AS y FROM outcome_table)) GROUP BY bucket""",
+      FROM (SELECT {BUCKET_SQL} AS bucket, p, y FROM (SELECT round(p_podium, 12) AS p, podium AS y FROM outcome_table)) GROUP BY bucket""",
 )
 def _(t):
     return op.reliability(outcomes(t), "p_podium", "podium")

@@ -95,3 +95,46 @@ QUALI_CONTEXT_FEATURES = [
 QUALI_FEATURES = QUALI_HISTORY_FEATURES + QUALI_CONTEXT_FEATURES + PRACTICE_FEATURES + PRACTICE_DETAIL_FEATURES
 CLASS_FEATURES = ["street_circuit", "drv_type_avg_finish", "team_type_avg_finish"]
 # --- end of fixed values ----------------------------------------------------
+
+# --- fixed values: groups an explanation speaks about -------------------------
+EXPLANATION_GROUPS = {
+    "grid": "grid",
+    "quali_position": "grid",
+    "drv_avg_finish_3": "race_form",
+    "drv_avg_finish_5": "race_form",
+    "drv_points_rate_5": "race_form",
+    "drv_podium_rate_10": "race_form",
+    "drv_top10_rate_10": "race_form",
+    "drv_positions_gained_5": "race_form",
+    "team_avg_finish_3": "team_form",
+    "team_avg_finish_5": "team_form",
+    "team_points_rate_5": "team_form",
+    "team_pace_gap_pct": "one_lap_pace",
+    "team_pace_trend": "one_lap_pace",
+    "quali_gap_to_pole_pct": "one_lap_pace",
+    "team_avg_quali_5": "one_lap_pace",
+    "champ_position_before": "championship",
+    "champ_points_before": "championship",
+    "drv_dnf_rate_10": "reliability",
+    "team_dnf_rate_10": "reliability",
+    "drv_circuit_avg_finish": "circuit",
+    "team_circuit_avg_finish": "circuit",
+    "drv_circuit_starts": "circuit",
+    "circuit_overtaking_score": "circuit",
+    "circuit_dnf_rate": "circuit",
+    "circuit_pole_win_rate": "circuit",
+    "drv_experience": "experience",
+    "season_progress": "experience",
+}
+PENALTY_GAP = 3
+GROUP_LABELS = {
+    "grid": "starting position",
+    "race_form": "recent race results",
+    "team_form": "the team's recent results",
+    "one_lap_pace": "one-lap pace",
+    "championship": "championship position",
+    "reliability": "reliability record",
+    "circuit": "record at this circuit",
+    "experience": "experience and point in the season",
+}
+# --- end of fixed values ----------------------------------------------------

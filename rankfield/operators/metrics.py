@@ -153,10 +153,11 @@ def outcome_rows(df: DataFrame, by: list[str], actual: str = "actual", keep: Seq
 
 def reliability(df: DataFrame, p: str, y: str, by: Sequence[str] = (), edges: Sequence[float] = RELIABILITY_EDGES) -> DataFrame:
     """Stated against observed per bucket, right-closed, the first closed on both sides."""
+    stated = F.round(p, 12)  # sums of shares may pass an edge by rounding error
     bucket = F.lit(None).cast("int")
     for i in range(len(edges) - 1, 0, -1):
-        bucket = F.when(F.col(p) <= edges[i], i - 1).otherwise(bucket)
-    inside = df.where(F.col(p).between(edges[0], edges[-1])).withColumn("bucket", bucket)
+        bucket = F.when(stated <= edges[i], i - 1).otherwise(bucket)
+    inside = df.where(stated.between(edges[0], edges[-1])).withColumn("bucket", bucket)
     g = inside.groupBy(*by, "bucket").agg(
         F.avg(p).alias("stated"), F.avg(y).alias("observed"), F.sum(y).alias("hits"), F.count(F.lit(1)).alias("n")
     )

@@ -275,9 +275,8 @@ def _(t):
         scores = cut(oos(t, every=17, weight=w, d=d))
         parts.append(_pooled_fit(scores).withColumn("recency", F.lit(w)))
     both = cut(reduce(DataFrame.unionByName, parts))
-    best = both.agg(F.min_by("recency", F.struct("loss", "recency")).alias("_b"))
-    out = both.join(F.broadcast(best)) if False else both.crossJoin(F.broadcast(best))
-    return out.select("recency", "temperature", F.col("loss").alias("win_logloss"), (F.col("recency") == F.col("_b")).alias("chosen"))
+    best = F.first("recency").over(lw.W.partitionBy("method").orderBy("loss", "recency"))
+    return both.select("recency", "temperature", F.col("loss").alias("win_logloss"), (F.col("recency") == best).alias("chosen"))
 
 
 @query(

@@ -1,6 +1,7 @@
 """Query registration. A column spec types both sides of a comparison.
 
-Spec: "name:t ..." with t one of i (long), d (double, 6 decimals), s (string),
+Spec: "name:t ..." with t one of i (long), d (double, 6 decimals; rounded to 10 first so
+that a value on a rounding edge does not depend on the order of a sum), s (string),
 b (boolean), t (timestamp as text).
 """
 
@@ -21,7 +22,7 @@ def _spark_cast(name: str, kind: str):
     c = F.col(name)
     return {
         "i": lambda: c.cast("long"),
-        "d": lambda: F.round(c.cast("double"), 6),
+        "d": lambda: F.round(F.round(c.cast("double"), 10), 6),
         "s": lambda: c.cast("string"),
         "b": lambda: c.cast("boolean"),
         "t": lambda: F.date_format(c, "yyyy-MM-dd HH:mm:ss"),
@@ -32,7 +33,7 @@ def _sql_cast(name: str, kind: str) -> str:
     q = f'"{name}"'
     return {
         "i": f"CAST({q} AS BIGINT)",
-        "d": f"round(CAST({q} AS DOUBLE), 6)",
+        "d": f"round(round(CAST({q} AS DOUBLE), 10), 6)",
         "s": f"CAST({q} AS VARCHAR)",
         "b": f"CAST({q} AS BOOLEAN)",
         "t": f"strftime({q}, '%Y-%m-%d %H:%M:%S')",

@@ -176,7 +176,7 @@ TIMES = ((1, -96), (2, -40), (3, -22), (4, -6), (5, 5))
 def forecast_rows(t: Tables):
     """One row per (event, forecast, entrant) with a stated win chance."""
     runs = F.inline(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(h).alias("_h")) for k, h in TIMES]))
-    d = t.contest.where("season >= 1999").select(*KEY, "grid", "position", runs)
+    d = t.contest.select(*KEY, "grid", "position", runs)
     d = d.join(t.calendar.select(*EVENT, "race_start", "quali_start"), EVENT)
     order = F.when(F.col("k") <= 2, (F.col("entity") * 7 + F.col("season") + F.col("round")) % 20).otherwise(F.col("grid"))
     order = order + F.when((F.col("k") == 4) & (F.col("entity") % 4 == 0), 3).otherwise(0)
@@ -214,7 +214,7 @@ def forecast_log(t: Tables):
 
 cte("fc_rows", """SELECT *, round(1.0 / (o + k + 1), 9) AS p_win, o + 1 AS exp_position FROM (SELECT c.series, c.season, c.round, c.entity, c.position, k, race_start, quali_start,
   race_start + h * INTERVAL 1 HOUR AS generated_at, CASE WHEN k <= 2 THEN (c.entity * 7 + c.season + c.round) % 20 ELSE grid END + CASE WHEN k = 4 AND c.entity % 4 = 0 THEN 3 ELSE 0 END AS o
-  FROM contest c JOIN calendar USING (series, season, round), (VALUES (1, -96), (2, -40), (3, -22), (4, -6), (5, 5)) v(k, h) WHERE c.season >= 1999)""")
+  FROM contest c JOIN calendar USING (series, season, round), (VALUES (1, -96), (2, -40), (3, -22), (4, -6), (5, 5)) v(k, h))""")
 cte("fc_log", """SELECT series, season, round, k, race_start, quali_start, generated_at, k >= 3 AS grid_known, CASE WHEN k >= 3 THEN 'post_quali' WHEN round % 2 = 0 THEN 'pre_quali' END AS stage,
   k = 2 AS practice_data, CASE WHEN k = 3 THEN 'qualifying' WHEN k >= 4 THEN 'official' END AS grid_source, round % 5 > 0 AS practice_complete,
   arg_max(entity, (p_win, -entity)) AS pick, max(p_win) AS p_pick FROM fc_rows GROUP BY ALL""")
@@ -254,7 +254,7 @@ def _(t):
     "m11_forecast_history",
     EVS + "turn:i step:s note:s pick:i runs:i p_low:d p_high:d p_pick:d made:t hit:b",
     """SELECT series, season, round, g AS turn, step, note, pick, count(*) AS runs, min(p_pick) AS p_low, max(p_pick) AS p_high, arg_max(p_pick, generated_at) AS p_pick, max(generated_at) AS made,
-      pick = any_value(w) AS hit FROM (SELECT *, sum(fresh) OVER (PARTITION BY series, season, round ORDER BY generated_at) AS g FROM
+      bool_or(pick = w) AS hit FROM (SELECT *, sum(fresh) OVER (PARTITION BY series, season, round ORDER BY generated_at) AS g FROM
       (SELECT f.*, c.entity AS w, CASE WHEN lag(f.step || f.note || f.pick) OVER (PARTITION BY f.series, f.season, f.round ORDER BY generated_at) = f.step || f.note || f.pick THEN 0 ELSE 1 END AS fresh
        FROM (SELECT * EXCLUDE (note), CASE WHEN round % 2 = 0 AND k >= 3 THEN 'grid' ELSE note END AS note FROM fc_staged) f
        JOIN contest c ON (c.series, c.season, c.round) = (f.series, f.season, f.round) AND c.position = 1 WHERE generated_at <= race_start)) GROUP BY ALL""",

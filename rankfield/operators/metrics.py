@@ -223,9 +223,9 @@ def bootstrap_intervals(
 ) -> DataFrame:
     """Mean and percentile interval of each value: (by, metric, mean, ci_low, ci_high, n)."""
     tail = (1 - level) / 2
-    means = bootstrap_means(df, key, by, values, replicates, tag).unpivot([*by, "replicate"], list(values), "metric", "m")
+    means = bootstrap_means(df, key, by, values, replicates, tag).unpivot([*by, "replicate"], list(values), "metric", "_m")
     ci = means.groupBy(*by, "metric").agg(
-        F.percentile("m", F.lit(tail)).alias("ci_low"), F.percentile("m", F.lit(1 - tail)).alias("ci_high")
+        F.percentile("_m", F.lit(tail)).alias("ci_low"), F.percentile("_m", F.lit(1 - tail)).alias("ci_high")
     )
     flat = df.select(*by, *[F.col(v).cast("double").alias(v) for v in values]).unpivot(by, list(values), "metric", "_v")
     mean = flat.groupBy(*by, "metric").agg(F.avg("_v").alias("mean"), F.count("_v").alias("n"))

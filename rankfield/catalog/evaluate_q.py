@@ -256,7 +256,7 @@ cte("tune_plain", matrix_sql("tune_field", N, "tune", temp="0.7"))
     "j7_tune_blend",
     "method:s blend:d win_logloss:d",
     f"""SELECT method, blend, avg(-ln(greatest(0.998 * (blend * p.share + (1 - blend) * q.share) + 0.002 / n, 1e-12))) AS win_logloss FROM tune_plain p
-      JOIN ({matrix_sql('tune_field', N, 'tune-sim', True, '0.7').replace('tune-sim-dnf', 'tune-dnf')}) q USING (series, race_seq, method, entity, pos)
+      JOIN ({matrix_sql('tune_field', N, 'tune-sim', True, '0.7')}) q USING (series, race_seq, method, entity, pos)
       JOIN tune_field f USING (series, race_seq, method, entity) JOIN (SELECT series, race_seq, count(*) AS n FROM tune_field GROUP BY ALL) USING (series, race_seq),
       unnest({list(BLEND_CANDIDATES)}) b(blend) WHERE p.pos = 1 AND f.place = 1 GROUP BY ALL""",
 )

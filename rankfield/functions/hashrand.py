@@ -11,14 +11,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
-def uniform(tag: str, *keys: str | Column) -> Column:
+def uniform(tag: str | Column, *keys: str | Column) -> Column:
     """Uniform in (0, 1), 52 bits of md5 over the tag and the keys."""
-    parts = [F.lit(tag)] + [(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys]
+    parts = [F.lit(tag) if isinstance(tag, str) else tag] + [(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys]
     digits = F.substring(F.md5(F.concat_ws("|", *parts)), 1, 13)
     return (F.conv(digits, 16, 10).cast("double") + 0.5) / F.lit(float(2**52))
 
 
-def gumbel(tag: str, *keys: str | Column) -> Column:
+def gumbel(tag: str | Column, *keys: str | Column) -> Column:
     return -F.log(-F.log(uniform(tag, *keys)))
 
 

@@ -32,41 +32,55 @@ def plackett_luce(df: DataFrame, score: str, temperature, out: str = "p_win", ev
     return df.withColumn("_e", F.exp(z)).withColumn(out, F.col("_e") / F.sum("_e").over(w)).drop("_e")
 
 
+def _sampled(df: DataFrame, score: str, temperature, samples: Column, tag: str | Column, draw: Column, event: list[str]) -> DataFrame:
+    """Rows times samples, ranked within (event, sample) by score / T plus Gumbel noise."""
+    s = df.withColumn("_field", F.count(F.lit(1)).over(W.partitionBy(*event))).withColumn("sample", F.explode(samples))
+    noisy = F.col(score) / _t(temperature) + gumbel(tag, *event, "entity", draw)
+    order = W.partitionBy(*event, "sample").orderBy(F.desc("_noisy"), "entity")
+    return s.withColumn("_noisy", noisy).withColumn("pos", F.row_number().over(order)).drop("_noisy")
+
+
 def sample_orders(
     df: DataFrame, score: str, temperature, n_samples: int, tag: str = "pl", event: list[str] = EVENT
 ) -> DataFrame:
     """Exact Plackett-Luce orders: Gumbel noise on score / T, ranked within (event, sample).
 
     Yields a row per (event, sample, entity) with pos from 1."""
-    s = df.withColumn("sample", F.explode(F.sequence(F.lit(1), F.lit(n_samples))))
-    noisy = F.col(score) / _t(temperature) + gumbel(tag, *event, "entity", "sample")
-    order = W.partitionBy(*event, "sample").orderBy(F.desc("_noisy"), "entity")
-    return s.withColumn("_noisy", noisy).withColumn("pos", F.row_number().over(order)).drop("_noisy")
+    return _sampled(df, score, temperature, F.sequence(F.lit(1), F.lit(n_samples)), tag, F.col("sample"), event)
+
 
+def retire(
+    orders: DataFrame, dnf_prob: str, tag: str = "dnf", event: list[str] = EVENT, only: Column | None = None,
+    draw: Column | None = None,
+) -> DataFrame:
+    """Lose each sampled order's retirements to the back, in random order among themselves.
 
-def retire(orders: DataFrame, dnf_prob: str, tag: str = "dnf", event: list[str] = EVENT) -> DataFrame:
-    """Lose each sampled order's retirements to the back, in random order among themselves."""
-    keys = [*event, "entity", "sample"]
+    With ``only``, other samples keep their order; ``draw`` numbers the draws."""
+    keys = [*event, "entity", F.col("sample") if draw is None else draw]
     out = uniform(f"{tag}-out", *keys) < F.col(dnf_prob)
-    size = F.count(F.lit(1)).over(W.partitionBy(*event, "sample"))
-    key = F.when(out, size + 1 + uniform(f"{tag}-order", *keys)).otherwise(F.col("pos").cast("double"))
+    out = out if only is None else only & out
+    key = F.when(out, F.col("_field") + 1 + uniform(f"{tag}-order", *keys)).otherwise(F.col("pos").cast("double"))
     order = W.partitionBy(*event, "sample").orderBy("_key", "entity")
     return orders.withColumn("_key", key).withColumn("pos", F.row_number().over(order)).drop("_key")
 
 
-def position_counts(orders: DataFrame, n_samples: int, event: list[str] = EVENT) -> DataFrame:
-    """Share of samples per (entity, position), with zeros for positions never taken.
-
-    One pass: each entity's positions are counted into a map, then laid out over the field."""
-    size = F.max("pos").over(W.partitionBy(*event))
-    counts = orders.groupBy(*event, "entity", "pos").agg(F.count(F.lit(1)).alias("_n"))
-    field = counts.withColumn("_size", size)
-    one = field.groupBy(*event, "entity").agg(
-        F.max("_size").alias("_size"), F.map_from_entries(F.collect_list(F.struct("pos", "_n"))).alias("_m")
+def _laid_out(counts: DataFrame, names: list[str], event: list[str]) -> DataFrame:
+    """Counts per (event, entity, pos) to a row for every position of the field, zeros included.
+
+    Each entrant's counts are gathered in a map no larger than the field and laid out again."""
+    one = counts.groupBy(*event, "entity").agg(
+        F.max("_field").alias("field"), F.map_from_entries(F.collect_list(F.struct("pos", F.struct(*names)))).alias("_m")
     )
-    wide = one.withColumn("pos", F.explode(F.sequence(F.lit(1), F.col("_size"))))
-    share = F.coalesce(F.try_element_at("_m", F.col("pos")), F.lit(0)) / F.lit(float(n_samples))
-    return wide.select(*event, "entity", "pos", share.alias("share"))
+    wide = one.withColumn("pos", F.explode(F.sequence(F.lit(1), F.col("field").cast("int"))))
+    hit = F.try_element_at("_m", F.col("pos"))
+    return wide.select(*event, "entity", "field", "pos", *[F.coalesce(hit[n], F.lit(0)).alias(n) for n in names])
+
+
+def position_counts(orders: DataFrame, n_samples: int, event: list[str] = EVENT) -> DataFrame:
+    """Share of samples per (entity, position), with zeros for positions never taken."""
+    counts = orders.groupBy(*event, "entity", "pos").agg(F.count(F.lit(1)).alias("_n"), F.max("_field").alias("_field"))
+    m = _laid_out(counts, ["_n"], event)
+    return m.select(*event, "entity", "field", "pos", (F.col("_n") / F.lit(float(n_samples))).alias("share"))
 
 
 def position_matrix(
@@ -80,6 +94,27 @@ def position_matrix(
     return position_counts(orders, n_samples, event)
 
 
+def paired_matrix(
+    df: DataFrame, score: str, temperature, n_samples: int, dnf_prob: str, tags: tuple[str, str] = ("pl", "sim"),
+    event: list[str] = EVENT, retire_both: bool = False,
+) -> DataFrame:
+    """Both halves of a mixture in one pass: ``plain`` shares and ``drawn`` shares with the retirement draw.
+
+    Samples 1..n are the first half, n+1..2n the second; each half keys its draws as it would alone."""
+    second = F.col("sample") > n_samples
+    draw = F.when(second, F.col("sample") - n_samples).otherwise(F.col("sample"))
+    tag = F.when(second, tags[1]).otherwise(tags[0])
+    orders = _sampled(df, score, temperature, F.sequence(F.lit(1), F.lit(2 * n_samples)), tag, draw, event)
+    orders = retire(orders, dnf_prob, f"{tags[1]}-dnf", event, second, draw)
+    if retire_both:
+        orders = retire(orders, dnf_prob, f"{tags[0]}-dnf", event, ~second, draw)
+    counts = orders.groupBy(*event, "entity", "pos").agg(
+        F.count(F.when(~second, 1)).alias("_a"), F.count(F.when(second, 1)).alias("_b"), F.max("_field").alias("_field")
+    )
+    m, n = _laid_out(counts, ["_a", "_b"], event), F.lit(float(n_samples))
+    return m.select(*event, "entity", "field", "pos", (F.col("_a") / n).alias("plain"), (F.col("_b") / n).alias("drawn"))
+
+
 # -- temperature ----------------------------------------------------------------
 def temperature_losses(
     df: DataFrame, score: str, place: str, depth: int = 1, grid: list[float] | None = None,
@@ -132,9 +167,10 @@ def rolling_temperature(
 
 # -- mixing and reading a distribution --------------------------------------------
 def smooth(matrix: DataFrame, column: str = "share", by: list[str] | None = None, amount: float = SMOOTHING) -> DataFrame:
-    """Mix in a small uniform share. by: the columns whose rows sum to one."""
-    by = by or [*EVENT, "entity"]
-    n = F.count(F.lit(1)).over(W.partitionBy(*by))
+    """Mix in a small uniform share. by: the columns whose rows sum to one.
+
+    A matrix that carries its field size needs no window for it."""
+    n = F.col("field") if "field" in matrix.columns else F.count(F.lit(1)).over(W.partitionBy(*(by or [*EVENT, "entity"])))
     return matrix.withColumn(column, (1.0 - amount) * F.col(column) + amount / n)
 
 
@@ -205,9 +241,9 @@ def forecast(
     event: list[str] = EVENT, retire_both: bool = False,
 ) -> DataFrame:
     """One coherent matrix: weight on the plain ranking, the rest with the retirement draw."""
-    plain = position_matrix(df, score, temperature, n_samples, dnf_prob if retire_both else None, "pl", event)
-    drawn = position_matrix(df, score, temperature, n_samples, dnf_prob, "sim", event)
-    return mix(plain, drawn, weight, event)
+    m = paired_matrix(df, score, temperature, n_samples, dnf_prob, ("pl", "sim"), event, retire_both)
+    share = weight * F.col("plain") + (1.0 - weight) * F.col("drawn")
+    return smooth(m.select(*event, "entity", "field", "pos", share.alias("share")))
 
 
 def dnf_probability(entity_rate: str = "drv_dnf_rate_10", team_rate: str = "team_dnf_rate_10") -> Column:

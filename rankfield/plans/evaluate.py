@@ -90,10 +90,11 @@ def forecast_table(
     weight 1 is the plain ranking, smoothed; below 1 the rest comes from the retirement draw."""
     t = F.col("temperature")
     key = [*METHOD_EVENT, "entity"]
-    m = lw.position_matrix(scores, "score", t, n_samples, dnf_prob if retire_both else None, tag, METHOD_EVENT)
-    if dnf_prob is not None and weight < 1:
-        drawn = lw.position_matrix(scores, "score", t, n_samples, dnf_prob, f"{tag}-sim", METHOD_EVENT)
-        m = lw.blend(m, drawn, weight, [*key, "pos"])
+    if dnf_prob is None or weight >= 1:
+        m = lw.position_matrix(scores, "score", t, n_samples, dnf_prob if retire_both else None, tag, METHOD_EVENT)
+    else:
+        both = lw.paired_matrix(scores, "score", t, n_samples, dnf_prob, (tag, f"{tag}-sim"), METHOD_EVENT, retire_both)
+        m = both.withColumn("share", weight * F.col("plain") + (1.0 - weight) * F.col("drawn"))
     return lw.summarise(lw.smooth(m, by=key), METHOD_EVENT)
 
 
@@ -163,19 +164,11 @@ def winner_loss(scores: DataFrame, temperature: float, place: str = "place", by:
 def tune_blend(scores: DataFrame, temperature, weights: Sequence[float], n_samples: int, dnf_prob: str = "dnf_prob") -> DataFrame:
     """Mean winner loss per blend weight: both halves are drawn once, the weights vary on their winners."""
     key = [*METHOD_EVENT, "entity"]
-    plain = lw.position_counts(lw.sample_orders(scores, "score", temperature, n_samples, "tune", METHOD_EVENT), n_samples, METHOD_EVENT)
-    drawn = lw.position_counts(
-        lw.retire(lw.sample_orders(scores, "score", temperature, n_samples, "tune-sim", METHOD_EVENT), dnf_prob, "tune-dnf", METHOD_EVENT),
-        n_samples, METHOD_EVENT,
-    )
+    m = lw.paired_matrix(scores, "score", temperature, n_samples, dnf_prob, ("tune", "tune-sim"), METHOD_EVENT)
     first = lw.top_order(scores, "place", 1, METHOD_EVENT).select(*key, F.lit(1).alias("pos"))
-    field = scores.groupBy(*METHOD_EVENT).agg(F.count(F.lit(1)).alias("_n"))
-    both = (
-        plain.join(first, [*key, "pos"]).join(drawn.withColumnRenamed("share", "_q"), [*key, "pos"]).join(field, METHOD_EVENT)
-        .withColumn("blend", F.explode(F.array(*[F.lit(float(w)) for w in weights])))
-    )
-    p = F.col("blend") * F.col("share") + (1 - F.col("blend")) * F.col("_q")
-    p = (1 - lw.SMOOTHING) * p + lw.SMOOTHING / F.col("_n")
+    both = m.join(first, [*key, "pos"]).withColumn("blend", F.explode(F.array(*[F.lit(float(w)) for w in weights])))
+    p = F.col("blend") * F.col("plain") + (1 - F.col("blend")) * F.col("drawn")
+    p = (1 - lw.SMOOTHING) * p + lw.SMOOTHING / F.col("field")
     loss = -F.log(F.greatest(p, F.lit(lw.LOG_FLOOR)))
     return both.groupBy("method", "blend").agg(F.avg(loss).alias("win_logloss"))
 

@@ -17,6 +17,7 @@ from ..operators import ladders
 from ..operators.windows import (
     event_sequence, gap_to_best, prior_by_event, prior_count, prior_rolling, prior_valid, teammate_gap,
 )
+from ..session import cut
 from ..sources.contest import EVENT, KEY, Tables, add_outcomes
 
 SEQ = "race_seq"
@@ -278,19 +279,24 @@ def frame(t: Tables, results: DataFrame | None = None, upcoming: bool = True, to
             ladders.upcoming_entries(t.calendar, run.join(results, EVENT), qualifying, sessions, today),
             allowMissingColumns=True,
         )
+    base = cut(base)
+    # The ladder reads only keys and slots; everything else joins its answer.
+    listed = base.select(*KEY).join(t.result_grid.join(run, EVENT, "left_semi"), KEY, "left")
+    grid = ladders.resolve_grid(listed, qualifying, t.official_grid).select(*KEY, "grid", "grid_source")
     base = base.join(qualifying.select(*KEY, "quali_position", "best_ms"), KEY, "left")
     base = base.join(practice_inputs(t.session_pace, t.calendar, t.sprint_quali, first_sprint_season), KEY, "left")
-    base = base.join(t.result_grid.join(run, EVENT, "left_semi"), KEY, "left")
-    base = ladders.resolve_grid(base, qualifying, t.official_grid)
+    base = base.join(grid, KEY, "left")
     base = previous_standing(base, t.standings)
     base = add_progress(base, t.calendar)
     return add_outcomes(event_sequence(base.repartition("series"), ["series"], ["season", "round"]))
 
 
 def build(t: Tables, upcoming: bool = True, stat: str = "median", results: DataFrame | None = None) -> DataFrame:
-    """The whole feature table, from landed results so that no source is read twice."""
-    t = t.landed()
-    return add_all(frame(t, results, upcoming), stat)
+    """The whole feature table, from landed results so that no source is read twice.
+
+    The joined frame is stored before the windows: they then run over one scan, and neither
+    half is planned again while the other's stages finish."""
+    return add_all(cut(frame(t.landed(), results, upcoming)).repartition("series"), stat)
 
 
 ALL_FEATURES = list(dict.fromkeys([*RACE_FEATURES, *QUALI_FEATURES, "drv_avg_grid_5", "quali_gap_to_teammate_pct"]))

@@ -41,14 +41,15 @@ class Tables:
         self.stored = False
 
     def landed(self) -> Tables:
-        """The same views over stored results: one reliable checkpoint cuts the lineage of them all."""
+        """The same views over stored results: reliable checkpoints cut the lineage of what many of them read."""
         if self.stored:
             return self
         ensure_checkpoint_dir(self.spark)
         out = Tables(self.spark, self.folder)
         out.stored = True
         out.__dict__["totals"] = self.totals.checkpoint()
-        out.__dict__["contest"] = out.contest.checkpoint()
+        for view in ("contest", "calendar", "standings"):
+            out.__dict__[view] = getattr(out, view).checkpoint()
         return out
 
     def raw(self, name: str) -> DataFrame:

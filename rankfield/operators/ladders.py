@@ -192,11 +192,8 @@ def next_event(df: DataFrame, now: Column, scope: list[str], require: bool = Fal
     left = df.where(~F.col("ran")).where(F.col("race_start").isNull() | (F.col("race_start") > now))
     nxt = left.groupBy(*scope).agg(F.min(F.struct("season", "round")).alias("_e"))
     out = nxt.select(*scope, "_e.season", "_e.round")
-    if require:
-        none = out.agg(F.count(F.lit(1)).alias("_n")).select(
-            F.assert_true(F.col("_n") > 0, "no event left to forecast").alias("_ok")
-        )
-        out = out.join(F.broadcast(none), F.col("_ok").isNull()).drop("_ok")
+    if require and out.isEmpty():
+        raise LookupError("no event left to forecast")
     return out
 
 

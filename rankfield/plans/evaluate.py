@@ -207,9 +207,14 @@ def feature_correlation(df: DataFrame, features: Sequence[str], threshold: float
     cells = df.select(F.inline(duo)).where("x is not null and y is not null").groupBy(*pair, "x", "y").agg(F.count(F.lit(1)).alias("c"))
 
     def ranks(v: str) -> DataFrame:
-        g = cells.groupBy(*pair, v).agg(F.sum("c").alias("_c"))
-        before = F.sum("_c").over(W.partitionBy(*pair).orderBy(v)) - F.col("_c")
-        return g.select(*pair, v, (before + (F.col("_c") + 1) / 2.0).alias(f"r{v}"))
+        # Counts per whole number carry the rank across; inside one there are at most
+        # 10^digits values, so no window grows with the rows.
+        g = cells.groupBy(*pair, v).agg(F.sum("c").alias("_c")).withColumn("_f", F.floor(v))
+        whole = g.groupBy(*pair, "_f").agg(F.sum("_c").alias("_s"))
+        below = F.sum("_s").over(W.partitionBy(*pair).orderBy("_f")) - F.col("_s")
+        g = g.join(whole.select(*pair, "_f", below.alias("_below")), [*pair, "_f"])
+        before = F.sum("_c").over(W.partitionBy(*pair, "_f").orderBy(v)) - F.col("_c")
+        return g.select(*pair, v, (F.col("_below") + before + (F.col("_c") + 1) / 2.0).alias(f"r{v}"))
 
     d = cells.join(ranks("x"), [*pair, "x"]).join(ranks("y"), [*pair, "y"])
     from ..functions.scalars import safe_corr

@@ -70,8 +70,8 @@ def test_next_event_error_when_nothing_is_left(spark):
     d = spark.createDataFrame([(0, 1, 1, True)], f"{KEY}, ran boolean").withColumn("race_start", F.lit(None).cast("timestamp_ntz"))
     now = F.lit("2000-01-01").cast("timestamp_ntz")
     assert op.next_event(d, now, ["series"]).count() == 0
-    with pytest.raises(Exception, match="no event left"):
-        op.next_event(d, now, ["series"], require=True).collect()
+    with pytest.raises(LookupError, match="no event left"):
+        op.next_event(d, now, ["series"], require=True)
 
 
 def test_grid_holes_are_filled_in_field_order(spark):

@@ -15,7 +15,7 @@ from .listwise_q import GRID_SQL, baselines, counts_sql, dnf_field, orders_sql,
 from .metrics_q import BETTER_SQL, BUCKET_SQL, LOW, boot_sql, wilson_sql
 from .ranker_q import TWO, fit_sql, train_field
 from .registry import query
-from .sqlbase import cte
+from .sqlbase import cte, uniform_sql
 
 N = 20
 R = 200
@@ -44,6 +44,16 @@ cte("oos_scores", f"""SELECT series, season, round, race_seq, entity, position,
   WINDOW w AS (PARTITION BY series, race_seq)""")
 
 
+def oos_sql(every: int, pair: str = "true", weight: str = "a.weight") -> str:
+    """Out-of-sample scores in SQL: one fit per cut-off, standardised within the event."""
+    cutoffs = sorted({START + (x - START) // every * every for x in range(START, 83)})
+    fit = fit_sql(" UNION ALL ".join(f"SELECT {c} AS key, {c} AS cutoff" for c in cutoffs), pair, weight)
+    return f"""SELECT series, season, round, race_seq, entity, position, CAST(position AS DOUBLE) AS place,
+      (raw - avg(raw) OVER w) / CASE WHEN stddev_pop(raw) OVER w > 1e-9 THEN stddev_pop(raw) OVER w ELSE 1 END AS score FROM
+      (SELECT f.*, c1 * g + c2 * f5 AS raw FROM train_filled f JOIN ({fit}) c ON f.race_seq >= {START} AND c.key = {START} + (f.race_seq - {START}) // {every} * {every})
+      WINDOW w AS (PARTITION BY series, race_seq)"""
+
+
 def oos(t: Tables, features=TWO, label="label", top=None, every=EVERY, ridge=0.0, weight: float | None = None, d: DataFrame | None = None):
     d = cut(train_field(t)) if d is None else d
     if weight is not None:
@@ -266,12 +276,23 @@ def _(t):
     return ev.tune_blend(scores, 0.7, BLEND_CANDIDATES, N)
 
 
-@query("j7_tune", "recency:d temperature:d win_logloss:d chosen:b", None)
+RECENCIES = (1.0, 2.0, 4.0)
+cte("recency_scores", " UNION ALL ".join(
+    f"SELECT *, '{w}' AS method FROM ({oos_sql(17, weight=f'greatest(pow({w}, -(2001 - a.season) / 2.0), 0.15)')})" for w in RECENCIES))
+cte("recency_losses", losses_sql("recency_scores"))
+
+
+@query(
+    "j7_tune",
+    "recency:d temperature:d win_logloss:d chosen:b",
+    """SELECT CAST(method AS DOUBLE) AS recency, m.t AS temperature, m.l AS win_logloss, row_number() OVER (ORDER BY m.l, CAST(method AS DOUBLE)) = 1 AS chosen FROM
+      (SELECT method, min({'l': round(loss, 10), 't': temperature}) AS m FROM (SELECT method, temperature, avg(loss) AS loss FROM recency_losses GROUP BY ALL) GROUP BY method)""",
+)
 def _(t):
     """Each recency candidate refits the models; the lowest loss at its own best temperature wins."""
     d = cut(train_field(t))
     parts = []
-    for w in (1.0, 2.0, 4.0):
+    for w in RECENCIES:
         scores = cut(oos(t, every=17, weight=w, d=d))
         parts.append(_pooled_fit(scores).withColumn("recency", F.lit(w)))
     both = cut(reduce(DataFrame.unionByName, parts))
@@ -306,7 +327,22 @@ def _stage_rows(t: Tables):
     return reduce(DataFrame.unionByName, stages)
 
 
-@query("j10_backtest_report", "stage:s method:s loss:d position_error:d n_events:i", None)
+cte("wp_scores", """SELECT s.series, s.season, s.race_seq, s.entity, s.method, s.score, CAST(c.quali_position AS DOUBLE) AS place
+  FROM wf_scores s JOIN (SELECT series, race_seq, entity, quali_position FROM contest) c USING (series, race_seq, entity) WHERE method <> 'grid'""")
+cte("wp_losses", losses_sql("wp_scores"))
+cte("wp_t", rolling_sql("wp_losses"))
+cte("wp_rows", f"""SELECT series, race_seq, method, avg(abs(pr - place)) AS position_error, -ln(greatest(arg_min(p, (place, entity)) FILTER (place IS NOT NULL), 1e-12)) AS loss FROM
+  (SELECT s.*, row_number() OVER w AS pr, exp(score / temperature) / sum(exp(score / temperature)) OVER (PARTITION BY series, race_seq, method) AS p
+   FROM wp_scores s JOIN wp_t USING (series, method, race_seq) WHERE season >= {FIRST_SEASON} WINDOW w AS (PARTITION BY series, race_seq, method ORDER BY score DESC, entity)) GROUP BY ALL""")
+cte("stage_rows", "SELECT 'post_quali' AS stage, method, win_logloss AS loss, position_error FROM wf_rows UNION ALL SELECT 'qualifying', method, loss, position_error FROM wp_rows "
+    + " ".join(f"UNION ALL SELECT '{st}', method, win_logloss, position_error FROM wf_rows WHERE method <> 'grid'" for st in ("pre_quali", "pre_practice")))
+
+
+@query(
+    "j10_backtest_report",
+    "stage:s method:s loss:d position_error:d n_events:i",
+    "SELECT stage, method, avg(loss) AS loss, avg(position_error) AS position_error, count(*) AS n_events FROM stage_rows GROUP BY ALL",
+)
 def _(t):
     return ev.summary(_stage_rows(t), ("loss", "position_error"), ("stage", "method"))
 
@@ -467,7 +503,16 @@ def _(t):
     return _compare(t, cut(without.unionByName(with_)), "without")
 
 
-@query("j14f_pairing_experiment", PAIR, None)
+cte("pairing_scores", f"SELECT *, 'whole field' AS method FROM ({oos_sql(17)}) UNION ALL SELECT *, 'top eight' AS method FROM ({oos_sql(17, 'a.turn <= 8')})")
+cte("pairing_losses", losses_sql("pairing_scores"))
+cte("pairing_t", rolling_sql("pairing_losses"))
+cte("pairing_window", f"SELECT s.*, temperature FROM pairing_scores s JOIN pairing_t USING (series, method, race_seq) WHERE season >= {FIRST_SEASON}")
+cte("pairing_table", table_sql(matrix_sql("pairing_window", N, "wf")))
+cte("pairing_rows", grade_sql("pairing_table", "pairing_window"))
+cte("pairing_diffs", diffs_sql("pairing_rows", "whole field", COMPARE))
+
+
+@query("j14f_pairing_experiment", PAIR, paired_sql("pairing_diffs", COMPARE, "whole field"))
 def _(t):
     return _compare(t, _variants(t, {"whole field": {}, "top eight": {"top": 8}}), "whole field")
 
@@ -508,7 +553,34 @@ def _(t):
     return ev.feature_correlation(ft.add_form(t.outcomes), PAIRS, 0.3)
 
 
-@query("j16_permutation_importance", "method:s metric:s difference:d ci_low:d ci_high:d", None)
+cte("perm_fit", fit_sql(f"SELECT 0 AS key, {START} AS cutoff"))
+cte("perm_base", f"SELECT *, row_number() OVER (PARTITION BY series, race_seq ORDER BY entity) AS i FROM train_field WHERE race_seq >= {START}")
+
+
+def _permuted(name: str) -> str:
+    """The late field with one column moved by hashed order (or as it is)."""
+    if name == "intact":
+        return "SELECT series, race_seq, entity, position, CAST(grid AS DOUBLE) AS g, drv_avg_finish_5 AS f FROM perm_base"
+    moved = f"""SELECT series, race_seq, {name} AS v, row_number() OVER (PARTITION BY series, race_seq ORDER BY {uniform_sql('perm-' + name, 'series', 'race_seq', 'entity')}, entity) AS i FROM perm_base"""
+    cols = "CAST(m.v AS DOUBLE) AS g, b.drv_avg_finish_5 AS f" if name == "grid" else "CAST(b.grid AS DOUBLE) AS g, m.v AS f"
+    return f"SELECT b.series, b.race_seq, b.entity, b.position, {cols} FROM perm_base b JOIN ({moved}) m USING (series, race_seq, i)"
+
+
+cte("perm_ranks", " UNION ALL ".join(
+    f"""SELECT '{n}' AS method, series, race_seq, entity, row_number() OVER (PARTITION BY series, race_seq ORDER BY raw DESC, entity) AS pr,
+      row_number() OVER (PARTITION BY series, race_seq ORDER BY position, entity) AS tr FROM
+      (SELECT x.*, round(c1 * g + c2 * coalesce(f, avg(f) OVER (PARTITION BY series, race_seq), 0), 12) AS raw FROM ({_permuted(n)}) x, (SELECT c1, c2 FROM perm_fit) p)"""
+    for n in ("intact", *TWO)))
+cte("perm_rows", """SELECT method, series, race_seq, avg(abs(pr - tr)) AS position_error,
+  sum(CASE WHEN pr <= 5 THEN 1 / log2(tr + 1) / log2(pr + 1) END) / sum(CASE WHEN tr <= 5 THEN 1 / log2(tr + 1) / log2(tr + 1) END) AS ndcg5 FROM perm_ranks GROUP BY ALL""")
+cte("perm_diffs", diffs_sql("perm_rows", "intact", ("ndcg5", "position_error")))
+
+
+@query(
+    "j16_permutation_importance",
+    "method:s metric:s difference:d ci_low:d ci_high:d",
+    paired_sql("perm_diffs", ("ndcg5", "position_error"), "intact"),
+)
 def _(t):
     """Score with one feature group shuffled inside each event, against the model as it is."""
     d = cut(train_field(t))

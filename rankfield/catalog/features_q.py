@@ -321,7 +321,13 @@ def _(t):
     return ft.build(t)
 
 
-@query("e27_feature_lists", "feature:s race:b qualifying:b", None)
+@query(
+    "e27_feature_lists",
+    "feature:s race:b qualifying:b",
+    "SELECT * FROM (VALUES "
+    + ", ".join(f"('{f}', {f in ft.RACE_FEATURES}, {f in ft.QUALI_FEATURES})" for f in dict.fromkeys([*ft.RACE_FEATURES, *ft.QUALI_FEATURES]))
+    + ") v(feature, race, qualifying) WHERE (SELECT count(*) FROM contest) > 0",
+)
 def _(t):
     have = ft.build(t).columns
     race, quali = set(ft.RACE_FEATURES), set(ft.QUALI_FEATURES)

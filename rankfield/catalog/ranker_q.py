@@ -46,12 +46,12 @@ cte("train_filled", """SELECT * EXCLUDE (drv_avg_finish_5), coalesce(drv_avg_fin
   CAST(grid AS DOUBLE) AS g, row_number() OVER (PARTITION BY series, race_seq ORDER BY label DESC, entity) AS turn FROM train_field""")
 
 
-def fit_sql(where: str, pair: str = "true") -> str:
+def fit_sql(where: str, pair: str = "true", weight: str = "a.weight") -> str:
     """Normal equations over explicit pairs, each event's pairs weighing the same."""
     return f"""SELECT key, (sxy1 * s22 - sxy2 * s12) / (s11 * s22 - s12 * s12) AS c1, (sxy2 * s11 - sxy1 * s12) / (s11 * s22 - s12 * s12) AS c2 FROM
       (SELECT key, sum(w * x1 * x1) AS s11, sum(w * x1 * x2) AS s12, sum(w * x2 * x2) AS s22, sum(w * x1 * y) AS sxy1, sum(w * x2 * y) AS sxy2 FROM
        (SELECT *, weight / count(*) OVER (PARTITION BY key, series, race_seq) AS w FROM
-        (SELECT k.key, a.series, a.race_seq, a.weight, a.g - b.g AS x1, a.f5 - b.f5 AS x2, a.label - b.label AS y
+        (SELECT k.key, a.series, a.race_seq, {weight} AS weight, a.g - b.g AS x1, a.f5 - b.f5 AS x2, a.label - b.label AS y
          FROM train_filled a JOIN train_filled b ON a.series = b.series AND a.race_seq = b.race_seq AND a.turn < b.turn AND {pair}
          JOIN ({where}) k ON a.race_seq < k.cutoff)) GROUP BY key)"""
 

@@ -15,7 +15,7 @@ from .listwise_q import GRID_SQL, baselines, counts_sql, dnf_field, orders_sql,
 from .metrics_q import BETTER_SQL, BUCKET_SQL, LOW, boot_sql, wilson_sql
 from .ranker_q import TWO, fit_sql, train_field
 from .registry import query
-from .sqlbase import cte, uniform_sql
+from .sqlbase import CTES, cte, prior_values, uniform_sql
 
 N = 20
 R = 200
@@ -402,7 +402,19 @@ def _(t):
     return ev.summary(rows, ("win_logloss", "podium_brier"))
 
 
-@query("j13_definition_experiment", PAIR, None)
+cte("train_field_mean", f"""SELECT series, season, round, race_seq, entity, position, grid, {prior_values('finish_when_running', 'series, entity', 5)} AS drv_avg_finish_5,
+  greatest(24 - position, 0) AS label, greatest(pow(2.0, -(2001 - season) / 2.0), 0.15) AS weight FROM outcomes""")
+cte("train_filled_mean", CTES["train_filled"].replace("train_field", "train_field_mean"))
+cte("definition_scores", f"SELECT *, 'median' AS method FROM ({oos_sql(17)}) UNION ALL SELECT *, 'mean' AS method FROM ({oos_sql(17).replace('train_filled', 'train_filled_mean')})")
+cte("definition_losses", losses_sql("definition_scores"))
+cte("definition_t", rolling_sql("definition_losses"))
+cte("definition_window", f"SELECT s.*, temperature FROM definition_scores s JOIN definition_t USING (series, method, race_seq) WHERE season >= {FIRST_SEASON}")
+cte("definition_table", table_sql(matrix_sql("definition_window", N, "wf")))
+cte("definition_rows", grade_sql("definition_table", "definition_window"))
+cte("definition_diffs", diffs_sql("definition_rows", "median", COMPARE))
+
+
+@query("j13_definition_experiment", PAIR, paired_sql("definition_diffs", COMPARE, "median"))
 def _(t):
     """The same model on recent form defined as a median and as a mean."""
     parts = []
@@ -480,7 +492,18 @@ def _(t):
     return mt.paired_comparison(_quali_rows(_quali_variants(t, d, sets)), EV2, QUALI_METRICS, "mean", replicates=R)
 
 
-@query("j14d_retirement_experiment", "method:s metric:s difference:d ci_low:d ci_high:d", None)
+cte("ret_scores", f"""SELECT w.series, w.season, w.race_seq, w.entity, w.position, w.place, v.method, w.score, w.temperature, dnf_prob
+  FROM wf_window w JOIN (SELECT series, race_seq, entity, dnf_prob FROM dnf_field) USING (series, race_seq, entity), (VALUES ('one half'), ('both halves')) v(method) WHERE w.method = 'model'""")
+cte("ret_one", "SELECT * FROM ret_scores WHERE method = 'one half'")
+cte("ret_both", "SELECT * FROM ret_scores WHERE method = 'both halves'")
+cte("ret_plain", f"{matrix_sql('ret_one', N, 'ret')} UNION ALL {matrix_sql('ret_both', N, 'ret', True)}")
+cte("ret_drawn", matrix_sql("ret_scores", N, "ret-sim", True))
+cte("ret_table", table_sql("SELECT series, race_seq, method, entity, pos, 0.7 * p.share + 0.3 * q.share AS share FROM ret_plain p JOIN ret_drawn q USING (series, race_seq, method, entity, pos)"))
+cte("ret_rows", grade_sql("ret_table", "ret_scores"))
+cte("ret_diffs", diffs_sql("ret_rows", "one half", COMPARE))
+
+
+@query("j14d_retirement_experiment", "method:s metric:s difference:d ci_low:d ci_high:d", paired_sql("ret_diffs", COMPARE, "one half"))
 def _(t):
     """The retirement draw in both halves against one, on shared scores."""
     rates = dnf_field(t).select(*EV2, "entity", "dnf_prob")

@@ -40,12 +40,13 @@ def _sql_cast(name: str, kind: str) -> str:
     }[kind] + f" AS {q}"
 
 
-def query(name: str, spec: str, sql: str | None = None):
+def query(name: str, spec: str, sql: str | None = None, land: bool = True):
+    """Register a query. land: store the results first, for queries that read them more than once."""
     columns = [tuple(part.split(":")) for part in spec.split()]
 
     def register(fn: Callable[[Tables], DataFrame]):
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            return fn(Tables(spark, folder)).select(*[_spark_cast(n, k) for n, k in columns])
+            return fn(Tables(spark, folder, land)).select(*[_spark_cast(n, k) for n, k in columns])
 
         run.__name__ = name
         if name in QUERIES:

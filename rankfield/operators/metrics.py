@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..constants import ECE_BINS, LOG_FLOOR, LOWER_IS_BETTER, RELIABILITY_EDGES
 from ..functions.hashrand import below, dense_index
 from ..functions.scalars import safe_corr, wilson_high, wilson_low
+from ..session import cut
 
 RANKING = ("ndcg3", "ndcg5", "winner_hit", "podium_overlap", "top5_overlap", "top10_overlap", "position_error")
 
@@ -85,6 +86,7 @@ def kendall(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     w = W.partitionBy(*by)
     d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, "entity", x, y)
     d = d.withColumns({"_y": (F.dense_rank().over(w.orderBy(y)) - 1).cast("long"), "_i": F.row_number().over(w.orderBy(x, y, "entity"))})
+    d = cut(d)  # read once for the inversions and once per kind of tie
     top = F.greatest(F.ceil(F.log2(F.max("_y").over(w) + 1)) - 1, F.lit(0)).cast("int")
     bits = d.withColumn("_top", top).withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("_top"))))
     bits = bits.withColumns(

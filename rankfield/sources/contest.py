@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from ..constants import MAX_FIELD, POINTS, SPRINT_POINTS
 from ..operators.windows import event_sequence
-from ..session import ensure_checkpoint_dir, tune
+from ..session import cut, tune
 
 SERIES_SIZE = 20
 EVENT = ["series", "season", "round"]
@@ -33,23 +33,22 @@ def points_for(position: str | Column, table=POINTS) -> Column:
 
 
 class Tables:
-    """Lazy views over one folder of parquet tables."""
+    """Lazy views over one folder of parquet tables.
 
-    def __init__(self, spark: SparkSession, folder: str):
+    With ``land``, results are stored (a reliable checkpoint, which keeps the partitioning by
+    series) the first time they are read: many views and operators read them several times
+    with different columns, and each would otherwise scan the raw lines again."""
+
+    def __init__(self, spark: SparkSession, folder: str, land: bool = False):
         self.spark = tune(spark)
         self.folder = str(folder)
-        self.stored = False
+        self.land = land
 
-    def landed(self) -> Tables:
-        """The same views over stored results: reliable checkpoints cut the lineage of what many of them read."""
-        if self.stored:
-            return self
-        ensure_checkpoint_dir(self.spark)
-        out = Tables(self.spark, self.folder)
-        out.stored = True
-        out.__dict__["totals"] = self.totals.checkpoint()
-        for view in ("contest", "calendar", "standings"):
-            out.__dict__[view] = getattr(out, view).checkpoint()
+    def landed(self, *views: str) -> Tables:
+        """The same views over stored results; further views are stored too where named."""
+        out = self if self.land else Tables(self.spark, self.folder, True)
+        for view in views:
+            out.__dict__[view] = cut(getattr(out, view))
         return out
 
     def raw(self, name: str) -> DataFrame:
@@ -78,6 +77,9 @@ class Tables:
     @cached_property
     def contest(self) -> DataFrame:
         """Results: one row per entrant of an event that was run."""
+        return cut(self._results()) if self.land else self._results()
+
+    def _results(self) -> DataFrame:
         event = W.partitionBy(*EVENT)
         base = event_sequence(self.totals.repartition("series"), SCOPE, ["season", "round"])
         clock = F.col("season") * 12 + F.col("round") + F.col("entity")
@@ -118,7 +120,7 @@ class Tables:
     @cached_property
     def calendar(self) -> DataFrame:
         """Twelve rounds per season of each series, run or not."""
-        seasons = self.totals.select("series", "season").distinct()
+        seasons = (self.contest if self.land else self.totals).select("series", "season").distinct()
         rounds = F.explode(F.sequence(F.lit(1), F.lit(12))).alias("round")
         day = F.when((F.col("season") % 2 == 1) & (F.col("round") % 4 == 0), 21).otherwise(28)
         return seasons.select("series", "season", rounds).select(

@@ -26,7 +26,7 @@ def test_training_never_sees_the_target(spark):
 
 
 def test_features_ignore_their_own_and_later_events(spark, small):
-    base = Tables(spark, small).contest.checkpoint() if spark.sparkContext.getCheckpointDir() else Tables(spark, small).contest
+    base = Tables(spark, small, land=True).contest
     whole = light_build(base)
     for other in (light_build(audit.tamper(base, F.col("race_seq") == 40)), light_build(base.where("race_seq <= 40"))):
         changes = audit.compare_builds(whole, other, CHECKED, 40).collect()

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankfield.llm import fm_decon, maxscore, mixing, ngram_join, suffix_dedup, token_codes, toxicity
+from rankfield.llm import backoff_lm, fm_decon, license_scan, maxscore, mixing, ngram_join, site_quality, suffix_dedup, token_codes, toxicity
 from rankfield.llm.stage import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,12 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
 
 
+@query
+def op2_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    return site_quality.site_quality(table(spark, sf_dir, "documents"), labels, host=F.col("source"), path=F.concat_ws("/", "source", "lang"))
+
+
 @query
 def op3_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_codes.encoded(table(spark, sf_dir, "documents"), tokenizer_path=public_tokenizers.path("byte_bpe_50k.json"))
@@ -61,6 +67,16 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+@query
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(table(spark, sf_dir, "documents"), license_scan.default_templates(spark))
+
+
+@query
+def op7_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff_lm.lm_scores(table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

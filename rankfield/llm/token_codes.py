@@ -12,6 +12,7 @@ are ranges of doc_id in ascending order.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankfield.llm.stage import folder
-from rankfield.llm.text import slices
+from rankfield.llm.text import mix, prefix, raw, slices, span_hashes
 
 BITS = 512
 END = 2
@@ -79,16 +80,100 @@ class Codes:
         return out
 
 
-_tokenizers: dict[str, object] = {}
+class Encoder:
+    """Ids of whole texts, encoding each distinct chunk once.
 
+    A byte-level pre-tokenizer never joins a space to the visible character before it, so a text may be cut before
+    such spaces and the chunks' ids put one after another. Chunks are told apart by two 64-bit hashes; what is
+    kept of them is dropped at ``cache`` entries. Other tokenizers encode texts as they are.
+    """
 
-def tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    if path not in _tokenizers:
-        _tokenizers[path] = Tokenizer.from_file(path)
-    return _tokenizers[path]
+    def __init__(self, path: str, cache: int = 500_000) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        parts = json.loads(self.tokenizer.to_str())
+        before = parts["pre_tokenizer"] or {}
+        self.chunked = before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and parts["normalizer"] is None
+        self.chunked = self.chunked and not any(" " in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in parts["added_tokens"])
+        self.cache = cache
+        self._clear()
+
+    def _clear(self) -> None:
+        self.known: dict[tuple[int, int], int] = {}
+        self.begin, self.length = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int64)
+        self.pool, self.used = np.empty(1 << 18, np.uint32), 0
+
+    def _plain(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, keys: list[tuple[int, int]], texts: list[str]) -> None:
+        for key, ids in zip(keys, self._plain(texts), strict=True):
+            number, to = len(self.known), self.used + len(ids)
+            if number == len(self.begin):
+                self.begin, self.length = np.resize(self.begin, 2 * number), np.resize(self.length, 2 * number)
+            if to > len(self.pool):
+                self.pool = np.resize(self.pool, 2 * to)
+            self.known[key] = number
+            self.begin[number], self.length[number] = self.used, len(ids)
+            self.pool[self.used : to] = ids
+            self.used = to
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a column's texts, one after another, and the n + 1 places where the texts begin and end."""
+        data, offsets = raw(column)
+        if not self.chunked:
+            lists = self._plain(column.fill_null("").to_pylist())
+            return np.array([i for ids in lists for i in ids], np.uint32), np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int64)
+        starts = chunk_starts(data, offsets)
+        if not len(starts):
+            return np.empty(0, np.uint32), np.zeros(len(offsets), np.int64)
+        ends = np.append(starts[1:], len(data))
+        first, second = (span_hashes(prefix(x), starts, ends) for x in (data, SHUFFLED[data]))
+        _, one, which = np.unique(first, return_index=True, return_inverse=True)
+        if (second != second[one][which]).any():  # two chunks of one hash: tell by both
+            _, one, which = np.unique(np.stack((first, second), 1), axis=0, return_index=True, return_inverse=True)
+        if len(self.known) + len(one) > self.cache:
+            self._clear()
+        keys = list(zip(first[one].tolist(), second[one].tolist(), strict=True))
+        new = [i for i, key in enumerate(keys) if key not in self.known]
+        whole = data.tobytes()
+        low, high = starts[one].tolist(), ends[one].tolist()
+        self._learn([keys[i] for i in new], [whole[low[i] : high[i]].decode() for i in new])
+        number = np.array([self.known[key] for key in keys])[which.reshape(-1)]
+        length = self.length[number]
+        after = np.cumsum(length)
+        place = np.arange(after[-1]) - np.repeat(after - length, length) + np.repeat(self.begin[number], length)
+        return self.pool[place], np.concatenate(([0], after))[np.searchsorted(starts, offsets)]
+
+
+#: A second, unrelated order of byte values.
+SHUFFLED = np.argsort(mix(np.arange(256, dtype=np.uint64) + np.uint64(0x5EED))).astype(np.uint8)
+#: First bytes of characters among which are Unicode's spaces.
+SPACE_LEADS = np.zeros(256, bool)
+SPACE_LEADS[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+
+
+def chunk_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where texts may be cut: at their beginnings, and before a space that follows a visible character."""
+    cut = np.zeros(len(data), bool)
+    if len(data):
+        visible = (data > 0x20) & (data != 0x7F)
+        cut[1:] = (data[1:] == 0x20) & visible[:-1]
+        for back in (2, 3):  # the character before may be a space of two or three bytes
+            cut[back:] &= ~(SPACE_LEADS[data[:-back]] & (data[back - 1 : -1] >= 0x80))
+        cut[offsets[:-1][offsets[:-1] < len(data)]] = True
+    return np.flatnonzero(cut)
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 SEGMENT = "shard int, segment int, begin long, n_tokens long, doc_ids array<{id}>, lengths array<long>, levels array<binary>, bitmaps array<binary>, ranks array<binary>"
@@ -98,7 +183,7 @@ def _encode(docs: DataFrame, path: str, segment_tokens: int) -> DataFrame:
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, segment, begin, held = tokenizer(path), 0, 0, 0
+        segment, begin, held = 0, 0, 0
         ids: list[np.ndarray] = []
         names: list = []
 
@@ -111,9 +196,9 @@ def _encode(docs: DataFrame, path: str, segment_tokens: int) -> DataFrame:
         shard = 0
         for part in slices(batches, "text"):
             id_arrow, shard = part["doc_id"].type, part["shard"][0].as_py()
-            texts = part["text"].fill_null("").to_pylist()
-            for name, code in zip(part["doc_id"].to_pylist(), encoder.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-                ids.append(np.array([*code.ids, END], np.uint32))
+            every, at = encoder(path).encode(part["text"])
+            for name, low, high in zip(part["doc_id"].to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                ids.append(np.append(every[low:high], np.uint32(END)))
                 names.append(name)
                 held += len(ids[-1])
                 if held >= segment_tokens:

@@ -84,11 +84,12 @@ class Encoder:
     """Ids of whole texts, encoding each distinct chunk once.
 
     A byte-level pre-tokenizer never joins a space to the visible character before it, so a text may be cut before
-    such spaces and the chunks' ids put one after another. Chunks are told apart by two 64-bit hashes; what is
+    such spaces and the chunks' ids put one after another. For the same reason new chunks are encoded as one long
+    text, whose ids are parted by the bytes that each stands for. Chunks are told apart by two 64-bit hashes; what is
     kept of them is dropped at ``cache`` entries. Other tokenizers encode texts as they are.
     """
 
-    def __init__(self, path: str, cache: int = 500_000) -> None:
+    def __init__(self, path: str, cache: int = 3_000_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -98,54 +99,90 @@ class Encoder:
         self.chunked = before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and parts["normalizer"] is None
         self.chunked = self.chunked and not any(" " in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in parts["added_tokens"])
         self.cache = cache
+        if self.chunked:  # a character of a byte-level token stands for a byte
+            vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+            self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
+            self.bytes_of[list(vocabulary.values())] = [len(t) for t in vocabulary]
+            for t in parts["added_tokens"]:
+                self.bytes_of[t["id"]] = len(t["content"].encode())
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[tuple[int, int], int] = {}
-        self.begin, self.length = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int64)
+        self.first, self.second = np.empty(0, np.uint64), np.empty(0, np.uint64)
+        self.begin, self.length = np.empty(0, np.int64), np.empty(0, np.int32)
         self.pool, self.used = np.empty(1 << 18, np.uint32), 0
 
     def _plain(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, keys: list[tuple[int, int]], texts: list[str]) -> None:
-        for key, ids in zip(keys, self._plain(texts), strict=True):
-            number, to = len(self.known), self.used + len(ids)
-            if number == len(self.begin):
-                self.begin, self.length = np.resize(self.begin, 2 * number), np.resize(self.length, 2 * number)
-            if to > len(self.pool):
-                self.pool = np.resize(self.pool, 2 * to)
-            self.known[key] = number
-            self.begin[number], self.length[number] = self.used, len(ids)
-            self.pool[self.used : to] = ids
-            self.used = to
+    def _fresh(self, data: np.ndarray, low: np.ndarray, high: np.ndarray, inner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks and how many each has. ``inner``: begins with a space and ends where a text may be cut."""
+        whole, size = data.tobytes(), np.zeros(len(low), np.int64)
+        lists: list[np.ndarray] = []
+        order = np.concatenate((np.flatnonzero(inner), np.flatnonzero(~inner)))
+        n = int(inner.sum())
+        if n:
+            ids = np.array(self._plain([b"".join([whole[a:b] for a, b in zip(low[inner].tolist(), high[inner].tolist(), strict=True)]).decode()])[0], np.uint32)
+            ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum((high - low)[inner])) + 1
+            size[order[:n]] = np.diff(ends, prepend=0)
+            lists.append(ids)
+        rest = order[n:]
+        for k, ids in zip(rest.tolist(), self._plain([whole[a:b].decode() for a, b in zip(low[rest].tolist(), high[rest].tolist(), strict=True)]), strict=True):
+            size[k] = len(ids)
+            lists.append(np.array(ids, np.uint32))
+        every = np.concatenate(lists) if lists else np.empty(0, np.uint32)
+        begin = np.empty(len(low), np.int64)
+        begin[order] = np.cumsum(size[order]) - size[order]
+        return every[_spread(begin, size)], size
+
+    def _learn(self, first: np.ndarray, second: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
+        to = self.used + len(ids)
+        if to > len(self.pool):
+            self.pool = np.resize(self.pool, 2 * to)
+        self.pool[self.used : to] = ids
+        at = np.searchsorted(self.first, first)
+        self.begin = np.insert(self.begin, at, self.used + np.cumsum(size) - size)
+        self.length = np.insert(self.length, at, size)
+        self.first, self.second = np.insert(self.first, at, first), np.insert(self.second, at, second)
+        self.used = to
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a column's texts, one after another, and the n + 1 places where the texts begin and end."""
         data, offsets = raw(column)
-        if not self.chunked:
-            lists = self._plain(column.fill_null("").to_pylist())
-            return np.array([i for ids in lists for i in ids], np.uint32), np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int64)
         starts = chunk_starts(data, offsets)
+        if not self.chunked:
+            return self._whole(column)
         if not len(starts):
             return np.empty(0, np.uint32), np.zeros(len(offsets), np.int64)
         ends = np.append(starts[1:], len(data))
         first, second = (span_hashes(prefix(x), starts, ends) for x in (data, SHUFFLED[data]))
         _, one, which = np.unique(first, return_index=True, return_inverse=True)
-        if (second != second[one][which]).any():  # two chunks of one hash: tell by both
-            _, one, which = np.unique(np.stack((first, second), 1), axis=0, return_index=True, return_inverse=True)
-        if len(self.known) + len(one) > self.cache:
+        a, b = first[one], second[one]
+        if len(self.first) + len(one) > self.cache:
             self._clear()
-        keys = list(zip(first[one].tolist(), second[one].tolist(), strict=True))
-        new = [i for i, key in enumerate(keys) if key not in self.known]
-        whole = data.tobytes()
-        low, high = starts[one].tolist(), ends[one].tolist()
-        self._learn([keys[i] for i in new], [whole[low[i] : high[i]].decode() for i in new])
-        number = np.array([self.known[key] for key in keys])[which.reshape(-1)]
-        length = self.length[number]
-        after = np.cumsum(length)
-        place = np.arange(after[-1]) - np.repeat(after - length, length) + np.repeat(self.begin[number], length)
-        return self.pool[place], np.concatenate(([0], after))[np.searchsorted(starts, offsets)]
+        at = np.minimum(np.searchsorted(self.first, a), max(0, len(self.first) - 1))
+        known = self.first[at] == a if len(self.first) else np.zeros(len(a), bool)
+        if (second != b[which]).any() or (self.second[at[known]] != b[known]).any():
+            return self._whole(column)  # two chunks of one hash
+        new = ~known
+        if new.any():
+            low, high = starts[one][new], ends[one][new]
+            outer = np.zeros(len(data) + 1, bool)
+            outer[offsets] = True
+            self._learn(a[new], b[new], *self._fresh(data, low, high, (data[low] == 0x20) & ~outer[low] & ~outer[high]))
+        number = np.searchsorted(self.first, a)[which]
+        length = self.length[number].astype(np.int64)
+        return self.pool[_spread(self.begin[number], length)], np.concatenate(([0], np.cumsum(length)))[np.searchsorted(starts, offsets)]
+
+    def _whole(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        lists = self._plain(column.fill_null("").to_pylist())
+        return np.array([i for ids in lists for i in ids], np.uint32), np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int64)
+
+
+def _spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, ... of each range, one range after another."""
+    after = np.cumsum(size)
+    return np.arange(after[-1] if len(after) else 0) - np.repeat(after - size, size) + np.repeat(begin, size)
 
 
 #: A second, unrelated order of byte values.

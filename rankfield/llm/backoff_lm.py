@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankfield.llm.stage import stored
-from rankfield.llm.text import BASE, Words, mix
+from rankfield.llm.text import BASE, Words, mix, slices
 
 SLICE_BYTES = 8 << 20
 RANGE_BYTES = 12 << 20
@@ -36,16 +36,20 @@ class Grams:
     """Hashes of the n-grams that end at each token of the texts of a slice; a text's tokens are its words, then END."""
 
     def __init__(self, column: pa.Array, order: int) -> None:
-        words = Words(column, lower=True)
-        n = len(words.start) + words.rows
-        self.row = np.repeat(np.arange(words.rows), words.count + 1)
-        self.last = np.cumsum(words.count + 1) - 1
-        token = np.empty(n, np.uint64)
-        token[np.arange(len(words.start)) + words.row] = words.hashes()
-        token[self.last] = END
+        batch = pa.RecordBatch.from_arrays([column], ["text"])
+        parts = [(w.hashes(), w.count) for w in (Words(p["text"], lower=True) for p in slices(iter([batch]), "text"))]
+        hashes, count = (np.concatenate([p[i] for p in parts]) if parts else np.empty(0, np.uint64) for i in (0, 1))
+        count = count.astype(np.int64)
+        rows, n = len(count), len(hashes) + len(count)
+        self.row = np.repeat(np.arange(rows), count + 1)
+        self.last = np.cumsum(count + 1) - 1
+        token = np.full(n, END, np.uint64)
+        inner = np.ones(n, bool)
+        inner[self.last] = False
+        token[inner] = hashes
         self.first = np.zeros(n, bool)
-        self.first[self.last - words.count] = True
-        place = np.arange(n) - (self.last - words.count)[self.row]
+        self.first[self.last - count] = True
+        place = np.arange(n) - (self.last - count)[self.row]
         #: By length k: the hash of the last k tokens, and whether there are so many (one END may stand before a text).
         self.hash, self.there = [token], [np.ones(n, bool)]
         for k in range(2, order + 1):

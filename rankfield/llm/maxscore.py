@@ -28,7 +28,10 @@ EXACT = float(1 << 62)
 
 
 def _packed(vectors: DataFrame, scale: float) -> DataFrame:
-    """Shards (shard, dims, ids, matrix): floor(scale * x) as doubles, without rows that take no part."""
+    """Shards (shard, dims, ids, matrix): floor(scale * x) as doubles, without rows that take no part.
+
+    Shards of about SHARD_ROWS rows, whatever the input's files, keep the work of a query in long arrays.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
@@ -50,6 +53,8 @@ def _packed(vectors: DataFrame, scale: float) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["shard", "dims", "ids", "matrix"])
                         number += 1
 
+    shards = 1 + vectors.count() // SHARD_ROWS
+    vectors = vectors.repartition(shards, F.xxhash64("vec_id", "vector"))
     usable = F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & (F.size("vector") > 0) & ~F.exists("vector", lambda x: x.isNull())
     return vectors.where(usable).mapInArrow(run, "shard long, dims int, ids binary, matrix binary")
 

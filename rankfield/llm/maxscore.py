@@ -1,10 +1,10 @@
 """Exact top-k inner products by MaxScore over an inverted index of integer vectors.
 
-A term is a dimension with a sign; its postings are the vectors whose component has that sign. A query term can
-add at most |q| times the largest component of its postings; components of the other sign only subtract. Terms
-are ordered by these bounds, and the longest run of small ones whose bounds together stay below the k-th best
-score so far is non-essential: a vector in no essential posting cannot enter. Essential postings are traversed,
-the other dimensions are probed only for vectors that can still reach the threshold, largest bounds first.
+A term is a dimension; its postings are the vectors with a positive and those with a negative component. A query
+term can add at most |q| times the largest component of the sign that it shares. Terms are ordered by these bounds,
+and the longest run of small ones whose bounds together stay below the k-th best score so far is non-essential: a
+vector in no essential posting cannot enter. Essential postings of both signs are traversed, the other dimensions are
+probed only for vectors that can still reach the threshold, largest bounds first.
 
 Shards of the index are runs of rows; queries go to them in chunks of at most ``chunk_bytes``, and each task keeps
 the k best of each query over its shards. A last grouping merges the tasks' lists.
@@ -24,7 +24,8 @@ from rankfield.llm.stage import stored
 
 CHUNK_BYTES = 16 << 20
 SHARD_ROWS = 8192
-EXACT = float(1 << 62)
+QUERY_ROWS = 128
+EXACT = float(1 << 53)
 
 
 def _packed(vectors: DataFrame, scale: float) -> DataFrame:
@@ -64,46 +65,47 @@ def _matrix(value: bytes, dims: int) -> np.ndarray:
 
 
 class Shard:
-    """Postings by dimension and sign, and the rows themselves to probe."""
+    """Postings by dimension and sign, laid out as rows of one matrix, and the vectors themselves to probe."""
 
     def __init__(self, matrix: np.ndarray, exact: bool) -> None:
-        # Whole numbers: 64-bit where every sum fits, else Python's own.
-        self.rows = matrix.astype(np.int64) if exact else np.frompyfunc(int, 1, 1)(matrix)
-        signs = [(matrix[:, d] > 0, matrix[:, d] < 0) for d in range(matrix.shape[1])]
-        self.postings = [tuple(np.flatnonzero(s) for s in pair) for pair in signs]
-        self.most = np.array([[max(matrix[:, d].max(), 0), max(-matrix[:, d].min(), 0)] for d in range(matrix.shape[1])])
-
-    def search(self, query: np.ndarray, floor, skip: int) -> tuple[np.ndarray, np.ndarray]:
-        """Rows, and their whole scores, among which are all that reach ``floor`` (None: no floor yet); not ``skip``."""
-        n, dims = self.rows.shape
-        side = (query < 0).astype(int)
-        bound = np.array([abs(int(q)) * int(self.most[d, s]) for d, (q, s) in enumerate(zip(query, side, strict=True))], dtype=self.rows.dtype)
-        order = np.argsort(-bound.astype(float), kind="stable")
-        rest = np.append(np.cumsum(bound[order][::-1])[::-1], bound[:1] * 0)
-        if floor is None or floor <= 0:
-            essential, alive, score = 0, np.arange(n), np.zeros(n, self.rows.dtype)
-        else:
-            essential = int(np.flatnonzero(rest < floor)[0])
-            gain, seen = np.zeros(n, self.rows.dtype), np.zeros(n, bool)
-            for d in order[:essential]:
-                at = self.postings[d][side[d]]
-                gain[at] += query[d] * self.rows[at, d]
-                seen[at] = True
-            alive = np.flatnonzero(seen)
-            alive = alive[gain[alive] + rest[essential] >= floor]
-            score = gain[alive]
-            # What essential dimensions subtract is probed with the rest.
-            for d in order[:essential]:
-                value = query[d] * self.rows[alive, d]
-                score += np.where(value < 0, value, 0)
-        for at in range(essential, dims, 8):
-            columns = order[at : at + 8]
-            score = score + (self.rows[np.ix_(alive, columns)] * query[columns]).sum(1)
-            if floor is not None:
-                keep = score + rest[min(at + 8, dims)] >= floor
-                alive, score = alive[keep], score[keep]
-        keep = alive != skip
-        return alive[keep], score[keep]
+        # Whole numbers: doubles where every sum is exact in them, else Python's own.
+        self.rows = matrix if exact else np.frompyfunc(int, 1, 1)(matrix)
+        self.postings = np.concatenate((np.maximum(self.rows.T, 0), np.maximum(-self.rows.T, 0)))
+        self.most = self.postings.max(axis=1)
+
+    def search(self, queries: np.ndarray, floors: list, skip: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each query the rows, and their whole scores, among which are all that reach its floor (None: no floor yet).
+
+        The row ``skip`` of a query is left out. Essential postings of all queries are traversed together.
+        """
+        dims = self.rows.shape[1]
+        terms = np.where(queries > 0, np.arange(dims), np.arange(dims) + dims)
+        bound = np.abs(queries) * self.most[terms]
+        order = np.argsort(-bound.astype(float), axis=1, kind="stable")
+        sorted_ = np.take_along_axis(bound, order, 1)
+        rest = np.concatenate((np.cumsum(sorted_[:, ::-1], axis=1)[:, ::-1], 0 * sorted_[:, :1]), axis=1)
+        weight, essential = np.zeros((len(queries), 2 * dims), self.rows.dtype), np.zeros(len(queries), int)
+        for i, floor in enumerate(floors):
+            if floor is not None and floor > 0:
+                essential[i] = int(np.flatnonzero(rest[i] < floor)[0])
+                own = order[i, : essential[i]]
+                weight[i, terms[i, own]] = np.abs(queries[i, own])
+                weight[i, (terms[i, own] + dims) % (2 * dims)] = -np.abs(queries[i, own])
+        gain = weight @ self.postings
+        for i, floor in enumerate(floors):
+            first = essential[i]
+            # Without essential terms every row is a candidate; else one in none of their postings is below the floor.
+            alive = np.flatnonzero(gain[i] + rest[i, first] >= floor) if first else np.arange(len(self.rows))
+            alive = alive[alive != skip[i]]
+            score = gain[i, alive]
+            for low in range(first, dims, 8):
+                high = min(low + 8, dims)
+                columns = order[i, low:high]
+                score = score + self.rows[np.ix_(alive, columns)] @ queries[i, columns]
+                if floor is not None:
+                    keep = score + rest[i, high] >= floor
+                    alive, score = alive[keep], score[keep]
+            yield i, alive, score
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -115,7 +117,7 @@ def _scan(shards: DataFrame, chunk: list, k: int) -> DataFrame:
     sent = shards.sparkSession.sparkContext.broadcast([(r["number"], r["dims"], r["shard"], r["place"], r["vec_id"], bytes(r["vector"])) for r in chunk])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries = [(number, dims, shard, place, np.frombuffer(v, np.float64)) for number, dims, shard, place, _, v in sent.value]
+        queries = [(number, dims, home, place, np.frombuffer(v, np.float64)) for number, dims, home, place, _, v in sent.value]
         largest = max((np.abs(q[4]).max() for q in queries), default=0.0)
         best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
@@ -124,20 +126,25 @@ def _scan(shards: DataFrame, chunk: list, k: int) -> DataFrame:
                 matrix, ids = _matrix(batch["matrix"][i].as_py(), dims), np.frombuffer(batch["ids"][i].as_py(), np.int64)
                 exact = max(np.abs(matrix).max(), 1) * max(largest, 1) * dims < EXACT
                 shard = Shard(matrix, exact)
-                for query, size, home, place, vector in queries:
-                    if size != dims:
-                        continue
-                    vector = vector.astype(np.int64) if exact else np.frompyfunc(int, 1, 1)(vector)
-                    have = best.get(query)
-                    floor = have[0][-1] if have and len(have[0]) == k else None
-                    if floor is None and len(ids) > 64:  # the first rows give a first threshold
-                        first = (shard.rows[:64] * vector).sum(1)
-                        first = np.sort(first[np.arange(64) != (place if home == number else -1)])
-                        floor = first[-k] if len(first) >= k else None
-                    at, score = shard.search(vector, floor, place if home == number else -1)
-                    if len(at):
-                        score, found = (score, ids[at]) if have is None else (np.concatenate((have[0], score)), np.concatenate((have[1], ids[at])))
-                        best[query] = _best(score, found, k)
+                own = [q for q in queries if q[1] == dims]
+                for at in range(0, len(own), QUERY_ROWS):
+                    part = own[at : at + QUERY_ROWS]
+                    block = np.stack([q[4] for q in part])
+                    block = block if exact else np.frompyfunc(int, 1, 1)(block)
+                    skip = [q[3] if q[2] == number else -1 for q in part]
+                    floors = []
+                    first = shard.rows[:256] @ block.T  # the first rows give a first threshold
+                    for j, (query, *_) in enumerate(part):
+                        have = best.get(query)
+                        seen = np.sort(first[np.arange(len(first)) != skip[j], j])
+                        known = [x for x in (have[0][-1] if have and len(have[0]) == k else None, seen[-k] if len(seen) >= k else None) if x is not None]
+                        floors.append(max(known) if known else None)
+                    for j, rows, score in shard.search(block, floors, skip):
+                        if len(rows):
+                            query, found = part[j][0], ids[rows]
+                            if query in best:
+                                score, found = np.concatenate((best[query][0], score)), np.concatenate((best[query][1], found))
+                            best[query] = _best(score, found, k)
         rows = [(query, int(v), int(max(min(s, (1 << 63) - 1), -(1 << 63)))) for query, (scores, ids) in best.items() for s, v in zip(scores, ids, strict=True)]
         columns = list(zip(*rows, strict=True)) or [(), (), ()]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["number", "vec_id", "score"])

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from rankfield.llm.text import Words, grams, slices
 
-MAX_TRAIN = 24_000
+MAX_TRAIN = 20_000
 DIMS = 1 << 20
 GAPS = ((), (1,), (2,))
 
@@ -104,14 +104,16 @@ def train(
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     sample = features(texts, dims)
 
-    def fit(_, frame):  # one group of at most max_train rows
-        import pandas as pd
+    def fit(table: pa.Table) -> pa.Table:  # one group of at most max_train rows
+        lists = table["features"].combine_chunks()
+        ends, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+        turn, doc, label = table["turn"].to_numpy(), np.array(table["doc_id"].to_pylist(), object), table["label"].to_numpy().astype(float)
+        order = sorted(range(len(turn)), key=lambda i: (turn[i], doc[i], ends[i + 1] - ends[i]))
+        order = [i for k, i in enumerate(order) if not k or doc[i] != doc[order[k - 1]]]  # repeated rows once
+        index, weight, bias = _fit([values[ends[i] : ends[i + 1]] for i in order], label[order], dims, epochs, alpha, beta, l1, l2)
+        return pa.table({"index": pa.array([index], pa.list_(pa.int64())), "weight": pa.array([weight], pa.list_(pa.float64())), "bias": pa.array([bias], pa.float64())})
 
-        frame = frame.drop_duplicates(subset=["doc_id"]).sort_values(["turn", "doc_id"])
-        index, weight, bias = _fit([np.asarray(x, np.int64) for x in frame.features], frame.label.to_numpy(float), dims, epochs, alpha, beta, l1, l2)
-        return pd.DataFrame({"index": [index], "weight": [weight], "bias": [bias]})
-
-    row = sample.groupBy(F.lit(1).alias("all")).applyInPandas(fit, "index array<long>, weight array<double>, bias double").first()
+    row = sample.groupBy(F.lit(1).alias("all")).applyInArrow(fit, "index array<long>, weight array<double>, bias double").first()
     if row is None:
         return Model(np.empty(0, np.int64), np.empty(0, np.float32), 0.0, dims)
     return Model(np.asarray(row["index"], np.int64), np.asarray(row["weight"], np.float32), float(row["bias"]), dims)

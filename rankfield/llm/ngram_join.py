@@ -241,6 +241,7 @@ def _verify(members: DataFrame, n: int, threshold: float, least: np.ndarray, pac
                     joined = np.unique(label_of[np.append(others, one)])
                     label_of[np.isin(label_of, joined)] = joined[0]
             out += zip(keys[at], keys[at[label_of]], links.tolist(), (part[at] != "").tolist(), strict=True)
+        pa.default_memory_pool().release_unused()
         node, hub, links, split = zip(*out, strict=True)
         return pa.table({"node": pa.array(node, pa.binary()), "hub": pa.array(hub, pa.binary()), "links": pa.array(links, pa.int64()), "split": pa.array(split)})
 

@@ -32,8 +32,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 _shipped: set[str] = set()
 
 
+#: Whole texts are long: fewer rows per Arrow batch than Spark's default of 10,000.
+BATCH_ROWS = 2000
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Send this package to the executors, once per application, as ``--py-files`` would."""
+    """Send this package to the executors, once per application, as ``--py-files`` would.
+
+    The registered queries and the pipeline start with it. It also lowers the session's Arrow batches to BATCH_ROWS.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > BATCH_ROWS or int(spark.conf.get(key)) <= 0:
+        spark.conf.set(key, str(BATCH_ROWS))
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         root = Path(rankfield.__file__).parent

@@ -76,6 +76,7 @@ def slices(batches: Iterator[pa.RecordBatch], name: str, limit: int = SLICE_BYTE
             to = max(at + 1, int(np.searchsorted(ends, before + limit, "right")))
             yield batch.slice(at, to - at)
             at = to
+        pa.default_memory_pool().release_unused()  # Python workers outlive their tasks
 
 
 class Words:

@@ -89,7 +89,7 @@ class Encoder:
     kept of them is dropped at ``cache`` entries. Other tokenizers encode texts as they are.
     """
 
-    def __init__(self, path: str, cache: int = 3_000_000) -> None:
+    def __init__(self, path: str, cache: int = 1_000_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

@@ -6,22 +6,21 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..constants import BLEND_CANDIDATES, MIN_BIAS_EVENTS
+from ..constants import BLEND_CANDIDATES, MIN_BIAS_EVENTS, MIN_TRAIN_EVENTS, RECENCY_CANDIDATES
 from ..operators import listwise as lw, metrics as mt, ranker as rk
 from ..plans import evaluate as ev, features as ft
 from ..session import cut
 from ..sources.contest import EVENT, KEY, Tables
 from .listwise_q import GRID_SQL, baselines, counts_sql, dnf_field, orders_sql, retire_sql, summary_sql
 from .metrics_q import BETTER_SQL, BUCKET_SQL, LOW, boot_sql, wilson_sql
-from .ranker_q import TWO, fit_sql, train_field
+from .ranker_q import TWO, dated, fit_sql, train_field
 from .registry import query
 from .sqlbase import CTES, cte, prior_values, uniform_sql
 
 N = 20
-R = 200
+R = 5000
 EV2 = ["series", "race_seq"]
 SM = "series:i race_seq:i method:s "
-MODEL_FALLBACK = 1.0
 
 
 @query(
@@ -34,38 +33,34 @@ def _(t: Tables):
 
 
 # -- out-of-sample model scores --------------------------------------------------------
-START = 50  # first target: the warm-up before the reported window
-EVERY = 11
-CUTOFFS = sorted({START + (s - START) // EVERY * EVERY for s in range(START, 83)})
-cte("oos_fit", fit_sql(" UNION ALL ".join(f"SELECT {c} AS key, {c} AS cutoff" for c in CUTOFFS)))
-cte("oos_scores", f"""SELECT series, season, round, race_seq, entity, position, CAST(position AS DOUBLE) AS place, key AS cutoff,
-  (raw - avg(raw) OVER w) / CASE WHEN stddev_pop(raw) OVER w > 1e-9 THEN stddev_pop(raw) OVER w ELSE 1 END AS score FROM
-  (SELECT f.*, key, c1 * g + c2 * f5 AS raw FROM train_filled f JOIN oos_fit c ON f.race_seq >= {START} AND c.key = {START} + (f.race_seq - {START}) // {EVERY} * {EVERY})
-  WINDOW w AS (PARTITION BY series, race_seq)""")
-
-
-def oos_sql(every: int, pair: str = "true", weight: str = "a.weight") -> str:
-    """Out-of-sample scores in SQL: one fit per cut-off, standardised within the event."""
-    cutoffs = sorted({START + (x - START) // every * every for x in range(START, 83)})
-    fit = fit_sql(" UNION ALL ".join(f"SELECT {c} AS key, {c} AS cutoff" for c in cutoffs), pair, weight)
-    return f"""SELECT series, season, round, race_seq, entity, position, CAST(position AS DOUBLE) AS place,
+# A target needs 30 earlier dates; each date's model is refitted, its seasons weighed from the last one trained on.
+cte("oos_dates", f"""SELECT race_date AS key, race_date AS cutoff, max(last) OVER (ORDER BY race_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS latest
+  FROM (SELECT race_date, max(season) AS last FROM train_field GROUP BY race_date) QUALIFY row_number() OVER (ORDER BY race_date) > {MIN_TRAIN_EVENTS}""")
+
+
+def oos_sql(pair: str = "true", recency: float | None = 2.0, field: str = "train_filled") -> str:
+    """Out-of-sample scores in SQL: one fit per date from earlier dates, standardised within the event."""
+    weight = f"greatest(pow({recency}, -(k.latest - a.season) / 2.0), 0.15)"
+    fit = fit_sql("SELECT * FROM oos_dates", pair, weight, "a.race_date < k.cutoff").replace("train_filled", field)
+    return f"""SELECT series, season, round, race_seq, entity, position, CAST(position AS DOUBLE) AS place, CAST(race_date AS VARCHAR) AS cutoff,
       (raw - avg(raw) OVER w) / CASE WHEN stddev_pop(raw) OVER w > 1e-9 THEN stddev_pop(raw) OVER w ELSE 1 END AS score FROM
-      (SELECT f.*, c1 * g + c2 * f5 AS raw FROM train_filled f JOIN ({fit}) c ON f.race_seq >= {START} AND c.key = {START} + (f.race_seq - {START}) // {every} * {every})
+      (SELECT f.*, c1 * g + c2 * f5 AS raw FROM {field} f JOIN ({fit}) c ON c.key = f.race_date)
       WINDOW w AS (PARTITION BY series, race_seq)"""
 
 
-def oos(t: Tables, features=TWO, label="label", top=None, every=EVERY, ridge=0.0, weight: float | None = None, d: DataFrame | None = None):
+cte("oos_scores", oos_sql())
+cte("oos_events", "SELECT DISTINCT series, race_seq FROM train_field WHERE race_date IN (SELECT key FROM oos_dates)")
+
+
+def oos(t: Tables, features=TWO, label="label", top=None, ridge=0.0, recency: float | None = 2.0, d: DataFrame | None = None):
     d = cut(train_field(t)) if d is None else d
-    if weight is not None:
-        d = cut(rk.recency_weights(d, weight, 2001))
-    targets = d.where(F.col("race_seq") >= START).select(*EV2)
-    out = ev.oos_scores(d, targets, lambda h: rk.train(h, features, label, top=top, ridge=ridge), every)
-    return out.withColumns({"place": F.col("position").cast("double"), "method": F.lit("model")})
+    out = ev.oos_scores(d, d.select(*EV2), features, label, recency, top, ridge)
+    return out.withColumns({"place": F.col("position").cast("double"), "method": F.lit("model"), "cutoff": F.col("cutoff").cast("string")})
 
 
 @query(
     "j2_oos_scores",
-    "series:i race_seq:i entity:i cutoff:i score:d",
+    "series:i race_seq:i entity:i cutoff:s score:d",
     "SELECT * FROM oos_scores",
 )
 def _(t):
@@ -78,13 +73,13 @@ def _all_scores(t: Tables, methods=("grid", "recent_form"), model: DataFrame | N
     cols = ["series", "season", "round", "race_seq", "entity", "position", "place", "method", "score"]
     both = (oos(t, d=d) if model is None else model).select(*cols)
     if methods:
-        both = both.unionByName(baselines(t, methods).select(*cols).where(F.col("race_seq") >= START))
+        both = both.unionByName(baselines(t, methods).join(ev.eligible(d), EV2, "left_semi").select(*cols))
     return cut(both)
 
 
 FIRST_SEASON = 2000
-cte("wf_scores", f"""SELECT series, season, race_seq, entity, position, place, 'model' AS method, score FROM oos_scores
-  UNION ALL SELECT series, season, race_seq, entity, position, place, method, score FROM baselines WHERE method IN ('grid', 'recent_form') AND race_seq >= {START}""")
+cte("wf_scores", """SELECT series, season, race_seq, entity, position, place, 'model' AS method, score FROM oos_scores
+  UNION ALL SELECT series, season, race_seq, entity, position, place, method, score FROM baselines SEMI JOIN oos_events USING (series, race_seq) WHERE method IN ('grid', 'recent_form')""")
 
 
 def losses_sql(src: str, place: str = "place") -> str:
@@ -141,7 +136,7 @@ cte("wf_rows", f"SELECT * FROM ({grade_sql('wf_table', 'wf_window')}) JOIN (SELE
 
 
 def targets_of(scores: DataFrame, start: int = FIRST_SEASON) -> DataFrame:
-    return ev.window_targets(ev.completed_events(scores, 0), start, None, 83)
+    return ev.window_targets(ev.completed_events(scores, 0), start)
 
 
 def forward(t: Tables, scores: DataFrame | None = None, **kw):
@@ -157,9 +152,9 @@ def _(t):
     return forward(t)[0]
 
 
-cte("wq_scores", f"""SELECT b.series, b.season, b.race_seq, b.entity, b.method, b.score, CAST(c.quali_position AS DOUBLE) AS place
+cte("wq_scores", """SELECT b.series, b.season, b.race_seq, b.entity, b.method, b.score, CAST(c.quali_position AS DOUBLE) AS place
   FROM baselines b JOIN (SELECT series, race_seq, entity, quali_position FROM contest) c USING (series, race_seq, entity)
-  WHERE method IN ('recent_form', 'team_form') AND b.race_seq >= {START}""")
+  SEMI JOIN oos_events e ON b.series = e.series AND b.race_seq = e.race_seq WHERE method IN ('recent_form', 'team_form')""")
 cte("wq_losses", losses_sql("wq_scores"))
 cte("wq_t", rolling_sql("wq_losses"))
 cte("wq_rows", f"""SELECT series, race_seq, method, any_value(season) AS season, any_value(temperature) AS temperature, avg(abs(pr - place)) AS position_error,
@@ -171,7 +166,7 @@ cte("wq_rows", f"""SELECT series, race_seq, method, any_value(season) AS season,
 @query("j4_walk_forward_quali", SM + "season:i temperature:d position_error:d pole_logloss:d", "SELECT * FROM wq_rows")
 def _(t):
     q = t.contest.select(*EV2, "entity", F.col("quali_position").cast("double").alias("quali_place"))
-    b = baselines(t, ("recent_form", "team_form")).where(F.col("race_seq") >= START).drop("place")
+    b = baselines(t, ("recent_form", "team_form")).join(ev.eligible(cut(train_field(t))), EV2, "left_semi").drop("place")
     scores = cut(b.join(q, [*EV2, "entity"]))
     return ev.walk_forward_quali(scores.drop("season", "round"), targets_of(scores), "quali_place")
 
@@ -276,9 +271,9 @@ def _(t):
     return ev.tune_blend(scores, 0.7, BLEND_CANDIDATES, N)
 
 
-RECENCIES = (1.0, 2.0, 4.0)
+RECENCIES = RECENCY_CANDIDATES
 cte("recency_scores", " UNION ALL ".join(
-    f"SELECT *, '{w}' AS method FROM ({oos_sql(17, weight=f'greatest(pow({w}, -(2001 - a.season) / 2.0), 0.15)')})" for w in RECENCIES))
+    f"SELECT *, '{w}' AS method FROM ({oos_sql(recency=w)})" for w in RECENCIES))
 cte("recency_losses", losses_sql("recency_scores"))
 
 
@@ -293,7 +288,7 @@ def _(t):
     d = cut(train_field(t))
     parts = []
     for w in RECENCIES:
-        scores = cut(oos(t, every=17, weight=w, d=d))
+        scores = cut(oos(t, recency=w, d=d))
         parts.append(_pooled_fit(scores).withColumn("recency", F.lit(w)))
     both = cut(reduce(DataFrame.unionByName, parts))
     best = F.first("recency").over(lw.W.partitionBy("method").orderBy("loss", "recency"))
@@ -352,7 +347,7 @@ def _variants(t: Tables, sets: dict[str, dict], place: str = "position") -> Data
     """Out-of-sample scores of model variants, one method each; the frame is built once."""
     d = cut(train_field(t))
     parts = [
-        oos(t, d=d, every=17, **kw).withColumn("method", F.lit(name)).select(
+        oos(t, d=d, **kw).withColumn("method", F.lit(name)).select(
             "series", "season", "round", "race_seq", "entity", "position", "place", "method", "score")
         for name, kw in sets.items()
     ]
@@ -403,9 +398,9 @@ def _(t):
 
 
 cte("train_field_mean", f"""SELECT series, season, round, race_seq, entity, position, grid, {prior_values('finish_when_running', 'series, entity', 5)} AS drv_avg_finish_5,
-  greatest(24 - position, 0) AS label, greatest(pow(2.0, -(2001 - season) / 2.0), 0.15) AS weight FROM outcomes""")
+  make_date(season, round, 28) AS race_date, greatest(24 - position, 0) AS label FROM outcomes""")
 cte("train_filled_mean", CTES["train_filled"].replace("train_field", "train_field_mean"))
-cte("definition_scores", f"SELECT *, 'median' AS method FROM ({oos_sql(17)}) UNION ALL SELECT *, 'mean' AS method FROM ({oos_sql(17).replace('train_filled', 'train_filled_mean')})")
+cte("definition_scores", f"SELECT *, 'median' AS method FROM ({oos_sql()}) UNION ALL SELECT *, 'mean' AS method FROM ({oos_sql(field='train_filled_mean')})")
 cte("definition_losses", losses_sql("definition_scores"))
 cte("definition_t", rolling_sql("definition_losses"))
 cte("definition_window", f"SELECT s.*, temperature FROM definition_scores s JOIN definition_t USING (series, method, race_seq) WHERE season >= {FIRST_SEASON}")
@@ -420,8 +415,8 @@ def _(t):
     parts = []
     for stat in ("median", "mean"):
         d = ft.add_form(t.outcomes, stat).withColumn("label", ft.relevance("position"))
-        d = cut(rk.recency_weights(d, 2.0, 2001).select(*EVENT, "race_seq", "entity", "position", "grid", "drv_avg_finish_5", "label", "weight"))
-        parts.append(oos(t, d=d, every=17).withColumn("method", F.lit(stat)).select(
+        d = cut(dated(d).select(*EVENT, "race_date", "race_seq", "entity", "position", "grid", "drv_avg_finish_5", "label"))
+        parts.append(oos(t, d=d).withColumn("method", F.lit(stat)).select(
             "series", "season", "round", "race_seq", "entity", "position", "place", "method", "score"))
     return _compare(t, cut(reduce(DataFrame.unionByName, parts)), "median")
 
@@ -442,13 +437,13 @@ def _practice_frame(t: Tables) -> DataFrame:
     p = ft.practice_inputs(t.session_pace, t.calendar, t.sprint_quali, 1998)
     d = ft.add_quali(ft.add_practice(t.outcomes.join(p, KEY, "left")))
     d = d.withColumn("label", ft.relevance("quali_position"))
-    cols = ["position", "quali_position", "sq_position", "drv_avg_quali_5", "fp_best_gap_pct", "fp_long_run_gap_pct", "fp_latest_gap_pct", "label", "weight"]
-    return cut(rk.recency_weights(d, 2.0, 2001).select(*EVENT, "race_seq", "entity", *cols))
+    cols = ["position", "quali_position", "sq_position", "drv_avg_quali_5", "fp_best_gap_pct", "fp_long_run_gap_pct", "fp_latest_gap_pct", "label"]
+    return cut(dated(d).select(*EVENT, "race_date", "race_seq", "entity", *cols))
 
 
 def _quali_variants(t: Tables, d: DataFrame, sets: dict[str, dict]) -> DataFrame:
     parts = [
-        oos(t, d=d, every=17, **kw).withColumn("method", F.lit(n)).select("series", "season", "round", "race_seq", "entity", "method", "score", "sq_position", F.col("quali_position").cast("double").alias("place"))
+        oos(t, d=d, **kw).withColumn("method", F.lit(n)).select("series", "season", "round", "race_seq", "entity", "method", "score", "sq_position", F.col("quali_position").cast("double").alias("place"))
         for n, kw in sets.items()
     ]
     return cut(reduce(DataFrame.unionByName, parts))
@@ -458,7 +453,7 @@ QUALI_METRICS = ("ndcg5", "position_error", "pole_logloss")
 
 
 def _quali_rows(scores: DataFrame) -> DataFrame:
-    targets = ev.window_targets(ev.completed_events(scores, 0, place="place"), FIRST_SEASON, None, 83)
+    targets = ev.window_targets(ev.completed_events(scores, 0, place="place"), FIRST_SEASON)
     return cut(ev.walk_forward_quali(scores.drop("season", "round"), targets, "place"))
 
 
@@ -519,14 +514,14 @@ def _(t):
 @query("j14e_venue_class_experiment", PAIR, None)
 def _(t):
     d = ft.add_venue_class(ft.add_form(t.outcomes), (F.col("venue") % 100).isin(2, 5, 7, 11)).withColumn("label", ft.relevance("position"))
-    d = cut(rk.recency_weights(d, 2.0, 2001).select(*EVENT, "race_seq", "entity", "position", "grid", "drv_avg_finish_5", "drv_type_avg_finish", "team_type_avg_finish", "label", "weight"))
+    d = cut(dated(d).select(*EVENT, "race_date", "race_seq", "entity", "position", "grid", "drv_avg_finish_5", "drv_type_avg_finish", "team_type_avg_finish", "label"))
     cols = ["series", "season", "round", "race_seq", "entity", "position", "place", "method", "score"]
-    without = oos(t, d=d, every=17).withColumn("method", F.lit("without")).select(*cols)
-    with_ = oos(t, (*TWO, "drv_type_avg_finish", "team_type_avg_finish"), d=d, every=17).withColumn("method", F.lit("with")).select(*cols)
+    without = oos(t, d=d).withColumn("method", F.lit("without")).select(*cols)
+    with_ = oos(t, (*TWO, "drv_type_avg_finish", "team_type_avg_finish"), d=d).withColumn("method", F.lit("with")).select(*cols)
     return _compare(t, cut(without.unionByName(with_)), "without")
 
 
-cte("pairing_scores", f"SELECT *, 'whole field' AS method FROM ({oos_sql(17)}) UNION ALL SELECT *, 'top eight' AS method FROM ({oos_sql(17, 'a.turn <= 8')})")
+cte("pairing_scores", f"SELECT *, 'whole field' AS method FROM ({oos_sql()}) UNION ALL SELECT *, 'top eight' AS method FROM ({oos_sql('a.turn <= 8')})")
 cte("pairing_losses", losses_sql("pairing_scores"))
 cte("pairing_t", rolling_sql("pairing_losses"))
 cte("pairing_window", f"SELECT s.*, temperature FROM pairing_scores s JOIN pairing_t USING (series, method, race_seq) WHERE season >= {FIRST_SEASON}")
@@ -576,23 +571,23 @@ def _(t):
     return ev.feature_correlation(ft.add_form(t.outcomes), PAIRS, 0.3)
 
 
-cte("perm_fit", fit_sql(f"SELECT 0 AS key, {START} AS cutoff"))
-cte("perm_base", f"SELECT *, row_number() OVER (PARTITION BY series, race_seq ORDER BY entity) AS i FROM train_field WHERE race_seq >= {START}")
+cte("perm_fit", fit_sql("SELECT * FROM oos_dates", weight="greatest(pow(2.0, -(k.latest - a.season) / 2.0), 0.15)", before="a.race_date < k.cutoff"))
+cte("perm_base", "SELECT *, row_number() OVER (PARTITION BY series, race_seq ORDER BY entity) AS i FROM train_field WHERE race_date IN (SELECT key FROM oos_dates)")
 
 
 def _permuted(name: str) -> str:
     """The late field with one column moved by hashed order (or as it is)."""
     if name == "intact":
-        return "SELECT series, race_seq, entity, position, CAST(grid AS DOUBLE) AS g, drv_avg_finish_5 AS f FROM perm_base"
+        return "SELECT series, race_seq, race_date, entity, position, CAST(grid AS DOUBLE) AS g, drv_avg_finish_5 AS f FROM perm_base"
     moved = f"""SELECT series, race_seq, {name} AS v, row_number() OVER (PARTITION BY series, race_seq ORDER BY {uniform_sql('perm-' + name, 'series', 'race_seq', 'entity')}, entity) AS i FROM perm_base"""
     cols = "CAST(m.v AS DOUBLE) AS g, b.drv_avg_finish_5 AS f" if name == "grid" else "CAST(b.grid AS DOUBLE) AS g, m.v AS f"
-    return f"SELECT b.series, b.race_seq, b.entity, b.position, {cols} FROM perm_base b JOIN ({moved}) m USING (series, race_seq, i)"
+    return f"SELECT b.series, b.race_seq, b.race_date, b.entity, b.position, {cols} FROM perm_base b JOIN ({moved}) m USING (series, race_seq, i)"
 
 
 cte("perm_ranks", " UNION ALL ".join(
     f"""SELECT '{n}' AS method, series, race_seq, entity, row_number() OVER (PARTITION BY series, race_seq ORDER BY raw DESC, entity) AS pr,
       row_number() OVER (PARTITION BY series, race_seq ORDER BY position, entity) AS tr FROM
-      (SELECT x.*, round(c1 * g + c2 * coalesce(f, avg(f) OVER (PARTITION BY series, race_seq), 0), 12) AS raw FROM ({_permuted(n)}) x, (SELECT c1, c2 FROM perm_fit) p)"""
+      (SELECT x.*, round(c1 * g + c2 * coalesce(f, avg(f) OVER (PARTITION BY series, race_seq), 0), 12) AS raw FROM ({_permuted(n)}) x JOIN perm_fit p ON p.key = x.race_date)"""
     for n in ("intact", *TWO)))
 cte("perm_rows", """SELECT method, series, race_seq, avg(abs(pr - tr)) AS position_error,
   sum(CASE WHEN pr <= 5 THEN 1 / log2(tr + 1) / log2(pr + 1) END) / sum(CASE WHEN tr <= 5 THEN 1 / log2(tr + 1) / log2(tr + 1) END) AS ndcg5 FROM perm_ranks GROUP BY ALL""")
@@ -607,13 +602,10 @@ cte("perm_diffs", diffs_sql("perm_rows", "intact", ("ndcg5", "position_error")))
 def _(t):
     """Score with one feature group shuffled inside each event, against the model as it is."""
     d = cut(train_field(t))
-    model = rk.train(d.where(F.col("race_seq") < START), TWO, "label")
-    late = d.where(F.col("race_seq") >= START)
-    cols = ["series", "season", "round", "race_seq", "entity", "position", "method", "score"]
-    parts = [model.score(late).withColumn("method", F.lit("intact")).select(*cols)]
-    for f in TWO:
-        parts.append(model.score(ev.shuffle_within_events(late, [f], f"perm-{f}")).withColumn("method", F.lit(f)).select(*cols))
-    scores = cut(reduce(DataFrame.unionByName, parts)).withColumn("place", F.col("position").cast("double"))
+    parts = [d.withColumn("method", F.lit("intact"))]
+    parts += [ev.shuffle_within_events(d, [f], f"perm-{f}").withColumn("method", F.lit(f)) for f in TWO]
+    varied = reduce(DataFrame.unionByName, parts)
+    scores = cut(ev.oos_scores(d, d.select(*EV2), TWO, "label", 2.0, varied=varied)).withColumns({"place": F.col("position").cast("double"), "score": F.round("score", 10)})
     order = F.row_number().over(lw.W.partitionBy(*ev.METHOD_EVENT).orderBy(F.desc("score"), "entity"))
     rows = mt.ranking(scores.withColumns({"pred": order, "actual": F.col("place")}), ev.METHOD_EVENT)
     return mt.paired_comparison(cut(rows), EV2, ("ndcg5", "position_error"), "intact", replicates=R)
@@ -622,7 +614,7 @@ def _(t):
 @query("j17_parameter_stability", "method:s late:b win_logloss:d ndcg5:d n_events:i", None)
 def _(t):
     scores = _variants(t, {"ridge 0": {}, "ridge 0.1": {"ridge": 0.1}, "ridge 1": {"ridge": 1.0}})
-    rows = forward(t, scores)[0].withColumn("late", F.col("season") >= 2001)
+    rows = forward(t, scores)[0].withColumn("late", F.col("season") > FIRST_SEASON)
     return ev.summary(rows, ("win_logloss", "ndcg5"), ("method", "late"))
 
 

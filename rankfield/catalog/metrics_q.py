@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..constants import LOWER_IS_BETTER, RELIABILITY_EDGES
 from ..functions.scalars import wilson_high, wilson_low
+from ..functions.hashrand import DRAWS, POISSON_CUTS
 from ..operators import listwise as lw, metrics as op
 from ..session import cut
 from ..sources.contest import Tables
@@ -195,21 +196,20 @@ def _(t):
     return d.withColumns({"ci_low": wilson_low("hits", "n"), "ci_high": wilson_high("hits", "n")})
 
 
-R = 200
+R = 5000
 
 
 def boot_sql(src: str, key: str, by: list[str], values: list[str], r: int, tag: str = "boot") -> str:
-    """(by, metric, mean, ci_low, ci_high, n): the same hashed draws, written out in SQL."""
+    """(by, metric, mean, ci_low, ci_high, n): the same hashed Poisson weights, written out in SQL."""
     b = ", ".join(by)
-    part = f"PARTITION BY {b}" if by else ""
     bc = f"{b}, " if by else ""
     keys = [k.strip() for k in key.split(",")]
-    h = f"('0x' || substr(md5(concat_ws('|', {', '.join(f'CAST({k} AS VARCHAR)' for k in keys)})), 1, 8))::BIGINT % 1024"
-    on = " AND ".join([f"d.{c} = r.{c}" for c in by] + ["d.i = r.i"])
-    u = uniform_sql(tag, *by, "replicate", "i")
-    return f"""WITH r AS (SELECT *, row_number() OVER ({part} ORDER BY {h}, {key}) - 1 AS i, count(*) OVER ({part}) AS cnt FROM {src}),
-      d AS (SELECT {bc}replicate, CAST(floor({u} * cnt) AS BIGINT) AS i FROM r, range(1, {r} + 1) g(replicate)),
-      m AS (SELECT {', '.join('d.' + c for c in by) + ', ' if by else ''}d.replicate, {', '.join(f'avg(r.{v}) AS {v}' for v in values)} FROM d JOIN r ON {on} GROUP BY ALL),
+    parts = ", ".join([f"'{tag}'", *[f"CAST({k} AS VARCHAR)" for k in (*by, *keys, "g")]])
+    weight = " + ".join(f"(u >= '{c}')::INT" for c in POISSON_CUTS)
+    means = ", ".join(f"sum(w * {v}) / nullif(sum(CASE WHEN {v} IS NOT NULL THEN w END), 0) AS {v}" for v in values)
+    return f"""WITH h AS (SELECT s.*, g, md5(concat_ws('|', {parts})) AS h FROM {src} s, range(0, {(r + DRAWS - 1) // DRAWS}) x(g)),
+      d AS (SELECT *, {weight} AS w FROM (SELECT h.*, g * {DRAWS} + i + 1 AS replicate, substr(h, CAST(4 * i + 1 AS BIGINT), 4) AS u FROM h, range(0, {DRAWS}) y(i))),
+      m AS (SELECT {bc}replicate, {means} FROM d WHERE replicate <= {r} GROUP BY ALL),
       l AS ({' UNION ALL '.join(f"SELECT {bc}'{v}' AS metric, quantile_cont({v}, 0.025) AS ci_low, quantile_cont({v}, 0.975) AS ci_high FROM m {'GROUP BY ' + b if by else ''}" for v in values)}),
       a AS ({' UNION ALL '.join(f"SELECT {bc}'{v}' AS metric, avg({v}) AS mean, count({v}) AS n FROM {src} {'GROUP BY ' + b if by else ''}" for v in values)})
       SELECT * FROM a JOIN l USING ({bc}metric)"""

@@ -15,15 +15,25 @@ from .sqlbase import cte
 FEATS = ("grid", "drv_avg_finish_5", "quali_position")
 TWO = ("grid", "drv_avg_finish_5")
 
-cte("train_field", """SELECT series, season, round, race_seq, entity, team, position, quali_position, grid, drv_avg_finish_5, drv_dnf_rate_10, greatest(24 - position, 0) AS label,
-  greatest(pow(2.0, -(2001 - season) / 2.0), 0.15) AS weight FROM fa_entity""")
+cte("train_field", """SELECT series, season, round, make_date(season, round, 28) AS race_date, race_seq, entity, team, position, quali_position, grid, drv_avg_finish_5, drv_dnf_rate_10, greatest(24 - position, 0) AS label,
+  greatest(pow(2.0, -((SELECT max(season) FROM fa_entity) - season) / 2.0), 0.15) AS weight FROM fa_entity""")
+
+
+def latest_season(d) -> int:
+    """The last season that a frame trains on."""
+    return d.agg(F.max("season")).first()[0] or 0
+
+
+def dated(d):
+    """Event dates of the contest view: its rounds are months."""
+    return d.withColumn("race_date", F.make_date("season", "round", F.lit(28)))
 
 
 def train_field(t: Tables):
     """The label, two or three plain inputs and the recency weight."""
     d = ft.add_form(t.outcomes).withColumn("label", ft.relevance("position"))
-    d = op.recency_weights(d, 2.0, 2001)
-    return d.select(*EVENT, "race_seq", "entity", "team", "position", "quali_position", "grid", "drv_avg_finish_5", "drv_dnf_rate_10", "label", "weight")
+    d = dated(op.recency_weights(d, 2.0, latest_season(t.outcomes)))
+    return d.select(*EVENT, "race_date", "race_seq", "entity", "team", "position", "quali_position", "grid", "drv_avg_finish_5", "drv_dnf_rate_10", "label", "weight")
 
 
 @query(
@@ -46,14 +56,14 @@ cte("train_filled", """SELECT * EXCLUDE (drv_avg_finish_5), coalesce(drv_avg_fin
   CAST(grid AS DOUBLE) AS g, row_number() OVER (PARTITION BY series, race_seq ORDER BY label DESC, entity) AS turn FROM train_field""")
 
 
-def fit_sql(where: str, pair: str = "true", weight: str = "a.weight") -> str:
+def fit_sql(where: str, pair: str = "true", weight: str = "a.weight", before: str = "a.race_seq < k.cutoff") -> str:
     """Normal equations over explicit pairs, each event's pairs weighing the same."""
     return f"""SELECT key, (sxy1 * s22 - sxy2 * s12) / (s11 * s22 - s12 * s12) AS c1, (sxy2 * s11 - sxy1 * s12) / (s11 * s22 - s12 * s12) AS c2 FROM
       (SELECT key, sum(w * x1 * x1) AS s11, sum(w * x1 * x2) AS s12, sum(w * x2 * x2) AS s22, sum(w * x1 * y) AS sxy1, sum(w * x2 * y) AS sxy2 FROM
        (SELECT *, weight / count(*) OVER (PARTITION BY key, series, race_seq) AS w FROM
         (SELECT k.key, a.series, a.race_seq, {weight} AS weight, a.g - b.g AS x1, a.f5 - b.f5 AS x2, a.label - b.label AS y
          FROM train_filled a JOIN train_filled b ON a.series = b.series AND a.race_seq = b.race_seq AND a.turn < b.turn AND {pair}
-         JOIN ({where}) k ON a.race_seq < k.cutoff)) GROUP BY key)"""
+         JOIN ({where}) k ON {before})) GROUP BY key)"""
 
 
 def _coefficients(t, ranker):
@@ -137,5 +147,5 @@ def _(t):
 
 @query("f_full_model", "series:i race_seq:i entity:i score:d", None)
 def _(t):
-    d = cut(op.recency_weights(ft.build(t, upcoming=False), 2.0, 2001))
+    d = cut(op.recency_weights(ft.build(t, upcoming=False), 2.0, latest_season(t.outcomes)))
     return op.train(d, ft.RACE_FEATURES, "race_relevance", top=8, ridge=0.01).score(d)

@@ -138,3 +138,6 @@ GROUP_LABELS = {
     "experience": "experience and point in the season",
 }
 # --- end of fixed values ----------------------------------------------------
+
+#: Entrants of one event; the position distribution refuses larger fields.
+FIELD_LIMIT = 100

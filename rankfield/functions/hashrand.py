@@ -7,6 +7,7 @@ partitioning, task retries or executor loss.
 from __future__ import annotations
 
 from functools import reduce
+from math import e, factorial
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -28,6 +29,20 @@ def below(n: str | Column, tag: str, *keys: str | Column) -> Column:
     return F.floor(uniform(tag, *keys) * n).cast("long")
 
 
+#: Poisson(1) counts by 16-bit draws: how many of these a draw reaches, as hexadecimal digits.
+_CUTS = [round(65536 * sum(1 / factorial(i) for i in range(k + 1)) / e) for k in range(12)]
+POISSON_CUTS = [f"{c:04x}" for c in _CUTS if c < 65536]
+#: Draws in one digest.
+DRAWS = 8
+
+
+def poisson_draws(tag: str, *keys: str | Column) -> list[Column]:
+    """DRAWS independent Poisson(1) counts from one md5 over the tag and the keys (digits compare like numbers)."""
+    digest = F.md5(F.concat_ws("|", F.lit(tag), *[(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys]))
+    draws = [F.substring(digest, 4 * i + 1, 4) for i in range(DRAWS)]
+    return [reduce(lambda a, b: a + b, [(d >= F.lit(c)).cast("int") for c in POISSON_CUTS]) for d in draws]
+
+
 def bucket(buckets: int, *keys: str) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys])), 1, 8), 16, 10).cast(
         "long"
@@ -58,6 +73,3 @@ def dense_index(df: DataFrame, keys: list[str], within: list[str], out: str, buc
         .drop("_b", "_r", "_offset")
     )
 
-
-def any_of(columns: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, columns)

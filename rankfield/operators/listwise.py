@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..constants import (
-    DNF_CAP, DNF_ENTITY_SHARE, DNF_FLOOR, DNF_TEAM_SHARE, DNF_UNKNOWN, HOLD_BACK_SHARE, LOG_FLOOR,
+    DNF_CAP, DNF_ENTITY_SHARE, DNF_FLOOR, DNF_TEAM_SHARE, DNF_UNKNOWN, FIELD_LIMIT, HOLD_BACK_SHARE, LOG_FLOOR,
     MIN_CALIBRATION_EVENTS, SMOOTHING, TEMPERATURES, TRAILING_EVENTS,
 )
 from ..functions.hashrand import gumbel, uniform
@@ -83,14 +83,41 @@ def position_counts(orders: DataFrame, n_samples: int, event: list[str] = EVENT)
     return m.select(*event, "entity", "field", "pos", (F.col("_n") / F.lit(float(n_samples))).alias("share"))
 
 
+def _fields(df: DataFrame, score: str, temperature, dnf_prob: str | None, event: list[str]) -> DataFrame:
+    """One row per event with its field as an array; a field of more than FIELD_LIMIT entrants is refused."""
+    item = F.struct("entity", (F.col(score) / _t(temperature)).alias("z"), (F.col(dnf_prob) if dnf_prob else F.lit(None).cast("double")).alias("d"))
+    rows = df.groupBy(*event).agg(F.array_sort(F.collect_list(item)).alias("_f")).withColumn("_field", F.size("_f").cast("long"))
+    return rows.withColumn("_f", F.when(F.col("_field") > FIELD_LIMIT, F.raise_error(F.lit("field too large"))).otherwise(F.col("_f")))
+
+
+def _order(tag: str, dnf_tag: str | None, event: list[str]) -> Column:
+    """The entrants of ``_f`` in the order that draw ``sample`` gives: Gumbel noise, then retirements to the back."""
+    def first(e: Column) -> Column:
+        noisy = e["z"] + gumbel(tag, *event, e["entity"], "sample")
+        return F.struct(F.coalesce(-noisy, F.lit(float("inf"))).alias("k"), e["entity"].alias("entity"), e["d"].alias("d"))
+
+    order = F.array_sort(F.transform("_f", first))
+    if dnf_tag is not None:
+        def again(e: Column, i: Column) -> Column:
+            keys = [*event, e["entity"], "sample"]
+            out = uniform(f"{dnf_tag}-out", *keys) < e["d"]
+            back = F.col("_field") + 1 + uniform(f"{dnf_tag}-order", *keys)
+            return F.struct(F.when(out, back).otherwise(i + 1.0).alias("k"), e["entity"].alias("entity"))
+
+        order = F.array_sort(F.transform(order, again))
+    return F.transform(order, lambda e: e["entity"])
+
+
 def position_matrix(
     df: DataFrame, score: str, temperature, n_samples: int, dnf_prob: str | None = None, tag: str = "pl",
     event: list[str] = EVENT,
 ) -> DataFrame:
-    """Shares of each finishing position, optionally with a retirement draw."""
-    orders = sample_orders(df, score, temperature, n_samples, tag, event)
-    if dnf_prob is not None:
-        orders = retire(orders, dnf_prob, f"{tag}-dnf", event)
+    """Shares of each finishing position, optionally with a retirement draw.
+
+    A field is one array; each draw sorts it in place and only counts per (entity, position) are shuffled."""
+    draws = _fields(df, score, temperature, dnf_prob, event).withColumn("sample", F.explode(F.sequence(F.lit(1), F.lit(n_samples))))
+    order = _order(tag, None if dnf_prob is None else f"{tag}-dnf", event)
+    orders = draws.select(*event, "_field", F.posexplode(order).alias("pos", "entity")).withColumn("pos", F.col("pos") + 1)
     return position_counts(orders, n_samples, event)
 
 
@@ -100,16 +127,14 @@ def paired_matrix(
 ) -> DataFrame:
     """Both halves of a mixture in one pass: ``plain`` shares and ``drawn`` shares with the retirement draw.
 
-    Samples 1..n are the first half, n+1..2n the second; each half keys its draws as it would alone."""
-    second = F.col("sample") > n_samples
-    draw = F.when(second, F.col("sample") - n_samples).otherwise(F.col("sample"))
-    tag = F.when(second, tags[1]).otherwise(tags[0])
-    orders = _sampled(df, score, temperature, F.sequence(F.lit(1), F.lit(2 * n_samples)), tag, draw, event)
-    orders = retire(orders, dnf_prob, f"{tags[1]}-dnf", event, second, draw)
-    if retire_both:
-        orders = retire(orders, dnf_prob, f"{tags[0]}-dnf", event, ~second, draw)
-    counts = orders.groupBy(*event, "entity", "pos").agg(
-        F.count(F.when(~second, 1)).alias("_a"), F.count(F.when(second, 1)).alias("_b"), F.max("_field").alias("_field")
+    Each half keys its draws as it would alone."""
+    draws = _fields(df, score, temperature, dnf_prob, event).withColumn("sample", F.explode(F.sequence(F.lit(1), F.lit(n_samples))))
+    plain = _order(tags[0], f"{tags[0]}-dnf" if retire_both else None, event)
+    drawn = _order(tags[1], f"{tags[1]}-dnf", event)
+    halves = F.array(F.struct(F.lit(False).alias("second"), plain.alias("o")), F.struct(F.lit(True).alias("second"), drawn.alias("o")))
+    orders = draws.select(*event, "_field", F.inline(halves)).select(*event, "_field", "second", F.posexplode("o").alias("pos", "entity"))
+    counts = orders.withColumn("pos", F.col("pos") + 1).groupBy(*event, "entity", "pos").agg(
+        F.count(F.when(~F.col("second"), 1)).alias("_a"), F.count(F.when(F.col("second"), 1)).alias("_b"), F.max("_field").alias("_field")
     )
     m, n = _laid_out(counts, ["_a", "_b"], event), F.lit(float(n_samples))
     return m.select(*event, "entity", "field", "pos", (F.col("_a") / n).alias("plain"), (F.col("_b") / n).alias("drawn"))

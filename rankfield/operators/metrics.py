@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..constants import ECE_BINS, LOG_FLOOR, LOWER_IS_BETTER, RELIABILITY_EDGES
-from ..functions.hashrand import below, dense_index
+from ..functions.hashrand import DRAWS, poisson_draws
 from ..functions.scalars import safe_corr, wilson_high, wilson_low
 from ..session import cut
 
@@ -199,24 +199,27 @@ def calibration_error(df: DataFrame, p: str, y: str, by: Sequence[str] = (), bin
 def bootstrap_means(
     df: DataFrame, key: list[str], by: list[str], values: Sequence[str], replicates: int, tag: str = "boot"
 ) -> DataFrame:
-    """Means of n-of-n resamples of the rows of each ``by`` group, one row per replicate.
-
-    Row i of a group makes draw i of every replicate; the drawn rows are found by an
-    equi-join on a dense index, after the draws of each (replicate, row) have been counted.
-    All values share the draws, so their differences stay paired."""
-    rows = dense_index(df.select(*by, *key, *values), key, by, "_i")
-    draws = rows.select(*by, F.col("_i_count").alias("_n"), "_i").withColumn(
-        "replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))
-    )
-    drawn = draws.select(*by, "replicate", below("_n", tag, *by, "replicate", "_i").alias("_i"))
-    counts = drawn.groupBy(*by, "_i", "replicate").agg(F.count(F.lit(1)).alias("_w"))
-    hit = counts.join(rows.select(*by, "_i", *values), [*by, "_i"])
-    return hit.groupBy(*by, "replicate").agg(
-        *[
-            (F.sum(F.col("_w") * F.col(v)) / F.nullif(F.sum(F.when(F.col(v).isNotNull(), F.col("_w"))), F.lit(0))).alias(v)
-            for v in values
-        ]
-    )
+    """Means of resamples of the rows of each ``by`` group, one row per replicate (null if a replicate draws none).
+
+    A replicate takes each row as often as a Poisson(1) draw says, hashed from the row's ``key``: for many rows that is
+    drawing n of n. One digest serves DRAWS replicates. Rows stay where they are: each task sums weight times value per replicate, and only those sums
+    are shuffled. All values share the draws, so their differences stay paired."""
+    batches = F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // DRAWS)))
+    rows = df.select(*by, *key, *values).withColumn("_g", batches)
+    rows = rows.withColumns({f"_w{i}": w for i, w in enumerate(poisson_draws(tag, *by, *key, "_g"))})
+    sums = []
+    for i in range(DRAWS):
+        w = F.col(f"_w{i}")
+        sums += [F.sum(w * F.col(v)).alias(f"_n{i}_{v}") for v in values]
+        sums += [F.sum(F.when(F.col(v).isNotNull(), w)).alias(f"_d{i}_{v}") for v in values]
+    each = [
+        F.struct(
+            (F.col("_g") * DRAWS + i + 1).alias("replicate"),
+            *[(F.col(f"_n{i}_{v}") / F.nullif(F.col(f"_d{i}_{v}"), F.lit(0))).alias(v) for v in values],
+        )
+        for i in range(DRAWS)
+    ]
+    return rows.groupBy(*by, "_g").agg(*sums).select(*by, F.inline(F.array(*each))).where(F.col("replicate") <= replicates)
 
 
 def bootstrap_intervals(

@@ -1,21 +1,23 @@
 """Walk-forward evaluation: train on earlier events only, grade every event at once.
 
 Scores live in one long table (event, entity, method, score, place). Everything after
-scoring is one plan over all events and methods. Only the list of refit cut-offs,
-bounded by the calendar, and fitted coefficients reach the driver.
+scoring is one plan over all events and methods. Only sums per event date,
+bounded by the calendar, and the coefficients solved from them reach the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-from functools import reduce
+from bisect import bisect_left
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import numpy as np
+from pyspark.sql import Column, DataFrame, Row, Window as W, functions as F
 
-from ..constants import CALIBRATION_WARMUP, MIN_TRAIN_EVENTS
-from ..operators import listwise as lw, metrics as mt
-from ..operators.ranker import EVENT, Ranker
+from ..constants import CALIBRATION_WARMUP, MIN_TRAIN_EVENTS, RECENCY_FLOOR
+from ..operators import listwise as lw, metrics as mt, ranker as rk
+from ..operators.ranker import EVENT
 
+DATE = "race_date"
 METHOD_EVENT = [*EVENT, "method"]
 
 
@@ -26,38 +28,95 @@ def completed_events(df: DataFrame, start: int, end: int | None = None, place: s
     return d.select("series", "race_seq", "season", "round").distinct()
 
 
-def refit_plan(seqs: Sequence[int], targets: Sequence[int], every: int, least: int = MIN_TRAIN_EVENTS) -> dict[int, int]:
-    """Target -> training cut-off. A fit is reused only for later targets, ``every`` at a time."""
-    known = sorted(set(seqs))
-    eligible = [t for t in sorted(set(targets)) if sum(s < t for s in known) >= least]
+def refit_plan(dates: Sequence, targets: Sequence, every: int, least: int = MIN_TRAIN_EVENTS) -> dict:
+    """Target date -> training cut-off. A fit is reused only for later targets, ``every`` at a time."""
+    known = sorted(set(dates))
+    eligible = [t for t in sorted(set(targets)) if bisect_left(known, t) >= least]
     return {t: eligible[i // every * every] for i, t in enumerate(eligible)}
 
 
+def event_sums(df: DataFrame, features: Sequence[str], label: str, date: str = DATE, top: int | None = None) -> list[Row]:
+    """Sums of weight, x x' and x y over the regression rows of each (season, date): as many rows as the calendar has dates."""
+    d = df.withColumn("_one", F.lit(1.0))
+    rows = rk.regression_rows(d, features, label, "_one", [*EVENT, "season", date], top)
+    pairs = [(a, b) for i, a in enumerate(features) for b in features[i:]]
+    weight = F.col("_w")
+    return (
+        rows.groupBy("season", date)
+        .agg(
+            F.sum(weight).alias("w"),
+            F.array(*[F.sum(weight * F.col(a) * F.col(b)) for a, b in pairs]).alias("xx"),
+            F.array(*[F.sum(weight * F.col(a) * F.col(label)) for a in features]).alias("xy"),
+        )
+        .collect()
+    )
+
+
+def solve_cutoffs(sums: Sequence[Row], cutoffs: Sequence, n: int, recency: float | None, ridge: float, date: str = DATE) -> dict:
+    """Coefficients of each cut-off from the sums of earlier dates, their seasons weighed from the last one trained on."""
+    upper = np.triu_indices(n)
+    by_season: dict = {}
+    out, at = {}, 0
+    ordered = sorted(sums, key=lambda r: r[date])
+    for cutoff in sorted(set(cutoffs)):
+        while at < len(ordered) and ordered[at][date] < cutoff:
+            r, at = ordered[at], at + 1
+            old = by_season.get(r["season"], (0.0, np.zeros(len(upper[0])), np.zeros(n)))
+            by_season[r["season"]] = (old[0] + r["w"], old[1] + np.array(r["xx"]), old[2] + np.array(r["xy"]))
+        if not by_season:
+            continue
+        latest = max(by_season)
+        total, square, cross = 0.0, np.zeros((n, n)), np.zeros(n)
+        for season, (w, xx, xy) in by_season.items():
+            share = 1.0 if recency is None else max(recency ** (-(latest - season) / 2.0), RECENCY_FLOOR)
+            total += share * w
+            square[upper] += share * xx
+            cross += share * xy
+        square = square + np.triu(square, 1).T + ridge * total * np.eye(n)
+        out[cutoff] = np.linalg.lstsq(square, cross, rcond=None)[0]
+    return out
+
+
 def oos_scores(
-    df: DataFrame, targets: DataFrame, train: Callable[[DataFrame], Ranker], every: int = 1,
-    least: int = MIN_TRAIN_EVENTS, score: Callable[[Ranker, DataFrame], DataFrame] | None = None,
+    df: DataFrame, targets: DataFrame, features: Sequence[str], label: str, recency: float | None = None, top: int | None = None,
+    ridge: float = 0.0, every: int = 1, least: int = MIN_TRAIN_EVENTS, date: str = DATE, varied: DataFrame | None = None,
 ) -> DataFrame:
-    """Out-of-sample scores of the target events: rows of each are scored by a model that saw only
-    earlier events. Events are aligned across series by race_seq and training pools all series.
-
-    The cut-offs are calendar positions, a list as long as one series' calendar."""
-    seqs = [r[0] for r in df.select("race_seq").distinct().collect()]
-    wanted = [r[0] for r in targets.select("race_seq").distinct().collect()]
-    plan = refit_plan(seqs, wanted, every, least)
-    parts = []
-    for cutoff in sorted(set(plan.values())):
-        ranker = train(df.where(F.col("race_seq") < cutoff))
-        block = [t for t, c in plan.items() if c == cutoff]
-        rows = df.where(F.col("race_seq").isin(block))
-        scored = score(ranker, rows) if score else ranker.score(rows)
-        parts.append(scored.withColumn("cutoff", F.lit(cutoff)))
-    if not parts:
-        return df.limit(0).withColumns({"score": F.lit(0.0), "cutoff": F.lit(0)})
-    out = reduce(DataFrame.unionByName, parts)
-    return out.join(targets.select("series", "race_seq").distinct(), EVENT, "left_semi")
-
-
-def window_targets(events: DataFrame, start: int, end: int | None, warmup: int = CALIBRATION_WARMUP) -> DataFrame:
+    """Out-of-sample scores of the target events: each is scored by a model of strictly earlier dates, whatever the series.
+
+    Training pools all series by event date, so series with other calendars never lend a later event. A target needs
+    ``least`` earlier dates. The normal equations are sums over events: one pass gathers them per date, running sums
+    give every cut-off's, and one pass scores all events. ``varied``: rows to score instead of ``df``'s (as many
+    versions of an event as its column ``method`` names)."""
+    rk.require(df, [label, date, *features])
+    dates = [r[0] for r in df.select(date).distinct().collect()]
+    wanted = [r[0] for r in df.join(targets.select(*EVENT).distinct(), EVENT, "left_semi").select(date).distinct().collect()]
+    plan = refit_plan(dates, wanted, every, least)
+    fits = solve_cutoffs(event_sums(df, features, label, date, top), list(plan.values()), len(features), recency, ridge, date)
+    spark = df.sparkSession
+    kind = df.schema[date].dataType.simpleString()
+    rows = [(t, c, [float(x) for x in fits[c]]) for t, c in plan.items() if c in fits]
+    models = spark.createDataFrame(rows, f"{date} {kind}, cutoff {kind}, _c array<double>")
+    source = df if varied is None else varied
+    event = EVENT if varied is None else METHOD_EVENT
+    d = source.join(models, date).join(targets.select(*EVENT).distinct(), EVENT, "left_semi")
+    w = W.partitionBy(*event)
+    raw = F.lit(0.0)
+    for i, f in enumerate(features):
+        x = F.coalesce(F.col(f).cast("double"), F.avg(F.col(f).cast("double")).over(w), F.lit(0.0))
+        raw = raw + F.col("_c")[i] * x
+    d = d.withColumn("_raw", raw)
+    sd = F.stddev_pop("_raw").over(w)
+    return d.withColumn("score", (F.col("_raw") - F.avg("_raw").over(w)) / F.when(sd > 1e-9, sd).otherwise(1.0)).drop("_c", "_raw")
+
+
+def eligible(df: DataFrame, least: int = MIN_TRAIN_EVENTS, date: str = DATE) -> DataFrame:
+    """Events with at least ``least`` earlier dates in the frame."""
+    dates = sorted(r[0] for r in df.select(date).distinct().collect())
+    first = dates[least] if len(dates) > least else None
+    return df.where(F.col(date) >= F.lit(first)).select(*EVENT).distinct()
+
+
+def window_targets(events: DataFrame, start: int, end: int | None = None, warmup: int = CALIBRATION_WARMUP) -> DataFrame:
     """Reported events of a season window and the warm-up events before it: (event, reported)."""
     inside = F.col("season") >= start
     if end is not None:

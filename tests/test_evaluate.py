@@ -11,18 +11,51 @@ def test_refits_only_reach_forward():
     assert min(plan) == 30 and all(c <= t < c + 4 for t, c in plan.items())
 
 
-def test_training_never_sees_the_target(spark):
-    rows = [(0, s, f"e{i}", float(i), float(-i), 1.0) for s in range(40) for i in range(4)]
-    d = spark.createDataFrame(rows, "series int, race_seq int, entity string, x double, label double, weight double")
-    seen = []
+def _field(spark, shift=0, series=0, n=40, entrants=4, flip=None):
+    """Events by month; from event ``flip`` on the better input finishes worse."""
+    import datetime as dt
+
+    rows = []
+    for s in range(n):
+        m = s + shift
+        day = dt.date(1990 + m // 12, m % 12 + 1, 28)
+        for i in range(entrants):
+            x = float((i * 7 + s * 3) % 5) + i / 10
+            rows.append((series, s, day.year, day, f"e{i}", x, x if flip is None or s < flip else -x))
+    return spark.createDataFrame(rows, "series int, race_seq int, season int, race_date date, entity string, x double, label double")
 
-    def train(h):
-        seen.append(h.agg(F.max("race_seq")).first()[0])
-        return rk.Ranker(("x",), ((1.0,),))
 
-    out = ev.oos_scores(d, d.where("race_seq >= 33").select("series", "race_seq"), train, 3)
-    assert sorted(seen) == [32, 35, 38] and out.select("race_seq").distinct().count() == 7
-    assert out.where("cutoff > race_seq").count() == 0
+def test_training_never_sees_the_target(spark):
+    d = _field(spark, flip=33)
+    out = ev.oos_scores(d, d.select("series", "race_seq"), ("x",), "label")
+    assert out.select("race_seq").distinct().count() == 10 and out.where("cutoff > race_date").count() == 0
+    # Up to the first flipped event every model has seen only the rule that higher inputs finish better.
+    assert out.where("race_seq <= 33").select(F.corr("score", "x")).first()[0] > 0.9
+    # What later events say changes nothing.
+    again = ev.oos_scores(d.where("race_seq <= 35"), d.where("race_seq <= 35").select("series", "race_seq"), ("x",), "label")
+    both = out.join(again.select("race_seq", "entity", F.col("score").alias("other")), ["race_seq", "entity"])
+    assert both.count() == 24 and both.where("abs(score - other) > 1e-9").count() == 0
+
+
+def test_series_with_shifted_calendars_lend_no_later_event(spark):
+    early, late = _field(spark), _field(spark, shift=24, series=1, flip=12)
+    both = early.unionByName(late)
+    out = ev.oos_scores(both, both.select("series", "race_seq"), ("x",), "label")
+    alone = ev.oos_scores(early, early.select("series", "race_seq"), ("x",), "label")
+    # Series 1 contradicts the rule from its event 12 on, month 36: no score of an earlier month may differ.
+    pair = out.where("series = 0 and race_seq < 36").join(alone.select("race_seq", "entity", F.col("score").alias("other")), ["race_seq", "entity"])
+    assert pair.count() == 24 and pair.where("abs(score - other) > 1e-6").count() == 0
+    # The second series starts with a model of the first one's past: its first event has 24 earlier dates, its seventh 30.
+    assert out.where("series = 1").agg(F.min("race_seq")).first()[0] == 6
+
+
+def test_normal_equations_match_the_fitted_ranker(spark):
+    d = _field(spark, n=32).withColumns({"y": F.hash("entity", "race_seq") % 7 * 1.0, "weight": F.lit(1.0)})
+    sums = ev.event_sums(d, ("x", "y"), "label")
+    cutoff = d.agg(F.max("race_date")).first()[0]
+    fit = ev.solve_cutoffs(sums, [cutoff], 2, None, 0.0)[cutoff]
+    plain = rk.train(d.where(F.col("race_date") < F.lit(cutoff)), ("x", "y"), "label").members[0]
+    assert all(abs(a - b) < 1e-6 for a, b in zip(fit, plain))
 
 
 def test_features_ignore_their_own_and_later_events(spark, small):

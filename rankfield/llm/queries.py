@@ -8,11 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankfield.llm import backoff_lm, fm_decon, license_scan, maxscore, mixing, ngram_join, site_quality, suffix_dedup, token_codes, toxicity
+from rankfield.llm import backoff_lm, fm_decon, license_scan, maxscore, mixing, ngram_join, oracles, site_quality, suffix_dedup, token_codes, toxicity
 from rankfield.llm.stage import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_ngram_jaccard_join": oracles.NGRAM_JOIN,
+    "op4_source_mixing": oracles.SOURCE_MIXING,
+    "op5_maxscore_top_k": oracles.TOP_K,
+    "op10_benchmark_decontamination": oracles.DECONTAMINATION,
+}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,21 +56,6 @@ def op5_maxscore_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxscore.top_k(vectors, F.col("vec_id") % 50 == 0)
 
 
-ORACLES["op5_maxscore_top_k"] = """
-WITH v AS (
-  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS w
-  FROM embeddings
-  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
-), s AS (
-  SELECT q.row, q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.w, c.w) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.row <> c.row AND len(q.w) = len(c.w)
-  WHERE q.vec_id % 50 = 0
-), r AS (
-  SELECT query_id, CAST(row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
-)
-SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
-"""
-
 
 @query
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

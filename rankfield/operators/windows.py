@@ -31,17 +31,38 @@ def prior_rolling(df: DataFrame, by: list[str], seq: str, specs: dict[str, tuple
 def prior_valid(df: DataFrame, by: list[str], seq: str, specs: dict[str, tuple[str, int | None, str]]) -> DataFrame:
     """Statistic over the last n non-null values strictly before the row (None = all).
 
-    A row's counter is the number of valid values before it, so valid values
-    with counters n..1 below are exactly the last n of them."""
-    w = W.partitionBy(*by).orderBy(seq).rowsBetween(W.unboundedPreceding, -1)
-    counters = {c: f"_valid_{i}" for i, c in enumerate(sorted({c for c, n, _ in specs.values() if n}))}
-    if counters:
-        df = df.withColumns({k: F.count(c).over(w) for c, k in counters.items()})
-    out = {}
-    for name, (c, n, how) in specs.items():
-        frame = w if n is None else W.partitionBy(*by).orderBy(counters[c]).rangeBetween(-n, -1)
-        out[name] = _AGG[how](c).over(frame)
-    return df.withColumns(out).drop(*counters.values())
+    The last n values are read by lags that skip nulls, all in one window, so the rows of a key are sorted once
+    however many columns there are."""
+    w = W.partitionBy(*by).orderBy(seq)
+    earlier = w.rowsBetween(W.unboundedPreceding, -1)
+    over = f"OVER (PARTITION BY {', '.join(f'`{b}`' for b in by)} ORDER BY `{seq}`)"
+    deepest: dict[str, int] = {}
+    for c, n, _ in specs.values():
+        if n:
+            deepest[c] = max(n, deepest.get(c, 0))
+    lags = {(c, k): f"_lag_{i}_{k}" for i, c in enumerate(sorted(deepest)) for k in range(1, deepest[c] + 1)}
+    df = df.withColumns({
+        **{name: F.expr(f"lag(`{c}`, {k}) IGNORE NULLS {over}") for (c, k), name in lags.items()},
+        **{name: _AGG[how](c).over(earlier) for name, (c, n, how) in specs.items() if n is None},
+    })
+    out = {name: _of_last([F.col(lags[c, k]) for k in range(1, n + 1)], how) for name, (c, n, how) in specs.items() if n}
+    return df.withColumns(out).drop(*lags.values())
+
+
+def _of_last(values: list[Column], how: str) -> Column:
+    """A statistic of the values that are there, as the aggregate of that name gives it."""
+    known = F.filter(F.array(*values), lambda x: x.isNotNull())
+    size = F.size(known)
+    if how == "count":
+        return size.cast("long")
+    if how in ("min", "max"):
+        return (F.array_min if how == "min" else F.array_max)(known)
+    if how == "median":
+        order = F.array_sort(F.transform(known, lambda x: x.cast("double")))
+        low, high = F.get(order, F.floor((size - 1) / 2).cast("int")), F.get(order, F.floor(size / 2).cast("int"))
+        return F.when(size > 0, low + (high - low) * 0.5)
+    total = F.aggregate(F.transform(known, lambda x: x.cast("double")), F.lit(0.0), lambda a, x: a + x)
+    return F.when(size > 0, total / size if how == "mean" else total)
 
 
 def prior_by_event(

@@ -296,7 +296,7 @@ def build(t: Tables, upcoming: bool = True, stat: str = "median", results: DataF
 
     The joined frame is stored before the windows: they then run over one scan, and neither
     half is planned again while the other's stages finish."""
-    return add_all(cut(frame(t.landed("calendar", "standings"), results, upcoming)).repartition("series"), stat)
+    return add_all(cut(frame(t.landed("calendar", "standings"), results, upcoming)), stat)
 
 
 ALL_FEATURES = list(dict.fromkeys([*RACE_FEATURES, *QUALI_FEATURES, "drv_avg_grid_5", "quali_gap_to_teammate_pct"]))

@@ -6,8 +6,9 @@ rows; nothing is looped over on the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
+from ..session import cut
 from ..functions.scalars import is_finished, lap_time_ms, utc
 
 RACE_DOC = (
@@ -47,6 +48,30 @@ def _session_start(date: str, time: str) -> Column:
     return F.when(F.col(time).isNotNull(), utc(F.concat(F.col(date), F.lit("T"), F.col(time))))
 
 
+#: When a document arrived: (modification time, path) of its file. Parsers pass it on to their rows.
+ARRIVED = "_arrived"
+
+
+def carried(docs: DataFrame) -> list[str]:
+    return [c for c in (ARRIVED,) if c in docs.columns]
+
+
+def last_arrived(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Of rows with one key those of the last document, and only one of its; without ARRIVED."""
+    order = W.partitionBy(*keys).orderBy(F.desc(ARRIVED), *[F.col(c).cast("string") for c in rows.columns if c not in (*keys, ARRIVED)])
+    return rows.withColumn("_turn", F.row_number().over(order)).where("_turn = 1").drop("_turn", ARRIVED)
+
+
+def failed_documents(docs: DataFrame, source: str) -> DataFrame:
+    """Rows for the ingest log, one per unreadable document; its scope is the file. ``docs`` has _corrupt_record and ARRIVED."""
+    bad = docs.where(F.col("_corrupt_record").isNotNull())
+    return bad.select(F.lit(source).alias("source"), F.col(ARRIVED)["path"].alias("scope"), F.lit("failed").alias("status"), F.lit("unreadable document").alias("detail")).distinct()
+
+
+def arrived() -> Column:
+    return F.struct(F.col("_metadata.file_modification_time").alias("at"), F.col("_metadata.file_path").alias("path")).alias(ARRIVED)
+
+
 def parse_documents(df: DataFrame, text: str, schema: str) -> DataFrame:
     """JSON text to columns; unreadable documents are dropped."""
     keep = [c for c in df.columns if c != text]
@@ -57,16 +82,26 @@ def parse_documents(df: DataFrame, text: str, schema: str) -> DataFrame:
 
 
 def read_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Read every document in a folder, skipping unreadable ones."""
+    """Read every readable document in a folder; ``unreadable`` gives the log rows of the others."""
+    docs = _documents(spark, path, schema)
+    return docs.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record", ARRIVED)
+
+
+def unreadable(spark: SparkSession, path: str, schema: str, source: str) -> DataFrame:
+    return failed_documents(cut(_documents(spark, path, schema)), source)
+
+
+def _documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
     docs = (
         spark.read.schema(f"{schema}, _corrupt_record string")
         .option("multiLine", True).option("mode", "PERMISSIVE").json(path)
     )
-    return docs.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+    return docs.select("*", arrived())
 
 
 def parse_races(docs: DataFrame) -> DataFrame:
     return docs.select(
+        *carried(docs),
         _int("season").alias("season"),
         _int("round").alias("round"),
         F.col("raceName").alias("race_name"),
@@ -86,6 +121,7 @@ def parse_races(docs: DataFrame) -> DataFrame:
 
 def parse_drivers(docs: DataFrame, season: Column) -> DataFrame:
     return docs.select(
+        *carried(docs),
         season.alias("season"),
         F.col("driverId").alias("driver_id"),
         "code",
@@ -98,12 +134,13 @@ def parse_drivers(docs: DataFrame, season: Column) -> DataFrame:
 
 
 def _each(docs: DataFrame, items: str) -> DataFrame:
-    return docs.select(_int("season").alias("season"), _int("round").alias("round"), F.explode(items).alias("r"))
+    return docs.select(*carried(docs), _int("season").alias("season"), _int("round").alias("round"), F.explode(items).alias("r"))
 
 
 def parse_results(docs: DataFrame) -> DataFrame:
     finished = is_finished("r.status")
     return _each(docs, "Results").select(
+        *carried(docs),
         "season",
         "round",
         F.col("r.Driver.driverId").alias("driver_id"),
@@ -127,6 +164,7 @@ def parse_qualifying(docs: DataFrame) -> DataFrame:
     return (
         _each(docs, "QualifyingResults")
         .select(
+            *carried(docs),
             "season",
             "round",
             F.col("r.Driver.driverId").alias("driver_id"),
@@ -140,6 +178,7 @@ def parse_qualifying(docs: DataFrame) -> DataFrame:
 
 def parse_sprint(docs: DataFrame) -> DataFrame:
     return _each(docs, "SprintResults").select(
+        *carried(docs),
         "season",
         "round",
         F.col("r.Driver.driverId").alias("driver_id"),
@@ -153,6 +192,7 @@ def parse_sprint(docs: DataFrame) -> DataFrame:
 
 def parse_pitstops(docs: DataFrame) -> DataFrame:
     return _each(docs, "PitStops").select(
+        *carried(docs),
         "season",
         "round",
         F.col("r.driverId").alias("driver_id"),
@@ -165,9 +205,11 @@ def parse_pitstops(docs: DataFrame) -> DataFrame:
 def parse_standings(docs: DataFrame) -> DataFrame:
     """The team is the last one listed."""
     rows = docs.select(
+        *carried(docs),
         _int("season").alias("season"), _int("round").alias("round"), F.explode_outer("DriverStandings").alias("r")
     ).where("r is not null")
     return rows.select(
+        *carried(rows),
         "season",
         "round",
         F.col("r.Driver.driverId").alias("driver_id"),

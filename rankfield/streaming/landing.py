@@ -13,7 +13,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import cut
-from ..sources.landing import upsert, write_partitions
+from ..sources.landing import arrived, failed_documents, last_arrived, upsert, write_partitions
 
 
 def land(
@@ -25,16 +25,22 @@ def land(
     keys: list[str],
     partitions: list[str],
     progress: str,
+    log: str,
 ) -> None:
     """Land every document file not yet seen, then stop. ``progress`` holds the stream's own
-    record of what was read and must be a folder all runs share."""
+    record of what was read and must be a folder all runs share.
+
+    A document that cannot be read becomes a ``failed`` row of the ingest log at ``log``, so that it can be fetched
+    again. Of several documents with one key the last to arrive wins."""
     documents = (
         spark.readStream.schema(f"{schema}, _corrupt_record string")
-        .option("multiLine", True).option("mode", "PERMISSIVE").json(source)
+        .option("multiLine", True).option("mode", "PERMISSIVE").json(source).select("*", arrived())
     )
 
     def write(batch: DataFrame, _: int) -> None:
-        rows = cut(parse(batch.where("_corrupt_record is null").drop("_corrupt_record")).dropDuplicates(keys))
+        batch = cut(batch)
+        failed_documents(batch, table).write.mode("append").parquet(log)
+        rows = cut(last_arrived(parse(batch.where("_corrupt_record is null").drop("_corrupt_record")), keys))
         touched = rows.select(*partitions).distinct()
         try:
             stored = spark.read.schema(rows.schema).parquet(table).join(touched, partitions, "left_semi")

@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -34,19 +35,21 @@ def race(rnd, points="25"):
     }
 
 
-def test_unreadable_documents_are_skipped(spark, tmp_path):
+def test_unreadable_documents_are_logged(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps(race(1), indent=1))
     (tmp_path / "b.json").write_text('{"season": "2024", "round": ')
     docs = op.read_documents(spark, str(tmp_path), op.RACE_DOC)
     assert [(r.round, r.points, r.finished) for r in op.parse_results(docs).collect()] == [(1, 25.0, True)]
+    failed = op.unreadable(spark, str(tmp_path), op.RACE_DOC, "results").collect()
+    assert [(r.source, r.scope.endswith("b.json"), r.status) for r in failed] == [("results", True, "failed")]
 
 
 def test_stream_lands_once_and_replaces(spark, tmp_path):
-    src, table, progress = (str(tmp_path / n) for n in ("in", "table", "progress"))
+    src, table, progress, log = (str(tmp_path / n) for n in ("in", "table", "progress", "log"))
     (tmp_path / "in").mkdir()
 
     def run():
-        land(spark, src, op.RACE_DOC, op.parse_results, table, ["season", "round", "driver_id"], ["season"], progress)
+        land(spark, src, op.RACE_DOC, op.parse_results, table, ["season", "round", "driver_id"], ["season"], progress, log)
         return sorted((r["round"], r["points"]) for r in spark.read.parquet(table).collect())
 
     (tmp_path / "in" / "1.json").write_text(json.dumps(race(1)))
@@ -55,6 +58,12 @@ def test_stream_lands_once_and_replaces(spark, tmp_path):
     (tmp_path / "in" / "3.json").write_text(json.dumps(race(1, "18")))
     assert run() == [(1, 18.0), (2, 25.0)]
     assert run() == [(1, 18.0), (2, 25.0)]
+    # Two documents of one key and a broken one in a single batch: the last file wins, the broken one is logged.
+    for i, (name, text) in enumerate((("6.json", json.dumps(race(3, "10"))), ("5.json", json.dumps(race(3, "12"))), ("7.json", "{"))):
+        (tmp_path / "in" / name).write_text(text)
+        os.utime(tmp_path / "in" / name, (2_000_000_000 + i, 2_000_000_000 + i))
+    assert run() == [(1, 18.0), (2, 25.0), (3, 12.0)]
+    assert [(r.status, r.scope.endswith("7.json")) for r in spark.read.parquet(log).collect()] == [("failed", True)]
 
 
 def test_upsert_is_idempotent(spark):

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankfield.llm.stage import stored
-from rankfield.llm.text import BASE, Words, mix, slices
+from rankfield.llm.text import BASE, Words, mix, release, slices
 
 SLICE_BYTES = 8 << 20
 RANGE_BYTES = 12 << 20
@@ -184,6 +184,7 @@ def _scored(texts: DataFrame, answers: DataFrame, tokens: int, kinds: int, order
         parts = right["counts"].to_pylist()
         counts = np.concatenate([_wide(parts[i]) for i in by_range])
         score, base, count = Automaton(counts, tokens, kinds, mass).traverse(grams, entries)
+        release()
         rows = left.num_rows
         total = lambda x: pa.array(np.bincount(grams.row, x, rows))
         whole = lambda x: pa.array(np.bincount(grams.row, x, rows).astype(np.int64))

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from rankfield.llm.components import components
 from rankfield.llm.stage import stored
-from rankfield.llm.text import Words, grams, mix, raw, slices
+from rankfield.llm.text import Words, grams, mix, raw, release, slices
 
 BANDS, BAND_ROWS = 24, 4
 VALUES = BANDS * BAND_ROWS
@@ -188,6 +188,7 @@ def _candidates(classes: DataFrame, least: np.ndarray, block_rows: int) -> DataF
             several = np.flatnonzero(np.bincount(label, minlength=len(at))[label] > 1)
             nodes.append(keys[at[several]])
             hubs.append(keys[at[label[several]]])
+        release()
         both = sorted(set(zip(np.concatenate(nodes).tolist(), np.concatenate(hubs).tolist(), strict=True))) if nodes else []
         return pa.table({"node": pa.array([a for a, _ in both], pa.binary()), "hub": pa.array([b for _, b in both], pa.binary())})
 
@@ -241,7 +242,7 @@ def _verify(members: DataFrame, n: int, threshold: float, least: np.ndarray, pac
                     joined = np.unique(label_of[np.append(others, one)])
                     label_of[np.isin(label_of, joined)] = joined[0]
             out += zip(keys[at], keys[at[label_of]], links.tolist(), (part[at] != "").tolist(), strict=True)
-        pa.default_memory_pool().release_unused()
+        release()
         node, hub, links, split = zip(*out, strict=True)
         return pa.table({"node": pa.array(node, pa.binary()), "hub": pa.array(hub, pa.binary()), "links": pa.array(links, pa.int64()), "split": pa.array(split)})
 

@@ -6,13 +6,15 @@ the batch. Null texts are empty.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 #: Bytes of a word: anything but ASCII white space.
@@ -76,7 +78,14 @@ def slices(batches: Iterator[pa.RecordBatch], name: str, limit: int = SLICE_BYTE
             to = max(at + 1, int(np.searchsorted(ends, before + limit, "right")))
             yield batch.slice(at, to - at)
             at = to
-        pa.default_memory_pool().release_unused()  # Python workers outlive their tasks
+        release()
+
+
+def release() -> None:
+    """Give freed memory back to the system: Python workers outlive their tasks and share a machine with the JVM."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 class Words:

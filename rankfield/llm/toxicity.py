@@ -17,9 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rankfield.llm.text import Words, grams, slices
+from rankfield.llm.text import Words, grams, release, slices
 
-MAX_TRAIN = 20_000
+MAX_TRAIN = 16_000
 DIMS = 1 << 20
 GAPS = ((), (1,), (2,))
 
@@ -111,6 +111,7 @@ def train(
         order = sorted(range(len(turn)), key=lambda i: (turn[i], doc[i], ends[i + 1] - ends[i]))
         order = [i for k, i in enumerate(order) if not k or doc[i] != doc[order[k - 1]]]  # repeated rows once
         index, weight, bias = _fit([values[ends[i] : ends[i + 1]] for i in order], label[order], dims, epochs, alpha, beta, l1, l2)
+        release()
         return pa.table({"index": pa.array([index], pa.list_(pa.int64())), "weight": pa.array([weight], pa.list_(pa.float64())), "bias": pa.array([bias], pa.float64())})
 
     row = sample.groupBy(F.lit(1).alias("all")).applyInArrow(fit, "index array<long>, weight array<double>, bias double").first()

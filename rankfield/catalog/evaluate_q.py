@@ -308,29 +308,111 @@ def _(t):
     return lw.fit_temperature(losses.withColumn("_age", age).where("_age <= 24"), ["series", "method"])
 
 
-def _stage_rows(t: Tables):
-    """The four walk-forwards of a report as one table: race stages and the qualifying target."""
-    scores = _all_scores(t)
-    race = forward(t, scores)[0].select("series", "race_seq", "method", F.col("win_logloss").alias("loss"), "position_error")
-    after = race.withColumn("stage", F.lit("post_quali"))
-    pre = race.where("method <> 'grid'")  # no grid exists before qualifying
-    q = t.contest.select(*EV2, "entity", F.col("quali_position").cast("double").alias("quali_place"))
-    quali = ev.walk_forward_quali(
-        scores.where("method <> 'grid'").drop("season", "round").join(q, [*EV2, "entity"]), targets_of(scores), "quali_place"
-    ).select("series", "race_seq", "method", F.col("pole_logloss").alias("loss"), "position_error")
-    stages = [after, quali.withColumn("stage", F.lit("qualifying")), pre.withColumn("stage", F.lit("pre_quali")), pre.withColumn("stage", F.lit("pre_practice"))]
-    return reduce(DataFrame.unionByName, stages)
+STAGES = ("pre_quali", "pre_practice")
+QUALI_TWO = ("drv_avg_quali_5", "fp_best_gap_pct")
+BEFORE_GRID = ("championship", "recent_form", "team_form")
+
+
+def _stage_frame(t: Tables) -> DataFrame:
+    """Race and qualifying inputs and labels of every entry."""
+    p = ft.practice_inputs(t.session_pace, t.calendar, t.sprint_quali, 1998)
+    d = ft.add_form(ft.add_pace(ft.add_quali(ft.add_practice(t.outcomes.join(p, KEY, "left")))))
+    d = dated(d.withColumns({"label": ft.relevance("position"), "quali_label": ft.relevance("quali_position")}))
+    cols = ["position", "quali_position", "grid", "drv_avg_finish_5", *QUALI_TWO, "drv_pace_gap_pct", "drv_teammate_quali_edge", "label", "quali_label"]
+    return cut(d.select(*EVENT, "race_date", "race_seq", "entity", *cols))
 
 
-cte("wp_scores", """SELECT s.series, s.season, s.race_seq, s.entity, s.method, s.score, CAST(c.quali_position AS DOUBLE) AS place
-  FROM wf_scores s JOIN (SELECT series, race_seq, entity, quali_position FROM contest) c USING (series, race_seq, entity) WHERE method <> 'grid'""")
+def _quali_model(d: DataFrame) -> DataFrame:
+    """Out-of-sample qualifying scores at each stage (column ``method``): before practice its inputs are hidden."""
+    known = d.withColumn("method", F.lit("pre_quali"))
+    hidden = lw.without_columns(d, ["fp_best_gap_pct"]).withColumn("method", F.lit("pre_practice"))
+    return ev.oos_scores(d, d.select(*EV2), QUALI_TWO, "quali_label", 2.0, varied=known.unionByName(hidden))
+
+
+def _before_grid(t: Tables, d: DataFrame, quali: DataFrame) -> DataFrame:
+    """Race scores at the stages before a grid exists: the field that qualifying scores project, and three baselines."""
+    cols = ["series", "season", "round", "race_seq", "entity", "position", "method", "score"]
+    field = lw.projected_weekend(quali.withColumn("_q", F.col("score")).drop("score", "cutoff").withColumns({c: F.col(c).cast("double") for c in ("quali_position", "grid")}), "_q", ev.METHOD_EVENT)
+    model = ev.oos_scores(d, d.select(*EV2), TWO, "label", 2.0, varied=field)
+    model = model.withColumn("method", F.concat("method", F.lit(":model"))).select(*cols)
+    base = baselines(t, BEFORE_GRID).join(ev.eligible(d), EV2, "left_semi").withColumn("stage", F.explode(F.array(*map(F.lit, STAGES))))
+    base = base.withColumn("method", F.concat_ws(":", "stage", "method")).select(*cols)
+    return cut(model.unionByName(base).withColumn("place", F.col("position").cast("double")))
+
+
+def _stage_rows(t: Tables):
+    """The four walk-forwards of a report as one table: race stages and the qualifying target, each from what it can know."""
+    after = forward(t)[0].select("series", "race_seq", "method", F.col("win_logloss").alias("loss"), "position_error").withColumn("stage", F.lit("post_quali"))
+    d = _stage_frame(t)
+    quali = cut(_quali_model(d))
+    early = forward(t, _before_grid(t, d, quali))[0]
+    parts = F.split("method", ":")
+    early = early.select("series", "race_seq", parts[1].alias("method"), F.col("win_logloss").alias("loss"), "position_error", parts[0].alias("stage"))
+    graded = _quali_target(t, d, quali).select("series", "race_seq", "method", F.col("pole_logloss").alias("loss"), "position_error")
+    return after.unionByName(early).unionByName(graded.withColumn("stage", F.lit("qualifying")))
+
+
+def _quali_target(t: Tables, d: DataFrame, quali: DataFrame) -> DataFrame:
+    """The qualifying model, practice known, and two baselines on the qualifying order."""
+    cols = ["series", "season", "race_seq", "entity", "position", "method", "score"]
+    model = quali.where("method = 'pre_quali'").withColumn("method", F.lit("model")).select(*cols)
+    base = baselines(t, ("recent_form", "team_form")).join(ev.eligible(d), EV2, "left_semi").select(*cols)
+    q = t.contest.select(*EV2, "entity", F.col("quali_position").cast("double").alias("quali_place"))
+    scores = cut(model.unionByName(base).join(q, [*EV2, "entity"]))
+    targets = ev.window_targets(ev.completed_events(scores.withColumn("round", F.col("race_seq")), 0), FIRST_SEASON)
+    return ev.walk_forward_quali(scores.drop("season"), targets, "quali_place")
+
+
+OOS_WEIGHT = "greatest(pow(2.0, -(k.latest - a.season) / 2.0), 0.15)"
+cte("oos_race_fit", fit_sql("SELECT * FROM oos_dates", weight=OOS_WEIGHT, before="a.race_date < k.cutoff"))
+cte("stage_field", """SELECT f.series, f.season, f.round, make_date(f.season, f.round, 28) AS race_date, f.race_seq, f.entity, f.position, f.quali_position, f.drv_avg_finish_5, f.drv_avg_quali_5,
+  p.fp_best_gap_pct FROM fa_entity f LEFT JOIN (SELECT series, race_seq, entity, fp_best_gap_pct FROM fp_gaps) p USING (series, race_seq, entity)""")
+cte("quali_fit_rows", """SELECT *, row_number() OVER (PARTITION BY series, race_seq ORDER BY label DESC, entity) AS turn FROM
+  (SELECT *, coalesce(drv_avg_quali_5, avg(drv_avg_quali_5) OVER ev, 0) AS g, coalesce(fp_best_gap_pct, avg(fp_best_gap_pct) OVER ev, 0) AS f5, greatest(24 - quali_position, 0) AS label
+   FROM stage_field WHERE quali_position IS NOT NULL WINDOW ev AS (PARTITION BY series, race_seq))""")
+cte("quali_fit", fit_sql("SELECT * FROM oos_dates", weight=OOS_WEIGHT, before="a.race_date < k.cutoff").replace("train_filled", "quali_fit_rows"))
+cte("quali_scores", """SELECT *, (raw - avg(raw) OVER w) / CASE WHEN stddev_pop(raw) OVER w > 1e-9 THEN stddev_pop(raw) OVER w ELSE 1 END AS score FROM
+  (SELECT s.*, c1 * coalesce(drv_avg_quali_5, avg(drv_avg_quali_5) OVER v, 0) + c2 * coalesce(fp, avg(fp) OVER v, 0) AS raw FROM
+   (SELECT f.*, stage, CASE WHEN stage = 'pre_quali' THEN fp_best_gap_pct END AS fp FROM stage_field f, (VALUES ('pre_quali'), ('pre_practice')) x(stage)) s
+   JOIN quali_fit c ON c.key = s.race_date WINDOW v AS (PARTITION BY series, race_seq, stage)) WINDOW w AS (PARTITION BY series, race_seq, stage)""")
+cte("early_scores", """SELECT series, season, race_seq, entity, position, CAST(position AS DOUBLE) AS place, stage || ':model' AS method,
+   (raw - avg(raw) OVER w) / CASE WHEN stddev_pop(raw) OVER w > 1e-9 THEN stddev_pop(raw) OVER w ELSE 1 END AS score FROM
+   (SELECT s.* EXCLUDE (raw, score), c1 * row_number() OVER (PARTITION BY series, race_seq, stage ORDER BY s.score DESC, entity) + c2 * coalesce(drv_avg_finish_5, avg(drv_avg_finish_5) OVER (PARTITION BY series, race_seq, stage), 0) AS raw
+    FROM quali_scores s JOIN oos_race_fit c ON c.key = s.race_date) WINDOW w AS (PARTITION BY series, race_seq, stage)
+  UNION ALL SELECT series, season, race_seq, entity, position, place, stage || ':' || method, score FROM baselines SEMI JOIN oos_events USING (series, race_seq), (VALUES ('pre_quali'), ('pre_practice')) x(stage)
+  WHERE method IN ('championship', 'recent_form', 'team_form')""")
+cte("early_losses", losses_sql("early_scores"))
+cte("early_t", rolling_sql("early_losses"))
+cte("early_window", f"SELECT s.*, temperature FROM early_scores s JOIN early_t USING (series, method, race_seq) WHERE season >= {FIRST_SEASON}")
+cte("early_table", table_sql(matrix_sql("early_window", N, "wf")))
+cte("early_rows", grade_sql("early_table", "early_window"))
+cte("wp_scores", """SELECT s.series, s.season, s.race_seq, s.entity, s.method, s.score, CAST(c.quali_position AS DOUBLE) AS place FROM
+  (SELECT series, season, race_seq, entity, 'model' AS method, score FROM quali_scores WHERE stage = 'pre_quali'
+   UNION ALL SELECT series, season, race_seq, entity, method, score FROM baselines SEMI JOIN oos_events USING (series, race_seq) WHERE method IN ('recent_form', 'team_form')) s
+  JOIN (SELECT series, race_seq, entity, quali_position FROM contest) c USING (series, race_seq, entity)""")
 cte("wp_losses", losses_sql("wp_scores"))
 cte("wp_t", rolling_sql("wp_losses"))
-cte("wp_rows", f"""SELECT series, race_seq, method, avg(abs(pr - place)) AS position_error, -ln(greatest(arg_min(p, (place, entity)) FILTER (place IS NOT NULL), 1e-12)) AS loss FROM
-  (SELECT s.*, row_number() OVER w AS pr, exp(score / temperature) / sum(exp(score / temperature)) OVER (PARTITION BY series, race_seq, method) AS p
+cte("wp_rows", f"""SELECT series, race_seq, method, any_value(season) AS season, any_value(temperature) AS temperature, avg(abs(pr - place)) AS position_error, -ln(greatest(arg_min(p, (place, entity)) FILTER (place IS NOT NULL), 1e-12)) AS loss FROM
+  (SELECT s.*, temperature, row_number() OVER w AS pr, exp(score / temperature) / sum(exp(score / temperature)) OVER (PARTITION BY series, race_seq, method) AS p
    FROM wp_scores s JOIN wp_t USING (series, method, race_seq) WHERE season >= {FIRST_SEASON} WINDOW w AS (PARTITION BY series, race_seq, method ORDER BY score DESC, entity)) GROUP BY ALL""")
-cte("stage_rows", "SELECT 'post_quali' AS stage, method, win_logloss AS loss, position_error FROM wf_rows UNION ALL SELECT 'qualifying', method, loss, position_error FROM wp_rows "
-    + " ".join(f"UNION ALL SELECT '{st}', method, win_logloss, position_error FROM wf_rows WHERE method <> 'grid'" for st in ("pre_quali", "pre_practice")))
+cte("stage_rows", """SELECT 'post_quali' AS stage, method, win_logloss AS loss, position_error FROM wf_rows UNION ALL SELECT 'qualifying', method, loss, position_error FROM wp_rows
+  UNION ALL SELECT split_part(method, ':', 1), split_part(method, ':', 2), win_logloss, position_error FROM early_rows""")
+
+
+@query("j4_quali_model", SM + "season:i temperature:d position_error:d pole_logloss:d", "SELECT *, loss AS pole_logloss FROM wp_rows")
+def _(t):
+    """The qualifying model against its baselines, each event scored from earlier dates."""
+    d = _stage_frame(t)
+    return _quali_target(t, d, _quali_model(d))
+
+
+@query(
+    "j3_before_grid", SM + "ndcg5:d winner_hit:i position_error:d win_logloss:d podium_brier:d", "SELECT * FROM early_rows"
+)
+def _(t):
+    """The race walk-forward at the stages before a grid exists."""
+    d = _stage_frame(t)
+    return forward(t, _before_grid(t, d, cut(_quali_model(d))))[0]
 
 
 @query(

@@ -90,3 +90,20 @@ def test_feature_groups_cover_the_race_model():
     assert len(RACE_FEATURES) == 27 and len(QUALI_FEATURES) == 28
     assert set(EXPLANATION_GROUPS) == set(RACE_FEATURES) and set(EXPLANATION_GROUPS.values()) == set(GROUP_LABELS)
     assert not set(PRACTICE_FEATURES) & set(RACE_FEATURES)
+
+
+def test_stages_before_the_grid_never_read_it(spark, small):
+    from rankfield.catalog import evaluate_q as q
+
+    t = Tables(spark, small, land=True)
+    d = q._stage_frame(t)
+    last = d.agg(F.max("race_date")).first()[0]
+    hidden = d.withColumn("grid", F.when(F.col("race_date") == F.lit(last), 30 - F.col("grid")).otherwise(F.col("grid")))
+    rows = []
+    for frame in (d, hidden):
+        quali = q._quali_model(frame).where(F.col("race_date") == F.lit(last))
+        early = q._before_grid(t, frame, quali).where("method like '%:model'")
+        rows.append(sorted((r["method"], r["entity"], round(r["score"], 9)) for r in early.collect()))
+    assert rows[0] == rows[1] and len(rows[0]) > 10
+    stages = {m: [r for r in rows[0] if r[0].startswith(m)] for m in ("pre_quali", "pre_practice")}
+    assert [r[2] for r in stages["pre_quali"]] != [r[2] for r in stages["pre_practice"]]

@@ -28,9 +28,9 @@ def run(t: Tables, now: Column, penalties: DataFrame, n_samples: int = 200) -> D
     Before a grid is known the qualifying forecast stands in, penalised and re-ranked;
     penalties touch a provisional grid only. An incoherent distribution is an error."""
     features, race = next_field(t, now)
-    latest = int(features.agg(F.max("season")).first()[0])
-    history = rk.recency_weights(features.where("position is not null"), DEFAULTS["recency"], latest)
-    history = cut(history)
+    history = features.where("position is not null").join(t.calendar.select(*EVENT, ev.DATE), EVENT)
+    latest = int(history.agg(F.max("season")).first()[0])  # the last season trained on
+    history = cut(rk.recency_weights(history, DEFAULTS["recency"], latest))
     quali = rk.train(history, QUALI_INPUTS, "quali_relevance", ridge=0.01)
     finish = rk.train(history, RACE_INPUTS, "race_relevance", top=8, ridge=0.01)
 
@@ -54,11 +54,15 @@ def run(t: Tables, now: Column, penalties: DataFrame, n_samples: int = 200) -> D
     gridded = cut(pen.apply_penalties(ladders.starting_grid(merged, event), event))
 
     scored = finish.score(gridded).withColumns({"dnf_prob": lw.dnf_probability(), "method": F.lit("model")})
-    past = finish.score(history).withColumns({"method": F.lit("model"), "place": F.col("position").cast("double")})
-    losses = lw.temperature_losses(past, "score", "place", event=ev.METHOD_EVENT)
+    # The temperature comes from the last events as models of earlier dates scored them.
     age = F.dense_rank().over(lw.W.partitionBy("series").orderBy(F.desc("race_seq")))
-    trailing = lw.fit_temperature(losses.withColumn("_a", age).where(F.col("_a") <= lw.TRAILING_EVENTS), ["series"])
-    scored = cut(scored.join(trailing.select("series", "temperature"), "series"))
+    recent = history.select("series", "race_seq").distinct().withColumn("_a", age).where(F.col("_a") <= lw.TRAILING_EVENTS)
+    past = ev.oos_scores(history, recent, RACE_INPUTS, "race_relevance", DEFAULTS["recency"], 8, 0.01)
+    past = past.withColumns({"method": F.lit("model"), "place": F.col("position").cast("double")})
+    losses = lw.temperature_losses(past, "score", "place", event=ev.METHOD_EVENT)
+    trailing = lw.fit_temperature(losses, ["series"]).select("series", F.col("temperature").alias("_t"))
+    scored = scored.join(trailing, "series", "left").withColumn("temperature", F.coalesce("_t", F.lit(DEFAULTS["temperature"]))).drop("_t")
+    scored = cut(scored)
 
     matrix = cut(lw.forecast(scored, "score", F.col("temperature"), DEFAULTS["blend"], n_samples))
     problems = lw.check_distribution(matrix)

@@ -2,14 +2,19 @@
 
 Features of a text are the distinct hashes of its lower-cased words, of neighbouring pairs, and of pairs with
 one word left out. Per-coordinate learning rates and an L1 penalty leave few weights other than zero; they are
-collected (at most ``dims`` of them) and sent to every task. Training reads at most ``max_train`` labelled
-rows, those whose hashed ids come first, in one task; scoring reads every whole text, without a shuffle.
+collected (at most ``dims`` of them) and sent to every task. Scoring reads every whole text, without a shuffle.
+
+Training reads every labelled row. Rows are dealt by ranges of their hashed ids into blocks of about ``block_bytes`` of
+text, stored as packed features. A run of ``RUN_BLOCKS`` blocks is one task's work; it hands the state, z and n of
+``dims`` coordinates, to the next run by way of the driver. So the fit is that of one pass over all rows in the order of
+their hashed ids, whatever the blocks, while a task holds the state and one run at most. Runs follow one another: more
+machines do not shorten them, but a row costs little, as few coordinates are beyond the penalty.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -17,9 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rankfield.llm.stage import folder
 from rankfield.llm.text import Words, grams, release, slices
 
-MAX_TRAIN = 16_000
+BLOCK_BYTES = 2 << 20
+RUN_BLOCKS = 16
+#: Labels up to this number are broadcast to the documents.
+BROADCAST_LABELS = 1_000_000
 DIMS = 1 << 20
 GAPS = ((), (1,), (2,))
 
@@ -62,62 +71,135 @@ def features(docs: DataFrame, dims: int) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def _fit(rows: list[np.ndarray], y: np.ndarray, dims: int, epochs: int, alpha: float, beta: float, l1: float, l2: float) -> tuple[np.ndarray, np.ndarray, float]:
-    """FTRL-proximal over the rows in the given order, ``epochs`` times. The intercept has no penalty."""
-    z, n = np.zeros(dims), np.zeros(dims)
-    prior = np.clip(y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3)
-    bias, bias_n = float(np.log(prior / (1 - prior))), 1.0
-    for _ in range(epochs):
-        for x, label in zip(rows, y, strict=True):
-            zx, nx = z[x], n[x]
-            root = np.sqrt(nx)
-            w = np.where(np.abs(zx) <= l1, 0.0, -(zx - np.sign(zx) * l1) / ((beta + root) / alpha + l2))
-            p = 1 / (1 + np.exp(-np.clip(bias + w.sum(), -30, 30)))
-            g = p - label
-            sigma = (np.sqrt(nx + g * g) - root) / alpha
-            z[x] = zx + g - sigma * w
-            n[x] = nx + g * g
-            bias_n += g * g
-            bias -= 0.1 * g / np.sqrt(bias_n)
-    w = np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((beta + np.sqrt(n)) / alpha + l2))
-    kept = np.flatnonzero(w)
-    return kept, w[kept], bias
+def _packed(values: np.ndarray, ends: np.ndarray) -> bytes:
+    """Sorted lists of buckets, one after the other, as their first differences by byte planes (high ones are mostly 0)."""
+    steps = np.diff(values, prepend=0)
+    first = ends[:-1][ends[:-1] < ends[1:]]
+    steps[first] = values[first]
+    return steps.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _unpacked(data: bytes, ends: np.ndarray) -> np.ndarray:
+    steps = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+    total = np.cumsum(steps, dtype=np.int64)
+    before = np.concatenate(([0], total))[ends[:-1]]
+    return total - np.repeat(before, np.diff(ends))
+
+
+def blocks(texts: DataFrame, dims: int, count: int) -> DataFrame:
+    """``texts`` (doc_id, label, turn, text) as one row per block: its run, number, rows, rows of label 1, labels, list lengths, buckets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, parts = None, []
+
+        def done() -> pa.RecordBatch:
+            label, length, values = (np.concatenate(x) for x in zip(*parts, strict=True))
+            ends = np.concatenate(([0], np.cumsum(length)))
+            row = (at, len(label), int(label.sum()), label.astype(np.uint8).tobytes(), length.astype("<i4").tobytes(), _packed(values, ends))
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["block", "rows", "ones", "label", "length", "values"])
+
+        for part in slices(batches, "text"):
+            index, row = _buckets(Words(part["text"], lower=True), dims)
+            both = np.unique(row * dims + index)
+            ends = np.searchsorted(both, np.arange(part.num_rows + 1) * dims)
+            block, label, values = part["block"].to_numpy(), part["label"].to_numpy(), (both % dims).astype(np.int32)
+            cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if parts and block[a] != at:
+                    yield done()
+                    parts = []
+                at = int(block[a])
+                parts.append((label[a:b], np.diff(ends[a : b + 1]), values[ends[a] : ends[b]]))
+        if parts:
+            yield done()
+
+    place = F.floor((F.col("turn").cast("double") / 2.0**64 + 0.5) * count)  # rises with turn
+    dealt = texts.withColumn("block", F.least(place, F.lit(count - 1)).cast("long")).repartition(count, "block").sortWithinPartitions("block", "turn", "doc_id")
+    packed = dealt.select("block", "label", "text").mapInArrow(run, "block long, rows long, ones long, label binary, length binary, values binary")
+    return packed.withColumn("run", F.floor(F.col("block") / RUN_BLOCKS))
+
+
+@dataclass
+class State:
+    """FTRL-proximal: z, n, the intercept (without penalty) and the sum of squares of its gradients."""
+
+    z: np.ndarray
+    n: np.ndarray
+    bias: float
+    bias_n: float
+    alpha: float
+    beta: float
+    l1: float
+    l2: float
+
+    def active(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The coordinates among ``x`` whose weights are not zero, and these."""
+        at = x[np.abs(self.z[x]) > self.l1]
+        z = self.z[at]
+        return at, -(z - np.sign(z) * self.l1) / ((self.beta + np.sqrt(self.n[at])) / self.alpha + self.l2)
+
+    def walk(self, values: np.ndarray, ends: np.ndarray, y: np.ndarray) -> None:
+        """Learn the rows in the given order, once."""
+        for a, b, label in zip(ends[:-1].tolist(), ends[1:].tolist(), y.tolist(), strict=True):
+            x = values[a:b]
+            at, w = self.active(x)
+            g = 1 / (1 + np.exp(-np.clip(self.bias + w.sum(), -30, 30))) - label
+            n = self.n[at]
+            self.z[x] += g
+            self.z[at] -= (np.sqrt(n + g * g) - np.sqrt(n)) / self.alpha * w
+            self.n[x] += g * g
+            self.bias_n += g * g
+            self.bias -= 0.1 * g / np.sqrt(self.bias_n)
+
+
+def _learn(run: DataFrame, state: State) -> State:
+    """The state after the blocks of a run, in their order."""
+    sent = run.sparkSession.sparkContext.broadcast(state)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = replace(sent.value, z=sent.value.z.copy(), n=sent.value.n.copy())
+        for batch in batches:
+            for length, label, values in zip(batch["length"], batch["label"], batch["values"], strict=True):
+                ends = np.concatenate(([0], np.cumsum(np.frombuffer(length.as_buffer(), "<i4"), dtype=np.int64)))
+                own.walk(_unpacked(values.as_buffer(), ends), ends, np.frombuffer(label.as_buffer(), np.uint8))
+        release()
+        yield pa.RecordBatch.from_arrays([pa.array([own.z.tobytes()]), pa.array([own.n.tobytes()]), pa.array([float(own.bias)]), pa.array([float(own.bias_n)])], ["z", "n", "bias", "bias_n"])
+
+    row = run.coalesce(1).sortWithinPartitions("block").mapInArrow(walk, "z binary, n binary, bias double, bias_n double").first()
+    sent.destroy()
+    return replace(state, z=np.frombuffer(row["z"]), n=np.frombuffer(row["n"]), bias=row["bias"], bias_n=row["bias_n"])
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, *, max_train: int = MAX_TRAIN, dims: int = DIMS, epochs: int = 5,
+    docs: DataFrame, labels: DataFrame, *, dims: int = DIMS, epochs: int = 5, block_bytes: int = BLOCK_BYTES,
     alpha: float = 0.5, beta: float = 1.0, l1: float = 3.0, l2: float = 1.0,
 ) -> Model:
     """Fit on ``labels`` (doc_id, label 0 or 1; of several labels of a document the largest; nulls are left out).
 
-    Without any labelled row the model has no weights and scores one half. The driver receives the weights
-    other than zero, at most ``dims``.
+    Of several rows of a document the one with the smallest digest of its text is learnt. Without any labelled row
+    the model has no weights and scores one half. The driver receives the state, ``dims`` coordinates, after each run.
     """
-    chosen = (
-        labels.where(F.col("doc_id").isNotNull() & F.col("label").isNotNull())
-        .groupBy("doc_id")
-        .agg(F.max("label").cast("int").alias("label"))
-        .withColumn("turn", F.xxhash64(F.lit(7), "doc_id"))
-        .orderBy("turn", "doc_id")
-        .limit(max_train)
-    )
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    sample = features(texts, dims)
-
-    def fit(table: pa.Table) -> pa.Table:  # one group of at most max_train rows
-        lists = table["features"].combine_chunks()
-        ends, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
-        turn, doc, label = table["turn"].to_numpy(), np.array(table["doc_id"].to_pylist(), object), table["label"].to_numpy().astype(float)
-        order = sorted(range(len(turn)), key=lambda i: (turn[i], doc[i], ends[i + 1] - ends[i]))
-        order = [i for k, i in enumerate(order) if not k or doc[i] != doc[order[k - 1]]]  # repeated rows once
-        index, weight, bias = _fit([values[ends[i] : ends[i + 1]] for i in order], label[order], dims, epochs, alpha, beta, l1, l2)
-        release()
-        return pa.table({"index": pa.array([index], pa.list_(pa.int64())), "weight": pa.array([weight], pa.list_(pa.float64())), "bias": pa.array([bias], pa.float64())})
-
-    row = sample.groupBy(F.lit(1).alias("all")).applyInArrow(fit, "index array<long>, weight array<double>, bias double").first()
-    if row is None:
+    chosen = labels.where(F.col("doc_id").isNotNull() & F.col("label").isNotNull()).groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
+    few = labels.count() <= BROADCAST_LABELS
+    learnt = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen) if few else chosen, "doc_id")
+    size = learnt.groupBy("doc_id").agg(F.max(F.octet_length("text")).alias("size")).agg(F.sum("size")).first()[0]
+    if size is None:
         return Model(np.empty(0, np.int64), np.empty(0, np.float32), 0.0, dims)
-    return Model(np.asarray(row["index"], np.int64), np.asarray(row["weight"], np.float32), float(row["bias"]), dims)
+    count = 1 + size // block_bytes
+    # Combined before the shuffle: a document that holds many rows sends one from each task.
+    once = learnt.groupBy("doc_id", "label").agg(F.min(F.struct(F.md5(F.col("text").cast("binary")).alias("digest"), "text")).alias("row"))
+    path = folder(docs.sparkSession, "toxicity-blocks")
+    packed = blocks(once.select("doc_id", "label", F.xxhash64(F.lit(7), "doc_id").alias("turn"), "row.text"), dims, count)
+    packed.write.partitionBy("run").parquet(path)
+    read = docs.sparkSession.read.schema(packed.drop("run").schema)
+    runs = docs.sparkSession.read.schema(packed.schema).parquet(path).groupBy("run").agg(F.sum("rows").alias("rows"), F.sum("ones").alias("ones")).orderBy("run").collect()
+    prior = np.clip(sum(r["ones"] for r in runs) / sum(r["rows"] for r in runs), 1e-3, 1 - 1e-3)
+    state = State(np.zeros(dims), np.zeros(dims), float(np.log(prior / (1 - prior))), 1.0, alpha, beta, l1, l2)
+    for _ in range(epochs):
+        for r in runs:
+            state = _learn(read.parquet(f"{path}/run={r['run']}"), state)
+    kept, weight = state.active(np.arange(dims))
+    return Model(kept, weight.astype(np.float32), float(state.bias), dims)
 
 
 def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:

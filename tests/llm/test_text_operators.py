@@ -201,6 +201,48 @@ def test_toxic_words_are_learnt(session, empty):
     assert toxicity.toxicity(docs, labels.limit(0)).where("score <> 0.5").count() == 0
 
 
+@pytest.mark.parametrize("block_bytes", [1 << 30, 3_000])
+def test_every_label_is_learnt_once_in_order(session, block_bytes):
+    """Plain FTRL over all labelled rows, one per document, gives the weights; a hot document and its copies count once."""
+    rows = _labelled(session, 300).select("doc_id", "text", F.col("toxic").cast("int").alias("label"))
+    hot = session.range(200).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("awful copy "), F.col("id") % 3).alias("text"))
+    docs = rows.select("doc_id", "text").unionByName(hot).unionByName(session.createDataFrame([(8, None)], "doc_id long, text string"))
+    model = toxicity.train(docs, rows.select("doc_id", "label"), dims=1 << 16, block_bytes=block_bytes)
+    turns = {r["doc_id"]: (r["turn"], r["label"]) for r in rows.select("doc_id", "label", F.xxhash64(F.lit(7), "doc_id").alias("turn")).collect()}
+    texts = {}
+    for r in docs.collect():
+        texts.setdefault(r["doc_id"], []).append(r["text"] or "")
+    frame = session.createDataFrame([(i, min(t, key=lambda v: hashlib.md5(v.encode()).hexdigest())) for i, t in texts.items()], "doc_id long, text string")
+    lists = {r["doc_id"]: np.array(r["features"], int) for r in toxicity.features(frame, 1 << 16).collect()}
+    z, n = np.zeros(1 << 16), np.zeros(1 << 16)
+    prior = np.mean([label for _, label in turns.values()])
+    bias, bias_n = math.log(prior / (1 - prior)), 1.0
+    weights = lambda z, n: np.where(np.abs(z) <= 3, 0, -(z - np.sign(z) * 3) / ((1 + np.sqrt(n)) / 0.5 + 1))
+    for _ in range(5):
+        for i in sorted(turns, key=lambda i: turns[i][0]):
+            x = lists[i]
+            w = weights(z[x], n[x])
+            g = 1 / (1 + math.exp(-bias - w.sum())) - turns[i][1]
+            z[x] += g - (np.sqrt(n[x] + g * g) - np.sqrt(n[x])) / 0.5 * w
+            n[x] += g * g
+            bias_n += g * g
+            bias -= 0.1 * g / math.sqrt(bias_n)
+    want = weights(z, n)
+    assert model.index.tolist() == np.flatnonzero(want).tolist() and len(model.index) > 2
+    assert np.allclose(model.weight, want[model.index], rtol=1e-5) and abs(model.bias - bias) < 1e-9
+
+
+def test_labels_beyond_the_former_bound_are_learnt(session):
+    """Toxic labels of ids whose hashes come after 16,000 others."""
+    rows = session.range(16_300).select(F.col("id").alias("doc_id"), F.xxhash64(F.lit(7), "id").alias("turn"))
+    late = [r["doc_id"] for r in rows.orderBy("turn").tail(200)]
+    bad = F.col("doc_id").isin(late)
+    docs = rows.select("doc_id", F.concat(F.when(bad, "vile").otherwise("kind"), F.lit(" word")).alias("text"))
+    model = toxicity.train(docs, rows.select("doc_id", bad.cast("int").alias("label")), dims=1 << 12)
+    got = {r["text"]: r["score"] for r in toxicity.score(docs.select("text").distinct(), model).collect()}
+    assert got["vile word"] > 0.5 > 0.1 > got["kind word"]
+
+
 def test_quality_shrinks_sparse_sites(session, empty):
     rows = _labelled(session)
     labels = rows.select("doc_id", F.col("quality").cast("int").alias("label"))

@@ -6,7 +6,7 @@ collected (at most ``dims`` of them) and sent to every task. Scoring reads every
 
 Training reads every labelled row. Rows are dealt by ranges of their hashed ids into blocks of about ``block_bytes`` of
 text, stored as packed features. A run of ``RUN_BLOCKS`` blocks is one task's work; it hands the state, z and n of
-``dims`` coordinates, to the next run by way of the driver. So the fit is that of one pass over all rows in the order of
+``dims`` coordinates, to the next run by a file in the checkpoint folder. So the fit is that of one pass over all rows in the order of
 their hashed ids, whatever the blocks, while a task holds the state and one run at most. Runs follow one another: more
 machines do not shorten them, but a row costs little, as few coordinates are beyond the penalty.
 """
@@ -127,6 +127,7 @@ class State:
     n: np.ndarray
     bias: float
     bias_n: float
+    dims: int
     alpha: float
     beta: float
     l1: float
@@ -152,22 +153,41 @@ class State:
             self.bias -= 0.1 * g / np.sqrt(self.bias_n)
 
 
-def _learn(run: DataFrame, state: State) -> State:
-    """The state after the blocks of a run, in their order."""
-    sent = run.sparkSession.sparkContext.broadcast(state)
+STATE = "z binary, n binary, bias double, bias_n double"
+
+
+def _learn(run: DataFrame, before: DataFrame, start: State) -> DataFrame:
+    """The one row of the state after the blocks of a run, in their order. ``start`` has the sizes and parameters."""
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = replace(sent.value, z=sent.value.z.copy(), n=sent.value.n.copy())
+        own = start
         for batch in batches:
-            for length, label, values in zip(batch["length"], batch["label"], batch["values"], strict=True):
-                ends = np.concatenate(([0], np.cumsum(np.frombuffer(length.as_buffer(), "<i4"), dtype=np.int64)))
-                own.walk(_unpacked(values.as_buffer(), ends), ends, np.frombuffer(label.as_buffer(), np.uint8))
+            for row in range(batch.num_rows):
+                at = {n: batch[n][row] for n in batch.schema.names}
+                if at["block"].as_py() < 0:  # the state comes first
+                    z, n = (np.frombuffer(at[k].as_buffer()).copy() for k in ("z", "n"))
+                    own = replace(start, z=z, n=n, bias=at["bias"].as_py(), bias_n=at["bias_n"].as_py())
+                    continue
+                if not len(own.z):
+                    own = replace(start, z=np.zeros(start.dims), n=np.zeros(start.dims))
+                ends = np.concatenate(([0], np.cumsum(np.frombuffer(at["length"].as_buffer(), "<i4"), dtype=np.int64)))
+                own.walk(_unpacked(at["values"].as_buffer(), ends), ends, np.frombuffer(at["label"].as_buffer(), np.uint8))
         release()
         yield pa.RecordBatch.from_arrays([pa.array([own.z.tobytes()]), pa.array([own.n.tobytes()]), pa.array([float(own.bias)]), pa.array([float(own.bias_n)])], ["z", "n", "bias", "bias_n"])
 
-    row = run.coalesce(1).sortWithinPartitions("block").mapInArrow(walk, "z binary, n binary, bias double, bias_n double").first()
-    sent.destroy()
-    return replace(state, z=np.frombuffer(row["z"]), n=np.frombuffer(row["n"]), bias=row["bias"], bias_n=row["bias_n"])
+    rows = run.select("block", "label", "length", "values").unionByName(before.withColumn("block", F.lit(-1).cast("long")), allowMissingColumns=True)
+    return rows.coalesce(1).sortWithinPartitions("block").mapInArrow(walk, STATE)
+
+
+def _weights(state: DataFrame, start: State) -> tuple[np.ndarray, np.ndarray, float]:
+    def active(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            z, n = (np.frombuffer(batch[k][0].as_buffer()) for k in ("z", "n"))
+            index, weight = replace(start, z=z, n=n).active(np.arange(len(z)))
+            yield pa.RecordBatch.from_arrays([pa.array([index.tobytes()]), pa.array([weight.tobytes()]), batch["bias"]], ["index", "weight", "bias"])
+
+    row = state.mapInArrow(active, "index binary, weight binary, bias double").first()
+    return np.frombuffer(row["index"], np.int64), np.frombuffer(row["weight"]).astype(np.float32), float(row["bias"])
 
 
 def train(
@@ -177,7 +197,8 @@ def train(
     """Fit on ``labels`` (doc_id, label 0 or 1; of several labels of a document the largest; nulls are left out).
 
     Of several rows of a document the one with the smallest digest of its text is learnt. Without any labelled row
-    the model has no weights and scores one half. The driver receives the state, ``dims`` coordinates, after each run.
+    the model has no weights and scores one half. The driver receives the weights
+    other than zero, at most ``dims``.
     """
     chosen = labels.where(F.col("doc_id").isNotNull() & F.col("label").isNotNull()).groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
     few = labels.count() <= BROADCAST_LABELS
@@ -194,12 +215,13 @@ def train(
     read = docs.sparkSession.read.schema(packed.drop("run").schema)
     runs = docs.sparkSession.read.schema(packed.schema).parquet(path).groupBy("run").agg(F.sum("rows").alias("rows"), F.sum("ones").alias("ones")).orderBy("run").collect()
     prior = np.clip(sum(r["ones"] for r in runs) / sum(r["rows"] for r in runs), 1e-3, 1 - 1e-3)
-    state = State(np.zeros(dims), np.zeros(dims), float(np.log(prior / (1 - prior))), 1.0, alpha, beta, l1, l2)
-    for _ in range(epochs):
-        for r in runs:
-            state = _learn(read.parquet(f"{path}/run={r['run']}"), state)
-    kept, weight = state.active(np.arange(dims))
-    return Model(kept, weight.astype(np.float32), float(state.bias), dims)
+    start = State(np.empty(0), np.empty(0), float(np.log(prior / (1 - prior))), 1.0, dims, alpha, beta, l1, l2)
+    states = [folder(docs.sparkSession, f"toxicity-state-{k}") for k in range(2)]  # written in turn
+    state = docs.sparkSession.createDataFrame([], STATE)
+    for k, r in enumerate([r for _ in range(epochs) for r in runs]):
+        _learn(read.parquet(f"{path}/run={r['run']}"), state, start).write.mode("overwrite").parquet(states[k % 2])
+        state = docs.sparkSession.read.schema(STATE).parquet(states[k % 2])
+    return Model(*_weights(state, start), dims)
 
 
 def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:

@@ -95,10 +95,11 @@ def _asked(texts: DataFrame, order: int, ranges: int) -> DataFrame:
         grams = Grams(column, order)
         every, entries = grams.distinct()
         learnt = ~table["held_out"].to_numpy(zero_copy_only=False)[grams.row]
+        times = table["times"].to_numpy()[grams.row]
         counts, single = np.zeros(len(every), np.int64), np.zeros(len(every), bool)
         for k, entry in enumerate(entries):
             used = learnt & (entry >= 0)
-            counts += np.bincount(entry[used], minlength=len(every))
+            counts += np.bincount(entry[used], times[used], len(every)).astype(np.int64)
             if k == 0:
                 single[entry[entry >= 0]] = True
         edges = _edges(every, ranges)
@@ -188,9 +189,9 @@ def _scored(texts: DataFrame, answers: DataFrame, tokens: int, kinds: int, order
         rows = left.num_rows
         total = lambda x: pa.array(np.bincount(grams.row, x, rows))
         whole = lambda x: pa.array(np.bincount(grams.row, x, rows).astype(np.int64))
-        return pa.table({"doc_id": left["doc_id"], "held_out": left["held_out"], "n_tokens": whole(np.ones(len(base))), "n_known": whole(count > 0), "train_tokens": pa.array(np.full(rows, tokens)), "base_score": total(base), "score": total(score)})
+        return pa.table({"doc_id": left["doc_id"], "held_out": left["held_out"], "times": left["times"], "n_tokens": whole(np.ones(len(base))), "n_known": whole(count > 0), "train_tokens": pa.array(np.full(rows, tokens)), "base_score": total(base), "score": total(score)})
 
-    schema = f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    schema = f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, held_out boolean, times long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return texts.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(run, schema)
 
 
@@ -199,6 +200,23 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 10 == 0, F.lit(False))
 
 
+def _dealt(texts: DataFrame, slices: int, slice_bytes: int) -> tuple[DataFrame, bool]:
+    """``texts`` with ``slice`` and ``times``, and whether a row may stand for several.
+
+    Equal rows hash alike. Where they have more than a quarter of a slice together, one row with their number stands
+    for them; they are combined before the shuffle, and all other rows stay where they are.
+    """
+    keyed = texts.withColumn("key", F.xxhash64("doc_id", "text"))
+    sums = keyed.groupBy("key").agg(F.count("*").alias("rows"), F.sum(F.octet_length("text") + 16).alias("size"))
+    heavy = stored(sums.where((F.col("rows") > 1) & (F.col("size") > slice_bytes // 4)).select("key"), "repeated")
+    repeated = not heavy.isEmpty()
+    out = keyed.withColumn("times", F.lit(1).cast("long"))
+    if repeated:
+        once = keyed.join(F.broadcast(heavy), "key", "left_semi").groupBy("doc_id", "text", "held_out", "key").agg(F.count("*").alias("times"))
+        out = out.join(F.broadcast(heavy), "key", "left_anti").unionByName(once)
+    return out.withColumn("slice", F.pmod("key", F.lit(slices))).drop("key"), repeated
+
+
 def lm_scores(docs: DataFrame, *, order: int = 2, mass: float = 20.0, held: Column | None = None, slice_bytes: int = SLICE_BYTES, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -210,7 +228,11 @@ def lm_scores(docs: DataFrame, *, order: int = 2, mass: float = 20.0, held: Colu
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), (held_out() if held is None else held).alias("held_out"))
     size = texts.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     slices = 1 + size // slice_bytes
-    texts = texts.withColumn("slice", F.pmod(F.xxhash64("doc_id", F.octet_length("text"), F.substring("text", 1, 64)), F.lit(slices)))
+    texts, repeated = _dealt(texts, slices, slice_bytes)
     answers = stored(_answered(_asked(texts, order, 1 + size // range_bytes)), "answers")
     tokens, kinds = answers.agg(F.sum("tokens"), F.sum("kinds")).first()
-    return _scored(texts, answers.where(F.col("slice").isNotNull()).select("slice", "range", "counts"), tokens or 0, kinds or 0, order, mass)
+    out = _scored(texts, answers.where(F.col("slice").isNotNull()).select("slice", "range", "counts"), tokens or 0, kinds or 0, order, mass)
+    if repeated:  # one row for each time again, in steps that bound the arrays
+        out = out.withColumn("step", F.explode(F.expr("sequence(0L, (times - 1) div 65536)")))
+        out = out.withColumn("step", F.explode(F.expr("sequence(1L, least(65536L, times - step * 65536))"))).drop("step")
+    return out.drop("times")

@@ -156,6 +156,19 @@ def test_scores_match_the_formula(docs, local, order):
     assert by_row(got, "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score") == sorted(want, key=repr)
 
 
+def test_repeated_rows_share_one_slice_row(session):
+    """Copies of a row with more bytes than a slice are one row of it, and count and are scored each."""
+    rows = [(None, "b a c " * 20)] * 300 + [(i, f"a b w{i}") for i in range(50)]
+    docs = session.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    texts = docs.withColumn("held_out", F.lit(False))
+    dealt, repeated = backoff_lm._dealt(texts, 20, 4_000)
+    assert repeated and dealt.count() == 51 and dealt.agg(F.sum("times")).first()[0] == 350
+    columns = ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    rounded = lambda size: by_row(backoff_lm.lm_scores(docs, slice_bytes=size).withColumns({c: F.round(c, 6) for c in columns[-2:]}), *columns)
+    got = rounded(4_000)
+    assert len(got) == 350 and got == rounded(1 << 30)
+
+
 # -- licenses --------------------------------------------------------------------------------------
 def test_license_spans_and_edits(session):
     notice = license_scan.TEMPLATES["mit"]

@@ -86,3 +86,88 @@ WITH v AS (
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
+
+
+def _crc32(text: str) -> str:
+    """The CRC-32 of a short text, bit by bit."""
+    halve = "CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::UBIGINT) ELSE v >> 1 END"
+    byte = f"list_reduce([xor(c, b), 0::UBIGINT, 0, 0, 0, 0, 0, 0, 0], lambda v, z: {halve})"
+    return f"xor(list_reduce([4294967295::UBIGINT] || list_transform(string_split({text}, ''), lambda s: ascii(s)::UBIGINT), lambda c, b: {byte}), 4294967295::UBIGINT)"
+
+
+CONVERSATION_TRIE = rf"""
+WITH c AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), n AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS base, CAST({_crc32("CAST(conv_id AS VARCHAR)")} % 4 AS BIGINT) AS h FROM (SELECT DISTINCT conv_id FROM c)
+), r AS (
+  SELECT n.conv_id, pos, role, text FROM n JOIN c ON c.conv_id = base AND pos < h
+  UNION ALL SELECT n.conv_id, pos, role, text FROM n JOIN c ON c.conv_id = n.conv_id AND pos >= h
+), k AS (
+  SELECT conv_id, row_number() OVER w AS depth, string_agg(sha256(concat(strlen(role), ':', role, text)), '') OVER w AS path,
+    len(regexp_extract_all(text, '[^ 	-]+')) AS words
+  FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY pos ROWS UNBOUNDED PRECEDING)
+  UNION ALL SELECT conv_id, 0, '', 0 FROM n
+), x AS (
+  SELECT path, min(conv_id) AS conv_id, max(depth) AS depth, count(*) AS n_convs, (count(*) - 1) * max(words) AS saved FROM k GROUP BY path
+), f AS (
+  SELECT left(path, len(path) - 64) AS path, count(*) AS n_children FROM x WHERE depth > 0 GROUP BY ALL
+), s AS (
+  SELECT k.path, sum(CASE WHEN f.path IS NULL THEN 1 ELSE 0 END) AS n_leaves, sum(saved) AS saved_tokens
+  FROM x LEFT JOIN f USING (path) JOIN k ON k.conv_id = x.conv_id AND k.depth <= x.depth GROUP BY k.path
+), e AS (
+  SELECT path, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids
+  FROM (SELECT conv_id, arg_max(path, depth) AS path FROM k GROUP BY conv_id) GROUP BY path
+)
+SELECT x.conv_id, CAST(x.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, x.n_convs, coalesce(n_children, 0) AS n_children,
+  CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM x LEFT JOIN x p ON x.depth > 0 AND p.path = left(x.path, len(x.path) - 64) LEFT JOIN f ON f.path = x.path JOIN s ON s.path = x.path LEFT JOIN e ON e.path = x.path
+"""
+
+
+def _framed(column: str) -> str:
+    return f"coalesce(strlen(CAST({column} AS VARCHAR)) || ':' || CAST({column} AS VARCHAR), '-')"
+
+
+def _leaf(text: str) -> str:
+    return f"sha256(concat({', '.join(_framed(c) for c in ('doc_id', 'source', 'lang', 'n_chars', text))}))"
+
+
+def _tree(name: str, leaves: str) -> str:
+    """Nodes of all levels of (tree, pos, n, digest), with their siblings on either side."""
+    near = lambda f, *k: " || ".join(f"coalesce({f}(digest, {i}) OVER w, '')" for i in k)
+    return f"""{name}_all AS (
+  SELECT 0 AS level, tree, pos, n, digest FROM {leaves}
+  UNION ALL SELECT level + 1, tree, pos // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY pos)) FROM {name}_all WHERE n > 1 GROUP BY level, tree, pos // 3, n
+), {name} AS (
+  SELECT *, {near("lag", 2, 1)} AS before, {near("lead", 1, 2)} AS after FROM {name}_all WINDOW w AS (PARTITION BY level, tree, pos // 3 ORDER BY pos)
+)"""
+
+
+MERKLE = f"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS k, doc_id, source AS tree, {_leaf("text")} AS digest,
+    CASE WHEN {_crc32("CAST(doc_id AS VARCHAR)")} % 2 = 0 THEN {_leaf("replace(text, chr(10), '')")} ELSE {_leaf("text")} END AS presented
+  FROM documents
+), l AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, digest, k) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM d
+), {_tree("low", "l")}, u AS (
+  SELECT 0 AS tree, tree AS source, digest, row_number() OVER (ORDER BY tree NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM low WHERE n = 1
+), {_tree("high", "u")}, walk AS (
+  SELECT k, 0 AS level, tree, pos, presented AS folded, '' AS proof FROM l
+  UNION ALL SELECT k, w.level + 1, w.tree, w.pos // 3, sha256(before || folded || after), proof || before || after
+  FROM walk w JOIN low x ON x.level = w.level AND x.tree IS NOT DISTINCT FROM w.tree AND x.pos = w.pos AND x.n > 1
+), arrived AS (
+  SELECT k, max_by(folded, level) AS folded, max_by(proof, level) AS proof FROM walk GROUP BY k
+), way AS (
+  SELECT l.k, 0 AS level, u.pos, u.digest AS subroot, folded, proof FROM l JOIN arrived USING (k) JOIN u ON u.source IS NOT DISTINCT FROM l.tree
+  UNION ALL SELECT k, w.level + 1, w.pos // 3, subroot, sha256(before || folded || after), proof || before || after
+  FROM way w JOIN high x ON x.level = w.level AND x.pos = w.pos AND x.n > 1
+), done AS (
+  SELECT k, any_value(subroot) AS subroot, max_by(folded, level) AS folded, max_by(proof, level) AS proof FROM way GROUP BY k
+)
+SELECT doc_id, l.digest AS leaf, subroot, r.digest AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = r.digest AS verified
+FROM l JOIN done USING (k), (SELECT digest FROM high WHERE n = 1) r
+"""

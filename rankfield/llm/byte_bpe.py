@@ -28,10 +28,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankfield.llm.stage import stored
+from rankfield.llm.stage import bucketed
 from rankfield.llm.text import prefix, raw, release, slices, span_hashes
 
-SLICE_BYTES = 32 << 20
+SLICE_BYTES = 16 << 20
+#: Words or ids that are put together at once.
+RUN = 1 << 18
 BUCKET_BYTES = 4 << 20
 PIECE = 1 << 20
 HASHED_BYTES = 1 << 20
@@ -75,6 +77,15 @@ def spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(after[-1] if len(after) else 0) - np.repeat(after - size, size) + np.repeat(begin, size)
 
 
+def gathered(pool: np.ndarray, begin: np.ndarray, size: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The ranges of ``pool`` that are asked for, one after another, made in short runs."""
+    parts = [pool[:0]]
+    for low in range(0, len(which), RUN):
+        own = which[low : low + RUN]
+        parts.append(pool[spread(begin[own], size[own])])
+    return np.concatenate(parts)
+
+
 def pack(values: np.ndarray) -> bytes:
     """Unsigned 32-bit numbers by planes of equal significance, compressed."""
     return zstandard.ZstdCompressor(level=3).compress(values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
@@ -140,14 +151,14 @@ class Slice:
         run = np.concatenate(self.runs) if self.runs else np.empty(0, np.uint32)
         first = np.concatenate(([0], np.cumsum(self.counts)))
         ends = np.concatenate(([0], np.cumsum(size[run])))
-        codes = flat[spread(begin[run], size[run])]
+        codes = gathered(flat.astype(np.uint32), begin, size, run)
         order = np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable")
         rank = np.empty(len(words), np.int64)
         rank[order] = np.arange(len(words))
         every = [w.encode() for w in words]
         every = [every[i] for i in order.tolist()]
         data = b"".join(every)
-        values = [number, pa.concat_arrays(self.ids), pa.array(np.diff(ends[first]), pa.int64()), pack(rank[codes]), zstandard.ZstdCompressor(level=3).compress(data), pack(np.array([len(w) for w in every], np.int64)), len(data)]
+        values = [number, pa.concat_arrays(self.ids), pa.array(np.diff(ends[first]), pa.int64()), pack(rank.astype(np.uint32)[codes]), zstandard.ZstdCompressor(level=3).compress(data), pack(np.array([len(w) for w in every], np.int64)), len(data)]
         types = [pa.int64(), pa.list_(values[1].type), pa.list_(pa.int64()), *[pa.binary()] * 3, pa.int64()]
         columns = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) if isinstance(v, pa.Array) else pa.array([v], t) for v, t in zip(values, types, strict=True)]
         return pa.RecordBatch.from_arrays(columns, ["slice", "doc_ids", "counts", "codes", "words", "lengths", "word_bytes"])
@@ -246,7 +257,7 @@ def encode(docs: DataFrame, *, ranks_path: str, pattern: str, slice_bytes: int =
     ``ranks_path`` names a file of ranks that every executor has. The number of buckets follows the bytes of the
     slices' distinct words, so a bucket stays at about ``bucket_bytes`` whatever the size of the table.
     """
-    held = stored(_sliced(docs, pattern, slice_bytes), "bpe-slices")
+    held = bucketed(_sliced(docs, pattern, slice_bytes), "slice", "bpe-slices")
     total = held.agg(F.sum("word_bytes")).first()[0] or 0
     ids = _coded(_dealt(held.select("slice", "words", "lengths"), max(1, -(-total // bucket_bytes))), ranks_path, pattern)
     id_type = docs.schema["doc_id"].dataType.simpleString()
@@ -263,12 +274,16 @@ def encode(docs: DataFrame, *, ranks_path: str, pattern: str, slice_bytes: int =
         begin, size = begin[order], size[order]
         for row in range(left.num_rows):  # one
             codes = unpack(left["codes"][row].as_py())
-            own = size[codes]
-            every = pool[spread(begin[codes], own)]
-            texts = np.cumsum(np.concatenate(([0], left["counts"][row].values.to_numpy())))
-            ends = np.concatenate(([0], np.cumsum(own)))[texts]
-            found.append(left["doc_ids"][row].values)
-            numbers.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(every, pa.int32())))
+            names, counts = left["doc_ids"][row].values, left["counts"][row].values.to_numpy()
+            texts, low = np.cumsum(counts), 0
+            while low < len(counts):  # some RUN words at once, or one text
+                first = int(texts[low - 1]) if low else 0
+                high = max(low + 1, int(np.searchsorted(texts, first + RUN, "right")))
+                own = codes[first : texts[high - 1]]
+                ends = np.concatenate(([0], np.cumsum(size[own])))[np.concatenate(([0], texts[low:high] - first))]
+                found.append(names[low:high])
+                numbers.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(gathered(pool, begin, size, own))))
+                low = high
         release()
         return pa.table({"doc_id": pa.chunked_array(found), "ids": pa.chunked_array(numbers)})
 

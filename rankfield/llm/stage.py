@@ -29,6 +29,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, column: str, name: str) -> DataFrame:
+    """As ``stored``, but in as many buckets of ``column`` as a shuffle has partitions: later joins on it don't move the rows."""
+    spark = df.sparkSession
+    path = folder(spark, name)
+    table = path.rpartition('/')[2].replace('-', '_')
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), column).option("path", path).saveAsTable(table)
+    out = spark.table(table)
+    out.schema  # resolved, so the files alone are needed from here on
+    spark.sql(f"DROP TABLE {table}")
+    return out
+
+
 _shipped: set[str] = set()
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankfield.llm.components import components
-from rankfield.llm.stage import stored
+from rankfield.llm.stage import row_key, stored
 from rankfield.llm.text import Words, grams, mix, raw, release, slices
 
 BANDS, BAND_ROWS = 24, 4
@@ -287,11 +287,17 @@ def ngram_join(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, tolerance
 
 
 def one_of_each(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, tolerance: float = 1e-6, block_rows: int = BLOCK_ROWS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Of each class of near duplicates one row, that of the smallest doc_id (nulls last), with the columns of ``docs``."""
+    """Of each class of near duplicates one row, that of the smallest doc_id (nulls last), with the columns of ``docs``.
+
+    Rows equal in id and text but not in other columns: the one whose whole row has the smallest digest. Null and empty
+    texts are copies of each other and one of them stays, as one of any texts without words that are equal does. An
+    empty table gives an empty result; texts count whole, whatever their length; extra columns of any name stay.
+    """
     rows, texts = _joined(docs, n, threshold, tolerance, block_rows, block_bytes)
     named = rows.select("key", "row_key", "doc_id").join(texts.select("key", "label"), "key")
     chosen = named.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key")).alias("first"))
-    kept = docs.select(F.struct("*").alias("whole"), "doc_id", "text")
+    kept = docs.select(F.struct("*").alias("whole"), "doc_id", "text", row_key(docs).alias("digest"))
     row = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.coalesce("text", F.lit("")))
-    kept = kept.select("whole", F.unhex(F.md5(row.cast("binary"))).alias("row_key")).join(chosen.select("first.row_key"), "row_key").dropDuplicates(["row_key"])
+    kept = kept.select("whole", "digest", F.unhex(F.md5(row.cast("binary"))).alias("row_key")).join(chosen.select("first.row_key"), "row_key")
+    kept = kept.groupBy("row_key").agg(F.min_by("whole", "digest").alias("whole"))
     return kept.select(*(F.col("whole")[c].alias(c) for c in docs.columns))

@@ -10,21 +10,27 @@ from pyspark.sql import functions as F
 from rankfield.llm.stage import stored
 
 
-def numbered(df: DataFrame, group: str, order: list[str], more: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Add ``pos``, a row's place from 0 in its group, and ``size``, the rows of the group, as longs.
+def numbered(df: DataFrame, group: str, order: list[str], more: Callable[[DataFrame], DataFrame] | None = None, weight: str | None = None) -> DataFrame:
+    """Add ``pos``, a row's place from 0 in its group, and ``size``, the rows of the group (unless there is such a column), as longs.
 
     ``group`` must not be null; ``order`` is ascending with nulls first, equal rows follow in any order. Rows are dealt by ranges of
     (group, order), so a large group spreads over many partitions, equal rows included. Only one row per partition
-    and group is summed up. ``more`` may add columns to (part, group, offset, size), one row each, which the rows then get too.
+    and group is summed up. ``weight`` names a column of longs whose sum over the rows before it each row gets as ``begin``. ``more`` may add columns to (part, group, offset, size), one row each, which the rows then get too.
     """
     tied = stored(df.withColumn("tie", F.monotonically_increasing_id()), "tied")
     rows = stored(tied.repartitionByRange(group, *order, "tie").withColumn("part", F.spark_partition_id()), "ranges")
-    counts = rows.groupBy("part", group).agg(F.count("*").alias("held"))
+    values = {"": F.lit(1).cast("long")} | ({"w_": F.col(weight)} if weight else {})
+    counts = rows.groupBy("part", group).agg(*(F.sum(v).alias(f"{k}held") for k, v in values.items()))
     of_group = Window.partitionBy(group)
-    spans = counts.select("part", group, (F.sum("held").over(of_group.orderBy("part")) - F.col("held")).alias("offset"), F.sum("held").over(of_group).alias("size"))
-    inside = F.row_number().over(Window.partitionBy("part", group).orderBy(*order, "tie")) - 1
-    placed = rows.withColumn("inside", inside).join(more(spans) if more else spans, ["part", group])
-    return placed.withColumn("pos", F.col("offset") + F.col("inside")).drop("part", "tie", "inside", "offset")
+    offsets = [(F.sum(f"{k}held").over(of_group.orderBy("part")) - F.col(f"{k}held")).alias(f"{k}offset") for k in values]
+    spans = counts.select("part", group, *offsets, F.sum("held").over(of_group).alias("size_of_group"))
+    inside = Window.partitionBy("part", group).orderBy(*order, "tie").rowsBetween(Window.unboundedPreceding, 0)
+    before = {f"{k}inside": F.sum(v).over(inside) - v for k, v in values.items()}
+    spans = spans.withColumnRenamed("size_of_group", "size") if "size" not in df.columns else spans.drop("size_of_group")
+    placed = rows.withColumns(before).join(more(spans) if more else spans, ["part", group]).withColumn("pos", F.col("offset") + F.col("inside"))
+    if weight:
+        placed = placed.withColumn("begin", F.col("w_offset") + F.col("w_inside"))
+    return placed.drop("part", "tie", *(f"{k}{x}" for k in values for x in ("inside", "offset")))
 
 
 def lookup(rows: DataFrame, key: str, table: DataFrame, uses: DataFrame, share: int = 1000) -> DataFrame:

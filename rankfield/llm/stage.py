@@ -7,7 +7,8 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import rankfield
 from rankfield.session import ensure_checkpoint_dir
@@ -41,6 +42,12 @@ def bucketed(df: DataFrame, column: str, name: str) -> DataFrame:
     return out
 
 
+def row_key(docs: DataFrame) -> Column:
+    """A digest of a row's columns, the text by its own digest: rows of one key are equal."""
+    others = F.to_json(F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c != "text")))
+    return F.md5(F.concat_ws("|", F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("-")), others).cast("binary"))
+
+
 _shipped: set[str] = set()
 
 

@@ -26,7 +26,7 @@ ALNUM[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
-_powers: dict[str, np.ndarray] = {}
+_powers: list[np.ndarray] = []
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -44,15 +44,18 @@ BYTE_VALUE = mix(np.arange(1, 257, dtype=np.uint64))
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of BASE and of its inverse modulo 2**64, for exponents below n."""
-    if len(_powers.get("up", ())) < n:
-        size = max(n, SLICE_BYTES + 1)
-        inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
-        for name, base in (("up", BASE), ("down", inverse)):
+    """Powers of BASE and of its inverse modulo 2**64, for exponents below n. Only those that a slice needs are kept."""
+    size = max(n, SLICE_BYTES + 1)
+    if size > SLICE_BYTES + 1 or not _powers:
+        made = []
+        for base in (BASE, np.uint64(pow(int(BASE), -1, 1 << 64))):
             run = np.full(size, base, np.uint64)
             run[0] = 1
-            _powers[name] = np.multiply.accumulate(run)
-    return _powers["up"], _powers["down"]
+            made.append(np.multiply.accumulate(run))
+        if size > SLICE_BYTES + 1:
+            return made[0], made[1]
+        _powers[:] = made
+    return _powers[0], _powers[1]
 
 
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -24,11 +24,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankfield.llm.stage import folder
-from rankfield.llm.text import mix, prefix, raw, slices, span_hashes
+from rankfield.llm.text import mix, prefix, raw, release, slices, span_hashes
 
 BITS = 512
 END = 2
 SEGMENT_TOKENS = 1 << 20
+#: What a task keeps of the chunks it has encoded: some 12 MB.
+CACHE_CHUNKS = 200_000
+CACHE_IDS = 2_000_000
+#: Bytes of new chunks that are encoded as one text.
+PART_BYTES = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -80,31 +85,45 @@ class Codes:
         return out
 
 
+@dataclass(frozen=True)
+class Layout:
+    """What the driver reads of a tokenizer's file once: whether texts may be cut into chunks, and the bytes of every id."""
+
+    chunked: bool
+    bytes_of: np.ndarray
+
+    @classmethod
+    def of(cls, path: str) -> Layout:
+        with open(path, encoding="utf-8") as file:
+            parts = json.load(file)
+        before, added = parts.get("pre_tokenizer") or {}, parts.get("added_tokens") or []
+        chunked = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", True) and parts.get("normalizer") is None
+        chunked = bool(chunked) and not any(" " in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in added)
+        if not chunked:
+            return cls(False, np.empty(0, np.uint16))
+        vocabulary = parts["model"]["vocab"]  # a character of a byte-level token stands for a byte
+        size = {i: len(t) for t, i in vocabulary.items()} | {t["id"]: len(t["content"].encode()) for t in added}
+        bytes_of = np.zeros(max(size) + 1, np.uint16)
+        bytes_of[list(size)] = list(size.values())
+        return cls(True, bytes_of)
+
+
 class Encoder:
     """Ids of whole texts, encoding each distinct chunk once.
 
     A byte-level pre-tokenizer never joins a space to the visible character before it, so a text may be cut before
-    such spaces and the chunks' ids put one after another. For the same reason new chunks are encoded as one long
-    text, whose ids are parted by the bytes that each stands for. Chunks are told apart by two 64-bit hashes; what is
-    kept of them is dropped at ``cache`` entries. Other tokenizers encode texts as they are.
+    such spaces and the chunks' ids put one after another. For the same reason new chunks are encoded as long
+    texts, whose ids are parted by the bytes that each stands for. Chunks are told apart by two 64-bit hashes; what is
+    kept of them is dropped at ``cache`` entries or CACHE_IDS ids. Other tokenizers encode texts as they are.
     """
 
-    def __init__(self, path: str, cache: int = 1_000_000) -> None:
+    def __init__(self, path: str, cache: int = CACHE_CHUNKS, layout: Layout | None = None) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        parts = json.loads(self.tokenizer.to_str())
-        before = parts["pre_tokenizer"] or {}
-        self.chunked = before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and parts["normalizer"] is None
-        self.chunked = self.chunked and not any(" " in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in parts["added_tokens"])
+        self.layout = layout or Layout.of(path)
         self.cache = cache
-        if self.chunked:  # a character of a byte-level token stands for a byte
-            vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-            self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
-            self.bytes_of[list(vocabulary.values())] = [len(t) for t in vocabulary]
-            for t in parts["added_tokens"]:
-                self.bytes_of[t["id"]] = len(t["content"].encode())
         self._clear()
 
     def _clear(self) -> None:
@@ -121,11 +140,16 @@ class Encoder:
         lists: list[np.ndarray] = []
         order = np.concatenate((np.flatnonzero(inner), np.flatnonzero(~inner)))
         n = int(inner.sum())
-        if n:
-            ids = np.array(self._plain([b"".join([whole[a:b] for a, b in zip(low[inner].tolist(), high[inner].tolist(), strict=True)]).decode()])[0], np.uint32)
-            ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum((high - low)[inner])) + 1
-            size[order[:n]] = np.diff(ends, prepend=0)
+        ends = np.cumsum(high[inner] - low[inner])
+        at = 0
+        while at < n:
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PART_BYTES, "right")))
+            own = order[at:to]
+            ids = np.array(self._plain([b"".join([whole[a:b] for a, b in zip(low[own].tolist(), high[own].tolist(), strict=True)]).decode()])[0], np.uint32)
+            after = np.searchsorted(np.cumsum(self.layout.bytes_of[ids], dtype=np.int64), np.cumsum(high[own] - low[own])) + 1
+            size[own] = np.diff(after, prepend=0)
             lists.append(ids)
+            at = to
         rest = order[n:]
         for k, ids in zip(rest.tolist(), self._plain([whole[a:b].decode() for a, b in zip(low[rest].tolist(), high[rest].tolist(), strict=True)]), strict=True):
             size[k] = len(ids)
@@ -138,7 +162,7 @@ class Encoder:
     def _learn(self, first: np.ndarray, second: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
         to = self.used + len(ids)
         if to > len(self.pool):
-            self.pool = np.resize(self.pool, 2 * to)
+            self.pool = np.concatenate((self.pool[: self.used], np.empty(to, np.uint32)))
         self.pool[self.used : to] = ids
         at = np.searchsorted(self.first, first)
         self.begin = np.insert(self.begin, at, self.used + np.cumsum(size) - size)
@@ -150,7 +174,7 @@ class Encoder:
         """All ids of a column's texts, one after another, and the n + 1 places where the texts begin and end."""
         data, offsets = raw(column)
         starts = chunk_starts(data, offsets)
-        if not self.chunked:
+        if not self.layout.chunked:
             return self._whole(column)
         if not len(starts):
             return np.empty(0, np.uint32), np.zeros(len(offsets), np.int64)
@@ -158,7 +182,7 @@ class Encoder:
         first, second = (span_hashes(prefix(x), starts, ends) for x in (data, SHUFFLED[data]))
         _, one, which = np.unique(first, return_index=True, return_inverse=True)
         a, b = first[one], second[one]
-        if len(self.first) + len(one) > self.cache:
+        if len(self.first) + len(one) > self.cache or self.used > CACHE_IDS:
             self._clear()
         at = np.minimum(np.searchsorted(self.first, a), max(0, len(self.first) - 1))
         known = self.first[at] == a if len(self.first) else np.zeros(len(a), bool)
@@ -207,9 +231,9 @@ def chunk_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 _encoders: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, layout: Layout) -> Encoder:
     if path not in _encoders:
-        _encoders[path] = Encoder(path)
+        _encoders[path] = Encoder(path, layout=layout)
     return _encoders[path]
 
 
@@ -218,8 +242,10 @@ SEGMENT = "shard int, segment int, begin long, n_tokens long, doc_ids array<{id}
 
 def _encode(docs: DataFrame, path: str, segment_tokens: int) -> DataFrame:
     id_type = docs.schema["doc_id"].dataType.simpleString()
+    layout = Layout.of(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()  # what earlier tasks of this worker have freed
         segment, begin, held = 0, 0, 0
         ids: list[np.ndarray] = []
         names: list = []
@@ -233,7 +259,7 @@ def _encode(docs: DataFrame, path: str, segment_tokens: int) -> DataFrame:
         shard = 0
         for part in slices(batches, "text"):
             id_arrow, shard = part["doc_id"].type, part["shard"][0].as_py()
-            every, at = encoder(path).encode(part["text"])
+            every, at = encoder(path, layout).encode(part["text"])
             for name, low, high in zip(part["doc_id"].to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
                 ids.append(np.append(every[low:high], np.uint32(END)))
                 names.append(name)
@@ -241,6 +267,7 @@ def _encode(docs: DataFrame, path: str, segment_tokens: int) -> DataFrame:
                 if held >= segment_tokens:
                     yield row(shard)
                     segment, begin, held, ids, names = segment + 1, begin + held, 0, [], []
+                    release()
         if names:
             yield row(shard)
 

@@ -126,11 +126,53 @@ def test_mixed_rows_hold_what_shares_say(docs):
     named = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
     out = mixing.mixed(named, block_words=64, shard_blocks=16)
     assert out.columns == named.columns
-    got = Counter()
+    texts, taken = {r["doc_id"]: r for r in named.collect()}, Counter()
     for r in out.collect():
-        got[r["doc_id"]] += len(words(r["text"]))
-    want = {r["doc_id"]: r["taken"] for r in mixing.shares(named, block_words=64, shard_blocks=16).collect() if r["taken"]}
-    assert got == want
+        assert r == texts[r["doc_id"]]  # whole texts, and all columns
+        taken[r["doc_id"]] += len(words(r["text"]))
+    off = {}
+    for r in mixing.shares(named, block_words=64, shard_blocks=16).collect():
+        if taken[r["doc_id"]] != r["taken"]:  # the document in which its source's quota ends
+            off.setdefault(texts[r["doc_id"]]["source"], []).append(2 * abs(taken[r["doc_id"]] - r["taken"]) <= r["size"])
+    assert all(x == [True] for x in off.values())
+
+
+def test_mixed_keeps_rows_apart_that_share_id_and_text(session):
+    columns = "doc_id long, text string, lang string, source string, shard string, `key` int, `a.b` int"
+    rows = [(None, "w " * 50, "en", s, f"{s}{i}", i, 0) for s in "st" for i in range(8)] + [(None, "w " * 50, "en", "t", "t0", 0, 0)] * 5 + [(7, None, None, None, None, None, None), (8, "", "en", "s", "x", 1, 1)]
+    frame = session.createDataFrame(rows, columns).repartition(4)
+    out = mixing.mixed(frame, block_words=10, shard_blocks=4)
+    assert out.columns == frame.columns
+    got = Counter(tuple(r) for r in out.collect())
+    by_source = Counter()
+    for r, n in got.items():
+        assert r in rows
+        by_source[r[3]] += n * 50
+    want = Counter()
+    for r in mixing.shares(frame, block_words=10, shard_blocks=4).collect():
+        want[r["source_size"]] += r["taken"]
+    sizes = {"s": 8 * 50, "t": 13 * 50}
+    assert all(abs(by_source[s] - want[n]) <= 25 for s, n in sizes.items())
+    again = mixing.mixed(frame.repartition(2), block_words=10, shard_blocks=4)
+    assert Counter(tuple(r) for r in again.collect()) == got
+
+
+def test_blocks_are_permuted_one_to_one_and_grow_with_the_corpus():
+    for total in (1, 2, 3, 10, 1000, 4097):
+        got = mixing.permuted(np.arange(total), total, 5)
+        assert sorted(got.tolist()) == list(range(total))
+    got = mixing.permuted(np.arange(1000), 1000, 5)
+    assert len(set(np.diff(got).tolist())) > 500 and (got != mixing.permuted(np.arange(1000), 1000, 6)).any()
+    huge = -(-10**13 // max(4096, -(-(10**13) // mixing.MOST_BLOCKS)))
+    begin, blocks = mixing.leaf(1, 1000, np.array([huge, 5]), 3)
+    assert huge <= mixing.MOST_BLOCKS and blocks.sum() > 0
+
+
+def test_one_of_each_chooses_by_the_whole_row(session):
+    rows = [(1, "some words to keep here now", "en", s, i) for i, s in enumerate(["b", "a", None, "c"] * 6)] + [(5, None, "x", None, 0), (4, None, "y", None, 0), (9, "other words", None, "b", 1)]
+    frame = session.createDataFrame(rows, "doc_id long, text string, lang string, source string, digest int")
+    got = {frozenset(ngram_join.one_of_each(frame.repartition(n)).collect()) for n in (1, 5, 3)}
+    assert len(got) == 1 and sorted(r["doc_id"] for r in next(iter(got))) == [1, 4, 9]
 
 
 # -- top-k search ----------------------------------------------------------------------------------

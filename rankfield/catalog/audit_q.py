@@ -307,4 +307,4 @@ def _(t):
     # The open event has no list of its own: the season's last penalties carry over to it.
     latest = drops.groupBy("series", "entity").agg(F.max_by("places", "round").alias("places"))
     penalties = latest.withColumns({"season": F.lit(2001), "round": F.lit(12)})
-    return live.run(t, now, penalties, 100)
+    return live.run(t, now, penalties)

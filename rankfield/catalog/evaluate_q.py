@@ -11,13 +11,12 @@ from ..operators import listwise as lw, metrics as mt, ranker as rk
 from ..plans import evaluate as ev, features as ft
 from ..session import cut
 from ..sources.contest import EVENT, KEY, Tables
-from .listwise_q import GRID_SQL, baselines, counts_sql, dnf_field, orders_sql, retire_sql, summary_sql
+from .listwise_q import GRID_SQL, baselines, dnf_field
 from .metrics_q import BETTER_SQL, BUCKET_SQL, LOW, boot_sql, wilson_sql
 from .ranker_q import TWO, dated, fit_sql, train_field
 from .registry import query
-from .sqlbase import CTES, cte, prior_values, uniform_sql
+from .sqlbase import CTES, cte, exact_sql, prior_values, uniform_sql
 
-N = 20
 R = 5000
 EV2 = ["series", "race_seq"]
 SM = "series:i race_seq:i method:s "
@@ -96,20 +95,9 @@ def rolling_sql(losses: str, fallback: float = 1.0) -> str:
         WINDOW w AS (PARTITION BY series, method, temperature ORDER BY race_seq ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING)) GROUP BY ALL)"""
 
 
-def matrix_sql(src: str, n: int, tag: str, dnf: bool = False, temp: str = "temperature") -> str:
-    """Position shares per method: the sampled orders of one method keyed like the library's."""
-    from .sqlbase import gumbel_sql, uniform_sql
-
-    k = ("series", "race_seq", "method", "entity", "sample")
-    part = "PARTITION BY series, race_seq, method, sample"
-    orders = f"""SELECT *, row_number() OVER ({part} ORDER BY noisy DESC, entity) AS pos FROM
-      (SELECT f.*, sample, score / {temp} + {gumbel_sql(tag, *k)} AS noisy FROM {src} f, range(1, {n} + 1) r(sample))"""
-    if dnf:
-        orders = f"""SELECT * EXCLUDE (pos), row_number() OVER ({part} ORDER BY key, entity) AS pos FROM (SELECT *, CASE WHEN
-          {uniform_sql(tag + '-dnf-out', *k)} < dnf_prob THEN count(*) OVER ({part}) + 1 + {uniform_sql(tag + '-dnf-order', *k)} ELSE pos END AS key FROM ({orders}))"""
-    return f"""SELECT a.series, a.race_seq, a.method, a.entity, b.pos, coalesce(c.n, 0) / {float(n)} AS share FROM {src} a JOIN
-      (SELECT series, race_seq, method, row_number() OVER (PARTITION BY series, race_seq, method ORDER BY entity) AS pos FROM {src}) b USING (series, race_seq, method)
-      LEFT JOIN (SELECT series, race_seq, method, entity, pos, count(*) AS n FROM ({orders}) GROUP BY ALL) c USING (series, race_seq, method, entity, pos)"""
+def matrix_sql(src: str, dnf: bool = False, temp: str = "temperature") -> str:
+    """Exact position shares per method."""
+    return exact_sql(src, "series, race_seq, method", dnf, temp)
 
 
 def table_sql(matrix: str) -> str:
@@ -131,7 +119,7 @@ def grade_sql(table: str, scores: str) -> str:
 cte("wf_losses", losses_sql("wf_scores"))
 cte("wf_t", rolling_sql("wf_losses"))
 cte("wf_window", f"SELECT s.*, temperature FROM wf_scores s JOIN wf_t USING (series, method, race_seq) WHERE season >= {FIRST_SEASON}")
-cte("wf_table", table_sql(matrix_sql("wf_window", N, "wf")))
+cte("wf_table", table_sql(matrix_sql("wf_window")))
 cte("wf_rows", f"SELECT * FROM ({grade_sql('wf_table', 'wf_window')}) JOIN (SELECT DISTINCT series, race_seq, method, season, temperature FROM wf_window) USING (series, race_seq, method)")
 
 
@@ -141,7 +129,7 @@ def targets_of(scores: DataFrame, start: int = FIRST_SEASON) -> DataFrame:
 
 def forward(t: Tables, scores: DataFrame | None = None, **kw):
     scores = _all_scores(t) if scores is None else scores
-    return ev.walk_forward(scores.drop("season", "round"), targets_of(scores), N, **kw)
+    return ev.walk_forward(scores.drop("season", "round"), targets_of(scores), **kw)
 
 
 WF = "season:i temperature:d ndcg5:d winner_hit:i position_error:d win_logloss:d podium_brier:d"
@@ -254,21 +242,21 @@ def _(t):
 
 
 cte("tune_field", "SELECT w.*, dnf_prob FROM wf_scores w JOIN (SELECT series, race_seq, entity, dnf_prob FROM dnf_field) USING (series, race_seq, entity) WHERE method = 'model'")
-cte("tune_plain", matrix_sql("tune_field", N, "tune", temp="0.7"))
+cte("tune_plain", matrix_sql("tune_field", temp="0.7"))
 
 
 @query(
     "j7_tune_blend",
     "method:s blend:d win_logloss:d",
     f"""SELECT method, blend, avg(-ln(greatest(0.998 * (blend * p.share + (1 - blend) * q.share) + 0.002 / n, 1e-12))) AS win_logloss FROM tune_plain p
-      JOIN ({matrix_sql('tune_field', N, 'tune-sim', True, '0.7')}) q USING (series, race_seq, method, entity, pos)
+      JOIN ({matrix_sql('tune_field', True, '0.7')}) q USING (series, race_seq, method, entity, pos)
       JOIN tune_field f USING (series, race_seq, method, entity) JOIN (SELECT series, race_seq, count(*) AS n FROM tune_field GROUP BY ALL) USING (series, race_seq),
       unnest({list(BLEND_CANDIDATES)}) b(blend) WHERE p.pos = 1 AND f.place = 1 GROUP BY ALL""",
 )
 def _(t):
     rates = dnf_field(t).select(*EV2, "entity", "dnf_prob")
     scores = cut(_all_scores(t, ()).join(rates, [*EV2, "entity"]))
-    return ev.tune_blend(scores, 0.7, BLEND_CANDIDATES, N)
+    return ev.tune_blend(scores, 0.7, BLEND_CANDIDATES)
 
 
 RECENCIES = RECENCY_CANDIDATES
@@ -384,7 +372,7 @@ cte("early_scores", """SELECT series, season, race_seq, entity, position, CAST(p
 cte("early_losses", losses_sql("early_scores"))
 cte("early_t", rolling_sql("early_losses"))
 cte("early_window", f"SELECT s.*, temperature FROM early_scores s JOIN early_t USING (series, method, race_seq) WHERE season >= {FIRST_SEASON}")
-cte("early_table", table_sql(matrix_sql("early_window", N, "wf")))
+cte("early_table", table_sql(matrix_sql("early_window")))
 cte("early_rows", grade_sql("early_table", "early_window"))
 cte("wp_scores", """SELECT s.series, s.season, s.race_seq, s.entity, s.method, s.score, CAST(c.quali_position AS DOUBLE) AS place FROM
   (SELECT series, season, race_seq, entity, 'model' AS method, score FROM quali_scores WHERE stage = 'pre_quali'
@@ -455,7 +443,7 @@ cte("cal_scores", """SELECT s.series, s.season, s.race_seq, s.entity, s.place, v
   CASE v.method WHEN 'raw' THEN 1.0 WHEN 'fixed' THEN 0.35 ELSE t.temperature END AS temperature
   FROM wf_scores s JOIN wf_t t USING (series, method, race_seq), (VALUES ('raw'), ('fixed'), ('rolling')) v(method)
   WHERE s.method = 'model' AND s.season >= 2000""".replace("s.score,", "s.score, s.position,"))
-cte("cal_table", table_sql(matrix_sql("cal_scores", N, "cal")))
+cte("cal_table", table_sql(matrix_sql("cal_scores")))
 
 
 @query(
@@ -475,7 +463,7 @@ def _(t):
         )
     )
     d = cut(d.withColumnRenamed("temperature", "_t").drop("method").select("series", "race_seq", "entity", "place", "score", steps))
-    rows = ev.grade(d, ev.forecast_table(d, N, tag="cal"))
+    rows = ev.grade(d, ev.forecast_table(d))
     return ev.summary(rows, ("win_logloss", "podium_brier"))
 
 
@@ -486,7 +474,7 @@ cte("definition_scores", f"SELECT *, 'median' AS method FROM ({oos_sql()}) UNION
 cte("definition_losses", losses_sql("definition_scores"))
 cte("definition_t", rolling_sql("definition_losses"))
 cte("definition_window", f"SELECT s.*, temperature FROM definition_scores s JOIN definition_t USING (series, method, race_seq) WHERE season >= {FIRST_SEASON}")
-cte("definition_table", table_sql(matrix_sql("definition_window", N, "wf")))
+cte("definition_table", table_sql(matrix_sql("definition_window")))
 cte("definition_rows", grade_sql("definition_table", "definition_window"))
 cte("definition_diffs", diffs_sql("definition_rows", "median", COMPARE))
 
@@ -573,8 +561,8 @@ cte("ret_scores", f"""SELECT w.series, w.season, w.race_seq, w.entity, w.positio
   FROM wf_window w JOIN (SELECT series, race_seq, entity, dnf_prob FROM dnf_field) USING (series, race_seq, entity), (VALUES ('one half'), ('both halves')) v(method) WHERE w.method = 'model'""")
 cte("ret_one", "SELECT * FROM ret_scores WHERE method = 'one half'")
 cte("ret_both", "SELECT * FROM ret_scores WHERE method = 'both halves'")
-cte("ret_plain", f"{matrix_sql('ret_one', N, 'ret')} UNION ALL {matrix_sql('ret_both', N, 'ret', True)}")
-cte("ret_drawn", matrix_sql("ret_scores", N, "ret-sim", True))
+cte("ret_plain", f"{matrix_sql('ret_one')} UNION ALL {matrix_sql('ret_both', True)}")
+cte("ret_drawn", matrix_sql("ret_scores", True))
 cte("ret_table", table_sql("SELECT series, race_seq, method, entity, pos, 0.7 * p.share + 0.3 * q.share AS share FROM ret_plain p JOIN ret_drawn q USING (series, race_seq, method, entity, pos)"))
 cte("ret_rows", grade_sql("ret_table", "ret_scores"))
 cte("ret_diffs", diffs_sql("ret_rows", "one half", COMPARE))
@@ -589,7 +577,7 @@ def _(t):
     parts = []
     for name, both in (("one half", False), ("both halves", True)):
         x = d.withColumn("method", F.lit(name))
-        parts.append(ev.grade(x, ev.forecast_table(x, N, "dnf_prob", 0.7, "ret", both)))
+        parts.append(ev.grade(x, ev.forecast_table(x, "dnf_prob", 0.7, both)))
     return mt.paired_comparison(cut(parts[0].unionByName(parts[1])), EV2, COMPARE, "one half", replicates=R)
 
 
@@ -607,7 +595,7 @@ cte("pairing_scores", f"SELECT *, 'whole field' AS method FROM ({oos_sql()}) UNI
 cte("pairing_losses", losses_sql("pairing_scores"))
 cte("pairing_t", rolling_sql("pairing_losses"))
 cte("pairing_window", f"SELECT s.*, temperature FROM pairing_scores s JOIN pairing_t USING (series, method, race_seq) WHERE season >= {FIRST_SEASON}")
-cte("pairing_table", table_sql(matrix_sql("pairing_window", N, "wf")))
+cte("pairing_table", table_sql(matrix_sql("pairing_window")))
 cte("pairing_rows", grade_sql("pairing_table", "pairing_window"))
 cte("pairing_diffs", diffs_sql("pairing_rows", "whole field", COMPARE))
 

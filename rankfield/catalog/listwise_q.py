@@ -12,7 +12,7 @@ from ..sources.contest import EVENT, KEY, Tables
 from ..sources.landing import penalties_for  # noqa: F401  (the list these rules read)
 from .landing_q import penalty_list
 from .registry import query
-from .sqlbase import cte, gumbel_sql, uniform_sql
+from .sqlbase import cte, exact_sql, gumbel_sql, uniform_sql
 
 RACE = "series:i race_seq:i "
 EV = "series, race_seq"
@@ -138,7 +138,7 @@ def summary_sql(src: str, keep: str = "") -> str:
 
 
 def mixed(t: Tables):
-    return op.forecast(dnf_field(t), "score", 0.8, 0.7, 20)
+    return op.forecast(dnf_field(t), "score", 0.8, 0.7)
 
 
 @query("g7_mix", RACE + "entity:i pos:i share:d", "SELECT * FROM g_mixed")
@@ -255,12 +255,12 @@ def _(t):
     "g11_ranking_forecast",
     SUMMARY,
     summary_sql(f"""(SELECT series, race_seq, entity, pos, 0.998 * (0.6 * a.share + 0.4 * p.share) + 0.002 / count(*) OVER (PARTITION BY series, race_seq, entity) AS share
-      FROM g_plain p JOIN ({counts_sql(orders_sql('held_scores', 'held_score', '0.8', 20, 'pl'), 20)}) a USING (series, race_seq, entity, pos))"""),
+      FROM ({exact_sql('held_scores', EV)}) p JOIN ({exact_sql('held_scores', EV, score='held_score')}) a USING (series, race_seq, entity, pos))"""),
 )
 def _(t):
     d = pen.held_back_scores(held(t), "score", "held", "held_score", ["series", "race_seq"])
     d = cut(d.select("series", "race_seq", "entity", "score", "held_score"))
-    return op.ranking_forecast(d, "score", 0.8, 20, "held_score")
+    return op.ranking_forecast(d, "score", 0.8, "held_score")
 
 
 @query("g12_dnf_probability", RACE + "entity:i dnf_prob:d", "SELECT * FROM dnf_field")
@@ -268,7 +268,11 @@ def _(t):
     return dnf_field(t)
 
 
-@query("g13_forecast", SUMMARY, summary_sql("g_mixed"))
+cte("g_exact", f"""SELECT series, race_seq, entity, pos, 0.998 * (0.7 * p.share + 0.3 * q.share) + 0.002 / count(*) OVER (PARTITION BY series, race_seq, entity) AS share
+  FROM ({exact_sql('dnf_field', EV)}) p JOIN ({exact_sql('dnf_field', EV, True)}) q USING (series, race_seq, entity, pos)""")
+
+
+@query("g13_forecast", SUMMARY, summary_sql("g_exact"))
 def _(t):
     return op.summarise(mixed(t))
 

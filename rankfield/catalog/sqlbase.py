@@ -52,6 +52,28 @@ def gumbel_sql(tag: str, *keys: str) -> str:
     return f"(-ln(-ln({uniform_sql(tag, *keys)})))"
 
 
+def _ahead_sql(src: str, keys: str, chance: str, nodes: tuple[list[float], list[float]]) -> str:
+    """Distribution of the number of others ahead: the product of their polynomials at every node, averaged."""
+    pairs = ", ".join(f"({t!r}, {w!r})" for t, w in zip(*nodes, strict=True))
+    product = "list_reduce(list_prepend([1.0::DOUBLE], list([1 - p, p])), lambda a, b: list_transform(range(1, len(a) + 2), lambda k: coalesce(a[k], 0) * b[1] + coalesce(a[k - 1], 0) * b[2]))"
+    return f"""SELECT {keys}, entity, pos, sum(w * poly[pos]) AS share FROM (SELECT {keys}, entity, t, w, {product} AS poly FROM
+      (SELECT {', '.join('x.' + k.strip() for k in keys.split(','))}, x.entity, t, w, {chance} AS p FROM {src} x JOIN {src} y USING ({keys}), (VALUES {pairs}) n(t, w) WHERE x.entity <> y.entity) GROUP BY ALL),
+      unnest(range(1, len(poly) + 1)) u(pos) GROUP BY ALL"""
+
+
+def exact_sql(src: str, keys: str, dnf: bool = False, temp: str = "0.8", score: str = "score", most: int = 20) -> str:
+    """Exact position shares of (keys, entity, score, ...), with retirements on request; fields of at most ``most`` entrants."""
+    from ..operators.marginals import arrival_nodes, retired_nodes
+
+    arrived = f"1 - exp(-exp(greatest(least((y.{score} - x.{score}) / {temp}, 700), -700)) * t)".replace("/ temperature", "/ x.temperature")
+    if not dnf:
+        return _ahead_sql(src, keys, arrived, arrival_nodes())
+    finish = _ahead_sql(src, keys, f"(1 - y.dnf_prob) * ({arrived})", arrival_nodes())
+    back = _ahead_sql(src, keys, "1 - y.dnf_prob + y.dnf_prob * t", retired_nodes(most))
+    return f"""SELECT {keys}, entity, f.pos, (1 - dnf_prob) * f.share + dnf_prob * r.share AS share FROM ({finish}) f JOIN ({back}) r USING ({keys}, entity, pos)
+      JOIN {src} USING ({keys}, entity)"""
+
+
 cte(
     "totals",
     """SELECT l_suppkey // 20 AS series, year(l_shipdate) AS season, month(l_shipdate) AS round, l_suppkey AS entity,

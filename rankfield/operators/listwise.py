@@ -16,6 +16,7 @@ from ..constants import (
 )
 from ..functions.hashrand import gumbel, uniform
 from ..functions.scalars import clip
+from .marginals import exact_positions
 
 EVENT = ["series", "race_seq"]
 
@@ -251,22 +252,21 @@ def check_distribution(matrix: DataFrame, event: list[str] = EVENT, atol: float
 
 
 def ranking_forecast(
-    df: DataFrame, score: str, temperature, n_samples: int, held_score: str | None = None, event: list[str] = EVENT,
+    df: DataFrame, score: str, temperature, held_score: str | None = None, event: list[str] = EVENT,
 ) -> DataFrame:
     """Plackett-Luce alone; with held_score, a mixture with the held-back scores."""
-    matrix = position_matrix(df, score, temperature, n_samples, event=event)
+    matrix = exact_positions(df, score, temperature, {"share": False}, event=event)
     if held_score is not None:
-        alt = position_matrix(df, held_score, temperature, n_samples, event=event)
+        alt = exact_positions(df, held_score, temperature, {"share": False}, event=event)
         matrix = blend(alt, matrix, HOLD_BACK_SHARE, [*event, "entity", "pos"])
     return summarise(smooth(matrix, by=[*event, "entity"]), event)
 
 
 def forecast(
-    df: DataFrame, score: str, temperature, weight: float, n_samples: int, dnf_prob: str = "dnf_prob",
-    event: list[str] = EVENT, retire_both: bool = False,
+    df: DataFrame, score: str, temperature, weight: float, dnf_prob: str = "dnf_prob", event: list[str] = EVENT, retire_both: bool = False,
 ) -> DataFrame:
-    """One coherent matrix: weight on the plain ranking, the rest with the retirement draw."""
-    m = paired_matrix(df, score, temperature, n_samples, dnf_prob, ("pl", "sim"), event, retire_both)
+    """One coherent matrix: weight on the plain ranking, the rest with retirements."""
+    m = exact_positions(df, score, temperature, {"plain": retire_both, "drawn": True}, dnf_prob, event)
     share = weight * F.col("plain") + (1.0 - weight) * F.col("drawn")
     return smooth(m.select(*event, "entity", "field", "pos", share.alias("share")))
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Row, Window as W, functions as F
 
 from ..constants import CALIBRATION_WARMUP, MIN_TRAIN_EVENTS, RECENCY_FLOOR
 from ..operators import listwise as lw, metrics as mt, ranker as rk
+from ..operators.marginals import exact_positions
 from ..operators.ranker import EVENT
 
 DATE = "race_date"
@@ -140,21 +141,17 @@ def with_temperatures(
     return out.withColumn("temperature", F.coalesce("temperature", F.lit(float(default))))
 
 
-def forecast_table(
-    scores: DataFrame, n_samples: int, dnf_prob: str | None = None, weight: float = 1.0, tag: str = "wf",
-    retire_both: bool = False,
-) -> DataFrame:
-    """Published probabilities per (event, method, entity) at each row's temperature.
+def forecast_table(scores: DataFrame, dnf_prob: str | None = None, weight: float = 1.0, retire_both: bool = False) -> DataFrame:
+    """Published probabilities per (event, method, entity) at each row's temperature, exact.
 
-    weight 1 is the plain ranking, smoothed; below 1 the rest comes from the retirement draw."""
+    weight 1 is the plain ranking, smoothed; below 1 the rest comes with retirements."""
     t = F.col("temperature")
-    key = [*METHOD_EVENT, "entity"]
     if dnf_prob is None or weight >= 1:
-        m = lw.position_matrix(scores, "score", t, n_samples, dnf_prob if retire_both else None, tag, METHOD_EVENT)
+        m = exact_positions(scores, "score", t, {"share": retire_both and dnf_prob is not None}, dnf_prob, METHOD_EVENT)
     else:
-        both = lw.paired_matrix(scores, "score", t, n_samples, dnf_prob, (tag, f"{tag}-sim"), METHOD_EVENT, retire_both)
+        both = exact_positions(scores, "score", t, {"plain": retire_both, "drawn": True}, dnf_prob, METHOD_EVENT)
         m = both.withColumn("share", weight * F.col("plain") + (1.0 - weight) * F.col("drawn"))
-    return lw.summarise(lw.smooth(m, by=key), METHOD_EVENT)
+    return lw.summarise(lw.smooth(m, by=[*METHOD_EVENT, "entity"]), METHOD_EVENT)
 
 
 def grade(scores: DataFrame, table: DataFrame, place: str = "place") -> DataFrame:
@@ -170,9 +167,8 @@ def grade(scores: DataFrame, table: DataFrame, place: str = "place") -> DataFram
 
 
 def walk_forward(
-    scores: DataFrame, targets: DataFrame, n_samples: int, place: str = "place", fallback: float = 1.0,
-    dnf_prob: str | None = None, weight: float = 1.0, depth: int = 1, fixed: float | None = None,
-    min_field: int = 5, tag: str = "wf",
+    scores: DataFrame, targets: DataFrame, place: str = "place", fallback: float = 1.0,
+    dnf_prob: str | None = None, weight: float = 1.0, depth: int = 1, fixed: float | None = None, min_field: int = 5,
 ) -> tuple[DataFrame, DataFrame]:
     """Grade methods on the reported targets, temperatures trailing over all targets.
 
@@ -180,7 +176,7 @@ def walk_forward(
     n = F.count(place).over(W.partitionBy(*METHOD_EVENT))
     d = scores.join(targets.select(*EVENT, "season", "reported"), EVENT).withColumn("_n", n).where(F.col("_n") >= min_field)
     d = with_temperatures(d.drop("_n"), place, fallback, depth, fixed).where("reported")
-    table = forecast_table(d, n_samples, dnf_prob, weight, tag)
+    table = forecast_table(d, dnf_prob, weight)
     rows = grade(d, table, place)
     facts = d.select(*METHOD_EVENT, "season", "temperature").distinct()
     told = table.join(d.select(*METHOD_EVENT, "entity", F.col(place).alias("actual"), "season"), [*METHOD_EVENT, "entity"])
@@ -220,10 +216,10 @@ def winner_loss(scores: DataFrame, temperature: float, place: str = "place", by:
     return losses.groupBy(*by).agg(F.avg("loss").alias("win_logloss"))
 
 
-def tune_blend(scores: DataFrame, temperature, weights: Sequence[float], n_samples: int, dnf_prob: str = "dnf_prob") -> DataFrame:
-    """Mean winner loss per blend weight: both halves are drawn once, the weights vary on their winners."""
+def tune_blend(scores: DataFrame, temperature, weights: Sequence[float], dnf_prob: str = "dnf_prob") -> DataFrame:
+    """Mean winner loss per blend weight: both halves are worked out once, the weights vary on their winners."""
     key = [*METHOD_EVENT, "entity"]
-    m = lw.paired_matrix(scores, "score", temperature, n_samples, dnf_prob, ("tune", "tune-sim"), METHOD_EVENT)
+    m = exact_positions(scores, "score", temperature, {"plain": False, "drawn": True}, dnf_prob, METHOD_EVENT)
     first = lw.top_order(scores, "place", 1, METHOD_EVENT).select(*key, F.lit(1).alias("pos"))
     both = m.join(first, [*key, "pos"]).withColumn("blend", F.explode(F.array(*[F.lit(float(w)) for w in weights])))
     p = F.col("blend") * F.col("plain") + (1 - F.col("blend")) * F.col("drawn")

@@ -10,13 +10,13 @@ from ..sources.contest import Tables
 from . import evaluate as ev
 
 
-def flagship(spark: SparkSession, folder: str, n_samples: int = 50, replicates: int = 200) -> DataFrame:
+def flagship(spark: SparkSession, folder: str, replicates: int = 5000) -> DataFrame:
     from ..catalog.listwise_q import baselines
 
     t = Tables(spark, folder)
     scores = cut(baselines(t, ("grid", "recent_form")))
     targets = ev.window_targets(ev.completed_events(scores, 0), 1998, None)
-    rows, _ = ev.walk_forward(scores.drop("season", "round"), targets, n_samples)
+    rows, _ = ev.walk_forward(scores.drop("season", "round"), targets)
     rows = cut(rows)
     return mt.paired_comparison(
         rows, ["series", "race_seq"], ["ndcg5", "win_logloss", "podium_brier"], "grid", replicates=replicates

@@ -22,7 +22,7 @@ def next_field(t: Tables, now: Column) -> tuple[DataFrame, DataFrame]:
     return features, features.join(nxt, EVENT, "left_semi")
 
 
-def run(t: Tables, now: Column, penalties: DataFrame, n_samples: int = 200) -> DataFrame:
+def run(t: Tables, now: Column, penalties: DataFrame) -> DataFrame:
     """One coherent table per series' next event, with the reason per entrant.
 
     Before a grid is known the qualifying forecast stands in, penalised and re-ranked;
@@ -64,7 +64,7 @@ def run(t: Tables, now: Column, penalties: DataFrame, n_samples: int = 200) -> D
     scored = scored.join(trailing, "series", "left").withColumn("temperature", F.coalesce("_t", F.lit(DEFAULTS["temperature"]))).drop("_t")
     scored = cut(scored)
 
-    matrix = cut(lw.forecast(scored, "score", F.col("temperature"), DEFAULTS["blend"], n_samples))
+    matrix = cut(lw.forecast(scored, "score", F.col("temperature"), DEFAULTS["blend"]))
     problems = lw.check_distribution(matrix)
     gate = problems.select(
         "series",

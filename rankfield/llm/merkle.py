@@ -23,7 +23,7 @@ from rankfield.llm.ordered import numbered
 from rankfield.llm.stage import stored
 
 ARITY = 3
-SPAN = ARITY**8
+SPAN = ARITY**6
 
 
 def sha(*inputs: Column) -> Column:

@@ -76,7 +76,14 @@ def _all_scores(t: Tables, methods=("grid", "recent_form"), model: DataFrame | N
     return cut(both)
 
 
-FIRST_SEASON = 2000
+#: Results are reported for the last two seasons of the data: one to tune on, one to check.
+LAST = "(SELECT max(season) FROM contest)"
+
+
+def last_season(df: DataFrame) -> int:
+    return df.agg(F.max("season")).first()[0] or 0
+
+
 cte("wf_scores", """SELECT series, season, race_seq, entity, position, place, 'model' AS method, score FROM oos_scores
   UNION ALL SELECT series, season, race_seq, entity, position, place, method, score FROM baselines SEMI JOIN oos_events USING (series, race_seq) WHERE method IN ('grid', 'recent_form')""")
 
@@ -106,6 +113,16 @@ def table_sql(matrix: str) -> str:
       (SELECT *, 0.998 * share + 0.002 / count(*) OVER (PARTITION BY series, race_seq, method, entity) AS s FROM ({matrix})) GROUP BY ALL"""
 
 
+def podium_sql(src: str) -> str:
+    """Win and podium probabilities in closed form, smoothed: over who comes first, and who comes first and second."""
+    m = "series, race_seq, method"
+    return f"""SELECT {m}, entity, 0.998 * w + 0.002 / n AS p_win, 0.998 * (w + second + third) + 0.006 / n AS p_podium FROM
+      (SELECT {m}, x.entity, any_value(x.n) AS n, any_value(x.w) AS w, sum(CASE WHEN k.entity = j.entity THEN j.w * x.w / (1 - j.w) ELSE 0 END) AS second,
+        sum(CASE WHEN k.entity <> j.entity THEN j.w * k.w / (1 - j.w) * x.w / greatest(1 - j.w - k.w, 1e-300) ELSE 0 END) AS third
+       FROM p_src x JOIN p_src j USING ({m}) JOIN p_src k USING ({m}) WHERE x.entity <> j.entity AND x.entity <> k.entity GROUP BY {m}, x.entity)""".replace("p_src", f"""(SELECT *, count(*) OVER v AS n, exp(z) / sum(exp(z)) OVER v AS w FROM
+       (SELECT *, (score - max(score) OVER (PARTITION BY {m})) / temperature AS z FROM {src}) WINDOW v AS (PARTITION BY {m}))""")
+
+
 def grade_sql(table: str, scores: str) -> str:
     m = "series, race_seq, method"
     return f"""SELECT * FROM (SELECT {m}, sum(CASE WHEN pr <= 5 THEN 1 / log2(tr + 1) / log2(pr + 1) END) / sum(CASE WHEN tr <= 5 THEN 1 / log2(tr + 1) / log2(tr + 1) END) AS ndcg5,
@@ -118,13 +135,13 @@ def grade_sql(table: str, scores: str) -> str:
 
 cte("wf_losses", losses_sql("wf_scores"))
 cte("wf_t", rolling_sql("wf_losses"))
-cte("wf_window", f"SELECT s.*, temperature FROM wf_scores s JOIN wf_t USING (series, method, race_seq) WHERE season >= {FIRST_SEASON}")
+cte("wf_window", f"SELECT s.*, temperature FROM wf_scores s JOIN wf_t USING (series, method, race_seq) WHERE season >= {LAST} - 1")
 cte("wf_table", table_sql(matrix_sql("wf_window")))
 cte("wf_rows", f"SELECT * FROM ({grade_sql('wf_table', 'wf_window')}) JOIN (SELECT DISTINCT series, race_seq, method, season, temperature FROM wf_window) USING (series, race_seq, method)")
 
 
-def targets_of(scores: DataFrame, start: int = FIRST_SEASON) -> DataFrame:
-    return ev.window_targets(ev.completed_events(scores, 0), start)
+def targets_of(scores: DataFrame) -> DataFrame:
+    return ev.window_targets(ev.completed_events(scores, 0), last_season(scores) - 1)
 
 
 def forward(t: Tables, scores: DataFrame | None = None, **kw):
@@ -148,7 +165,7 @@ cte("wq_t", rolling_sql("wq_losses"))
 cte("wq_rows", f"""SELECT series, race_seq, method, any_value(season) AS season, any_value(temperature) AS temperature, avg(abs(pr - place)) AS position_error,
   -ln(greatest(arg_min(p, (place, entity)) FILTER (place IS NOT NULL), 1e-12)) AS pole_logloss FROM
   (SELECT s.*, temperature, row_number() OVER w AS pr, exp(score / temperature) / sum(exp(score / temperature)) OVER (PARTITION BY series, race_seq, method) AS p
-   FROM wq_scores s JOIN wq_t USING (series, method, race_seq) WHERE season >= {FIRST_SEASON} WINDOW w AS (PARTITION BY series, race_seq, method ORDER BY score DESC, entity)) GROUP BY ALL""")
+   FROM wq_scores s JOIN wq_t USING (series, method, race_seq) WHERE season >= {LAST} - 1 WINDOW w AS (PARTITION BY series, race_seq, method ORDER BY score DESC, entity)) GROUP BY ALL""")
 
 
 @query("j4_walk_forward_quali", SM + "season:i temperature:d position_error:d pole_logloss:d", "SELECT * FROM wq_rows")
@@ -347,7 +364,7 @@ def _quali_target(t: Tables, d: DataFrame, quali: DataFrame) -> DataFrame:
     base = baselines(t, ("recent_form", "team_form")).join(ev.eligible(d), EV2, "left_semi").select(*cols)
     q = t.contest.select(*EV2, "entity", F.col("quali_position").cast("double").alias("quali_place"))
     scores = cut(model.unionByName(base).join(q, [*EV2, "entity"]))
-    targets = ev.window_targets(ev.completed_events(scores.withColumn("round", F.col("race_seq")), 0), FIRST_SEASON)
+    targets = ev.window_targets(ev.completed_events(scores.withColumn("round", F.col("race_seq")), 0), last_season(scores) - 1)
     return ev.walk_forward_quali(scores.drop("season"), targets, "quali_place")
 
 
@@ -371,8 +388,8 @@ cte("early_scores", """SELECT series, season, race_seq, entity, position, CAST(p
   WHERE method IN ('championship', 'recent_form', 'team_form')""")
 cte("early_losses", losses_sql("early_scores"))
 cte("early_t", rolling_sql("early_losses"))
-cte("early_window", f"SELECT s.*, temperature FROM early_scores s JOIN early_t USING (series, method, race_seq) WHERE season >= {FIRST_SEASON}")
-cte("early_table", table_sql(matrix_sql("early_window")))
+cte("early_window", f"SELECT s.*, temperature FROM early_scores s JOIN early_t USING (series, method, race_seq) WHERE season >= {LAST} - 1")
+cte("early_table", podium_sql("early_window"))
 cte("early_rows", grade_sql("early_table", "early_window"))
 cte("wp_scores", """SELECT s.series, s.season, s.race_seq, s.entity, s.method, s.score, CAST(c.quali_position AS DOUBLE) AS place FROM
   (SELECT series, season, race_seq, entity, 'model' AS method, score FROM quali_scores WHERE stage = 'pre_quali'
@@ -382,7 +399,7 @@ cte("wp_losses", losses_sql("wp_scores"))
 cte("wp_t", rolling_sql("wp_losses"))
 cte("wp_rows", f"""SELECT series, race_seq, method, any_value(season) AS season, any_value(temperature) AS temperature, avg(abs(pr - place)) AS position_error, -ln(greatest(arg_min(p, (place, entity)) FILTER (place IS NOT NULL), 1e-12)) AS loss FROM
   (SELECT s.*, temperature, row_number() OVER w AS pr, exp(score / temperature) / sum(exp(score / temperature)) OVER (PARTITION BY series, race_seq, method) AS p
-   FROM wp_scores s JOIN wp_t USING (series, method, race_seq) WHERE season >= {FIRST_SEASON} WINDOW w AS (PARTITION BY series, race_seq, method ORDER BY score DESC, entity)) GROUP BY ALL""")
+   FROM wp_scores s JOIN wp_t USING (series, method, race_seq) WHERE season >= {LAST} - 1 WINDOW w AS (PARTITION BY series, race_seq, method ORDER BY score DESC, entity)) GROUP BY ALL""")
 cte("stage_rows", """SELECT 'post_quali' AS stage, method, win_logloss AS loss, position_error FROM wf_rows UNION ALL SELECT 'qualifying', method, loss, position_error FROM wp_rows
   UNION ALL SELECT split_part(method, ':', 1), split_part(method, ':', 2), win_logloss, position_error FROM early_rows""")
 
@@ -428,21 +445,10 @@ def _compare(t: Tables, scores: DataFrame, reference: str, metrics=COMPARE) -> D
     return mt.paired_comparison(cut(forward(t, scores)[0]), EV2, metrics, reference, replicates=R)
 
 
-@query("j11_ablation", PAIR, None)
-def _(t):
-    sets = {
-        "full": {"features": ("grid", "drv_avg_finish_5", "drv_dnf_rate_10")},
-        "grid only": {"features": ("grid",)},
-        "grid + form": {"features": ("grid", "drv_avg_finish_5")},
-        "full - grid": {"features": ("drv_avg_finish_5", "drv_dnf_rate_10")},
-    }
-    return _compare(t, _variants(t, sets), "full")
-
-
 cte("cal_scores", """SELECT s.series, s.season, s.race_seq, s.entity, s.place, v.method, s.score,
   CASE v.method WHEN 'raw' THEN 1.0 WHEN 'fixed' THEN 0.35 ELSE t.temperature END AS temperature
   FROM wf_scores s JOIN wf_t t USING (series, method, race_seq), (VALUES ('raw'), ('fixed'), ('rolling')) v(method)
-  WHERE s.method = 'model' AND s.season >= 2000""".replace("s.score,", "s.score, s.position,"))
+  WHERE s.method = 'model' AND s.season >= LAST - 1""".replace("LAST", LAST).replace("s.score,", "s.score, s.position,"))
 cte("cal_table", table_sql(matrix_sql("cal_scores")))
 
 
@@ -454,7 +460,7 @@ cte("cal_table", table_sql(matrix_sql("cal_scores")))
 def _(t):
     """Probability steps on one set of scores: the temperature rule is the variant."""
     scores = _all_scores(t, ())
-    d = ev.with_temperatures(scores).where(F.col("season") >= FIRST_SEASON)
+    d = ev.with_temperatures(scores).where(F.col("season") >= last_season(scores) - 1)
     steps = F.inline(
         F.array(
             F.struct(F.lit("raw").alias("method"), F.lit(1.0).alias("temperature")),
@@ -473,8 +479,8 @@ cte("train_filled_mean", CTES["train_filled"].replace("train_field", "train_fiel
 cte("definition_scores", f"SELECT *, 'median' AS method FROM ({oos_sql()}) UNION ALL SELECT *, 'mean' AS method FROM ({oos_sql(field='train_filled_mean')})")
 cte("definition_losses", losses_sql("definition_scores"))
 cte("definition_t", rolling_sql("definition_losses"))
-cte("definition_window", f"SELECT s.*, temperature FROM definition_scores s JOIN definition_t USING (series, method, race_seq) WHERE season >= {FIRST_SEASON}")
-cte("definition_table", table_sql(matrix_sql("definition_window")))
+cte("definition_window", f"SELECT s.*, temperature FROM definition_scores s JOIN definition_t USING (series, method, race_seq) WHERE season >= {LAST} - 1")
+cte("definition_table", podium_sql("definition_window"))
 cte("definition_rows", grade_sql("definition_table", "definition_window"))
 cte("definition_diffs", diffs_sql("definition_rows", "median", COMPARE))
 
@@ -523,7 +529,7 @@ QUALI_METRICS = ("ndcg5", "position_error", "pole_logloss")
 
 
 def _quali_rows(scores: DataFrame) -> DataFrame:
-    targets = ev.window_targets(ev.completed_events(scores, 0, place="place"), FIRST_SEASON)
+    targets = ev.window_targets(ev.completed_events(scores, 0, place="place"), last_season(scores) - 1)
     return cut(ev.walk_forward_quali(scores.drop("season", "round"), targets, "place"))
 
 
@@ -544,19 +550,6 @@ def _(t):
     return kept.join(F.broadcast(picked), F.col("method") == F.col("picked"))
 
 
-@query("j14c_quali_ordering", PAIR, None)
-def _(t):
-    """Recent qualifying as a median, and pairs limited to the front, against the mean and whole field."""
-    d = _practice_frame(t)
-    d = cut(ft.prior_rolling(d, ["series", "entity"], "race_seq", {"median_quali_5": ("quali_position", 5, "median")}))
-    sets = {
-        "mean": {"features": ("drv_avg_quali_5",)},
-        "median": {"features": ("median_quali_5",)},
-        "front pairs": {"features": ("drv_avg_quali_5",), "top": 8},
-    }
-    return mt.paired_comparison(_quali_rows(_quali_variants(t, d, sets)), EV2, QUALI_METRICS, "mean", replicates=R)
-
-
 cte("ret_scores", f"""SELECT w.series, w.season, w.race_seq, w.entity, w.position, w.place, v.method, w.score, w.temperature, dnf_prob
   FROM wf_window w JOIN (SELECT series, race_seq, entity, dnf_prob FROM dnf_field) USING (series, race_seq, entity), (VALUES ('one half'), ('both halves')) v(method) WHERE w.method = 'model'""")
 cte("ret_one", "SELECT * FROM ret_scores WHERE method = 'one half'")
@@ -573,7 +566,7 @@ def _(t):
     """The retirement draw in both halves against one, on shared scores."""
     rates = dnf_field(t).select(*EV2, "entity", "dnf_prob")
     scores = _all_scores(t, ()).join(rates, [*EV2, "entity"])
-    d = cut(ev.with_temperatures(scores).where(F.col("season") >= FIRST_SEASON))
+    d = cut(ev.with_temperatures(scores).where(F.col("season") >= last_season(scores) - 1))
     parts = []
     for name, both in (("one half", False), ("both halves", True)):
         x = d.withColumn("method", F.lit(name))
@@ -594,8 +587,8 @@ def _(t):
 cte("pairing_scores", f"SELECT *, 'whole field' AS method FROM ({oos_sql()}) UNION ALL SELECT *, 'top eight' AS method FROM ({oos_sql('a.turn <= 8')})")
 cte("pairing_losses", losses_sql("pairing_scores"))
 cte("pairing_t", rolling_sql("pairing_losses"))
-cte("pairing_window", f"SELECT s.*, temperature FROM pairing_scores s JOIN pairing_t USING (series, method, race_seq) WHERE season >= {FIRST_SEASON}")
-cte("pairing_table", table_sql(matrix_sql("pairing_window")))
+cte("pairing_window", f"SELECT s.*, temperature FROM pairing_scores s JOIN pairing_t USING (series, method, race_seq) WHERE season >= {LAST} - 1")
+cte("pairing_table", podium_sql("pairing_window"))
 cte("pairing_rows", grade_sql("pairing_table", "pairing_window"))
 cte("pairing_diffs", diffs_sql("pairing_rows", "whole field", COMPARE))
 
@@ -681,13 +674,6 @@ def _(t):
     return mt.paired_comparison(cut(rows), EV2, ("ndcg5", "position_error"), "intact", replicates=R)
 
 
-@query("j17_parameter_stability", "method:s late:b win_logloss:d ndcg5:d n_events:i", None)
-def _(t):
-    scores = _variants(t, {"ridge 0": {}, "ridge 0.1": {"ridge": 0.1}, "ridge 1": {"ridge": 1.0}})
-    rows = forward(t, scores)[0].withColumn("late", F.col("season") > FIRST_SEASON)
-    return ev.summary(rows, ("win_logloss", "ndcg5"), ("method", "late"))
-
-
 cte("entries", """SELECT *, actual_rank - predicted_rank AS error FROM (SELECT series, race_seq, entity,
   row_number() OVER (PARTITION BY series, race_seq ORDER BY score DESC, entity) AS predicted_rank,
   row_number() OVER (PARTITION BY series, race_seq ORDER BY place, entity) AS actual_rank FROM oos_scores)""")

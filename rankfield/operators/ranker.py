@@ -80,6 +80,33 @@ def regression_rows(
     return inner.unionByName(across)
 
 
+def gain_rows(df: DataFrame, features: Sequence[str], label: str, weight: str, event: list[str] = EVENT, gain: str = "exponential") -> DataFrame:
+    """Weighted rows whose least squares equals that of an event's pairs, each pair weighing what swapping it costs.
+
+    A pair of turns i < j weighs (g_i - g_j) (d_i - d_j), with the gain g of the label (``exponential``: 2^label - 1,
+    ``linear``: the label) and the discount d = 1 / log2(1 + turn). That is a sum of products of functions of one
+    row, so over an event centred at its mean the pairs' squares are those of its rows, each weighing the sum of its
+    pairs, and of two rows of sums: with G and D the sums of g z and d z, G D' + D G' is half the square of
+    G + D less half that of G - D. No pair is formed; the weights of the second are negative."""
+    cols = [label, *features]
+    d = filled(prepare(df, label, event), features, event).withColumn(label, F.col(label).cast("double"))
+    w = W.partitionBy(*event)
+    worth = F.col(label) if gain == "linear" else F.pow(F.lit(2.0), F.col(label)) - 1
+    turn = F.row_number().over(w.orderBy(F.desc(label), "entity"))
+    d = d.withColumns({"_g": worth, "_d": 1 / F.log2(1.0 + turn)}).withColumns({c: F.col(c) - F.avg(c).over(w) for c in cols})
+    n, g, k, both = F.count(F.lit(1)).over(w), F.sum("_g").over(w), F.sum("_d").over(w), F.sum(F.col("_g") * F.col("_d")).over(w)
+    d = d.withColumns({"_total": n * both - g * k, "_c": n * F.col("_g") * F.col("_d") + both - k * F.col("_g") - g * F.col("_d")}).where("_total > 0")
+    inner = d.select(*event, *cols, (F.col(weight) * F.col("_c") / F.col("_total")).alias("_w"))
+    sums = d.groupBy(*event).agg(
+        *[F.sum(F.col("_g") * F.col(c)).alias(f"_g_{c}") for c in cols], *[F.sum(F.col("_d") * F.col(c)).alias(f"_d_{c}") for c in cols],
+        F.max(F.col(weight) / F.col("_total")).alias("_s"),
+    )
+    sides = F.array(*[
+        F.struct(*[(F.col(f"_g_{c}") + sign * F.col(f"_d_{c}")).alias(c) for c in cols], (sign * F.col("_s") / 2).alias("_w")) for sign in (1.0, -1.0)
+    ])
+    return inner.unionByName(sums.select(*event, F.inline(sides)))
+
+
 @dataclass(frozen=True)
 class Ranker:
     """Coefficient vectors of one or more members; scores average their standardised outputs."""

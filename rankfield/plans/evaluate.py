@@ -36,10 +36,11 @@ def refit_plan(dates: Sequence, targets: Sequence, every: int, least: int = MIN_
     return {t: eligible[i // every * every] for i, t in enumerate(eligible)}
 
 
-def event_sums(df: DataFrame, features: Sequence[str], label: str, date: str = DATE, top: int | None = None) -> list[Row]:
+def event_sums(df: DataFrame, features: Sequence[str], label: str, date: str = DATE, top: int | None = None, gain: str | None = None) -> list[Row]:
     """Sums of weight, x x' and x y over the regression rows of each (season, date): as many rows as the calendar has dates."""
     d = df.withColumn("_one", F.lit(1.0))
-    rows = rk.regression_rows(d, features, label, "_one", [*EVENT, "season", date], top)
+    event = [*EVENT, "season", date]
+    rows = rk.regression_rows(d, features, label, "_one", event, top) if gain is None else rk.gain_rows(d, features, label, "_one", event, gain)
     pairs = [(a, b) for i, a in enumerate(features) for b in features[i:]]
     weight = F.col("_w")
     return (
@@ -53,6 +54,14 @@ def event_sums(df: DataFrame, features: Sequence[str], label: str, date: str = D
     )
 
 
+def sub_sums(sums: Sequence[Row], n: int, at: Sequence[int]) -> list[Row]:
+    """The sums of some of ``n`` features, numbered in ``at``, from those of all."""
+    pairs = {(i, j): k for k, (i, j) in enumerate((i, j) for i in range(n) for j in range(i, n))}
+    cells = [pairs[min(i, j), max(i, j)] for k, i in enumerate(at) for j in at[k:]]
+    fields = [f for f in (sums[0].__fields__ if sums else ()) if f not in ("xx", "xy")]
+    return [Row(**{f: r[f] for f in fields}, xx=[r["xx"][c] for c in cells], xy=[r["xy"][i] for i in at]) for r in sums]
+
+
 def solve_cutoffs(sums: Sequence[Row], cutoffs: Sequence, n: int, recency: float | None, ridge: float, date: str = DATE) -> dict:
     """Coefficients of each cut-off from the sums of earlier dates, their seasons weighed from the last one trained on."""
     upper = np.triu_indices(n)

@@ -30,7 +30,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 CHUNK_TURNS = 1024
 RANGE_BITS = 16
 #: Rounds whose lineage is kept before a table is written on the way back.
-KEPT_ROUNDS = 6
+KEPT_ROUNDS = 4
 
 
 def turns(conversations: DataFrame, more=None) -> DataFrame:  # noqa: ANN001
@@ -96,8 +96,9 @@ def prefixes(conversations: DataFrame, marked: DataFrame) -> DataFrame:
     return nodes.unionByName(top)
 
 
-def _coin(node: str, turn: int) -> Column:
-    return F.xxhash64(F.col(node), F.lit(turn)).bitwiseAND(F.lit(1)) == 1
+def _coin() -> Column:
+    """Drawn anew in each round. The round is a column, so all rounds have one plan and are compiled once."""
+    return F.xxhash64("id", "turn").bitwiseAND(F.lit(1)) == 1
 
 
 def contracted(tree: DataFrame, values: list[str]) -> list[tuple[DataFrame, DataFrame]]:
@@ -107,12 +108,11 @@ def contracted(tree: DataFrame, values: list[str]) -> list[tuple[DataFrame, Data
     add to the child's sums.
     """
     zero = F.lit(0).cast("long")
-    state = tree.select("id", "parent", *values, *(zero.alias(f"up_{v}") for v in values))
+    state = tree.select("id", "parent", zero.alias("turn"), *values, *(zero.alias(f"up_{v}") for v in values))
     rounds: list[tuple[DataFrame, DataFrame]] = []
     while True:
-        turn = len(rounds)
         kids = state.where("parent IS NOT NULL").groupBy(F.col("parent").alias("id")).agg(F.count("*").alias("kids"), F.max("id").alias("only"))
-        known = state.join(kids, "id", "left").withColumn("willing", F.coalesce((F.col("kids") == 1) & F.col("parent").isNotNull() & _coin("id", turn), F.lit(False)))
+        known = state.join(kids, "id", "left").withColumn("willing", F.coalesce((F.col("kids") == 1) & F.col("parent").isNotNull() & _coin(), F.lit(False)))
         offers = known.where("willing").select(F.col("only").alias("id"), F.col("id").alias("gone"), F.col("parent").alias("above"), *(F.col(c).alias(f"gone_{c}") for v in values for c in (v, f"up_{v}")))
         known = known.join(offers, "id", "left").withColumn("takes", F.col("gone").isNotNull() & F.col("kids").isNotNull() & ~F.col("willing"))
         known = stored(known.drop("only", "willing"), "round")
@@ -125,7 +125,7 @@ def contracted(tree: DataFrame, values: list[str]) -> list[tuple[DataFrame, Data
             return rounds
         rest = known.where("kids IS NOT NULL").join(gains, "id", "left").where("left IS NULL OR NOT left")
         ups = [(F.col(f"up_{v}") + F.when(F.col("takes"), F.col(f"gone_{v}") + F.col(f"gone_up_{v}")).otherwise(zero)).alias(f"up_{v}") for v in values]
-        state = rest.select("id", F.when(F.col("takes"), F.col("above")).otherwise(F.col("parent")).alias("parent"), *((F.col(v) + F.coalesce(f"gain_{v}", zero)).alias(v) for v in values), *ups)
+        state = rest.select("id", F.when(F.col("takes"), F.col("above")).otherwise(F.col("parent")).alias("parent"), (F.col("turn") + 1).alias("turn"), *((F.col(v) + F.coalesce(f"gain_{v}", zero)).alias(v) for v in values), *ups)
 
 
 def subtree_sums(tree: DataFrame, values: list[str]) -> DataFrame:

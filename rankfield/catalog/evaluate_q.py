@@ -509,47 +509,6 @@ def _(t):
     return ev.decide(c, ("ndcg5",), ("win_logloss", "podium_brier"))
 
 
-def _practice_frame(t: Tables) -> DataFrame:
-    p = ft.practice_inputs(t.session_pace, t.calendar, t.sprint_quali, 1998)
-    d = ft.add_quali(ft.add_practice(t.outcomes.join(p, KEY, "left")))
-    d = d.withColumn("label", ft.relevance("quali_position"))
-    cols = ["position", "quali_position", "sq_position", "drv_avg_quali_5", "fp_best_gap_pct", "fp_long_run_gap_pct", "fp_latest_gap_pct", "label"]
-    return cut(dated(d).select(*EVENT, "race_date", "race_seq", "entity", *cols))
-
-
-def _quali_variants(t: Tables, d: DataFrame, sets: dict[str, dict]) -> DataFrame:
-    parts = [
-        oos(t, d=d, **kw).withColumn("method", F.lit(n)).select("series", "season", "round", "race_seq", "entity", "method", "score", "sq_position", F.col("quali_position").cast("double").alias("place"))
-        for n, kw in sets.items()
-    ]
-    return cut(reduce(DataFrame.unionByName, parts))
-
-
-QUALI_METRICS = ("ndcg5", "position_error", "pole_logloss")
-
-
-def _quali_rows(scores: DataFrame) -> DataFrame:
-    targets = ev.window_targets(ev.completed_events(scores, 0, place="place"), last_season(scores) - 1)
-    return cut(ev.walk_forward_quali(scores.drop("season", "round"), targets, "place"))
-
-
-@query("j14b_practice_experiment", "method:s picked:s adopt:b", None)
-def _(t):
-    """Pick the design that gains most on the first season, then check it on the later one."""
-    history = ("drv_avg_quali_5",)
-    sets = {
-        "history": {"features": history},
-        "compact": {"features": (*history, "fp_best_gap_pct", "fp_long_run_gap_pct")},
-        "detailed": {"features": (*history, "fp_best_gap_pct", "fp_latest_gap_pct")},
-    }
-    rows = _quali_rows(_quali_variants(t, _practice_frame(t), sets))
-    first = mt.paired_comparison(rows.where("season = 2000"), EV2, QUALI_METRICS, "history", replicates=R)
-    later = mt.paired_comparison(rows.where("season > 2000"), EV2, QUALI_METRICS, "history", replicates=R)
-    picked = ev.biggest_gain(first, "ndcg5")
-    kept = ev.decide(later, ("ndcg5", "position_error"), QUALI_METRICS)
-    return kept.join(F.broadcast(picked), F.col("method") == F.col("picked"))
-
-
 cte("ret_scores", f"""SELECT w.series, w.season, w.race_seq, w.entity, w.position, w.place, v.method, w.score, w.temperature, dnf_prob
   FROM wf_window w JOIN (SELECT series, race_seq, entity, dnf_prob FROM dnf_field) USING (series, race_seq, entity), (VALUES ('one half'), ('both halves')) v(method) WHERE w.method = 'model'""")
 cte("ret_one", "SELECT * FROM ret_scores WHERE method = 'one half'")
@@ -574,16 +533,6 @@ def _(t):
     return mt.paired_comparison(cut(parts[0].unionByName(parts[1])), EV2, COMPARE, "one half", replicates=R)
 
 
-@query("j14e_venue_class_experiment", PAIR, None)
-def _(t):
-    d = ft.add_venue_class(ft.add_form(t.outcomes), (F.col("venue") % 100).isin(2, 5, 7, 11)).withColumn("label", ft.relevance("position"))
-    d = cut(dated(d).select(*EVENT, "race_date", "race_seq", "entity", "position", "grid", "drv_avg_finish_5", "drv_type_avg_finish", "team_type_avg_finish", "label"))
-    cols = ["series", "season", "round", "race_seq", "entity", "position", "place", "method", "score"]
-    without = oos(t, d=d).withColumn("method", F.lit("without")).select(*cols)
-    with_ = oos(t, (*TWO, "drv_type_avg_finish", "team_type_avg_finish"), d=d).withColumn("method", F.lit("with")).select(*cols)
-    return _compare(t, cut(without.unionByName(with_)), "without")
-
-
 cte("pairing_scores", f"SELECT *, 'whole field' AS method FROM ({oos_sql()}) UNION ALL SELECT *, 'top eight' AS method FROM ({oos_sql('a.turn <= 8')})")
 cte("pairing_losses", losses_sql("pairing_scores"))
 cte("pairing_t", rolling_sql("pairing_losses"))
@@ -598,20 +547,6 @@ def _(t):
     return _compare(t, _variants(t, {"whole field": {}, "top eight": {"top": 8}}), "whole field")
 
 
-@query("j14g_sprint_experiment", "weight:d season:i position_error:d pole_logloss:d n_events:i", None)
-def _(t):
-    """Blend weights toward the sprint order, graded per season on the events that have one."""
-    scores = _quali_variants(t, _practice_frame(t), {"model": {"features": ("drv_avg_quali_5",)}})
-    parts = [
-        lw.sprint_blend(scores.withColumn("method", F.lit(str(w))), "score", "sq_position", w, "_b").drop("score").withColumnRenamed("_b", "score")
-        for w in (0.25, 0.5, 1.0)
-    ]
-    all_w = cut(reduce(DataFrame.unionByName, parts))
-    with_sq = all_w.where("sq_position is not null").select(*EV2).distinct()
-    rows = _quali_rows(all_w).join(with_sq, EV2, "left_semi")
-    return ev.summary(rows, ("position_error", "pole_logloss"), ("method", "season")).withColumn("weight", F.col("method").cast("double"))
-
-
 # -- redundancy and stability -----------------------------------------------------------------
 PAIRS = ("drv_avg_finish_3", "drv_avg_finish_5", "drv_points_rate_5", "drv_avg_grid_5", "team_avg_finish_3", "team_avg_finish_5")
 

@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..constants import PRACTICE_DETAIL_FEATURES, PRACTICE_FEATURES, QUALI_FEATURES, RACE_FEATURES
+from ..constants import BLEND_CANDIDATES, CLASS_FEATURES, PRACTICE_DETAIL_FEATURES, PRACTICE_FEATURES, QUALI_FEATURES, RACE_FEATURES, RECENCY_CANDIDATES
 from ..operators import listwise as lw, metrics as mt
 from ..plans import evaluate as ev, features as ft, variants as vr
 from ..plans.variants import Variant
@@ -16,7 +16,8 @@ from .evaluate_q import COMPARE, EV2, LAST, R, diffs_sql, grade_sql, last_season
 from .metrics_q import BETTER_SQL, LOW, boot_sql
 from .ranker_q import dated
 from .registry import query
-from .sqlbase import cte
+from .listwise_q import GRID_SQL
+from .sqlbase import cte, exact_sql
 
 CIRCUIT = ("drv_circuit_avg_finish", "team_circuit_avg_finish", "circuit_overtaking_score", "circuit_dnf_rate", "drv_circuit_starts", "circuit_pole_win_rate", "season_progress")
 GROUPS = {
@@ -239,3 +240,183 @@ def _(t):
 @query("j14c_verdict", "method:s passes_tuning:b holds_later:b adopt:b", verdicts_sql(_QO, QUALI_KEEP, QUALI_METRICS))
 def _(t):
     return verdicts(compared(_orders(t), "exponential mean", QUALI_METRICS), QUALI_KEEP, QUALI_METRICS)
+
+
+# -- before qualifying: the full qualifying model projects the grid -----------------------------------------
+QUALI_MODEL = {"quali": Variant(tuple(QUALI_FEATURES))}
+system_ctes("qm", "whole_run", QUALI_MODEL, "quali_relevance")
+PROJECTED = """SELECT w.* REPLACE (row_number() OVER (PARTITION BY w.series, w.race_seq ORDER BY q.score DESC, w.entity) AS grid,
+  row_number() OVER (PARTITION BY w.series, w.race_seq ORDER BY q.score DESC, w.entity) AS quali_position, drv_pace_gap_pct AS quali_gap_to_pole_pct,
+  drv_teammate_quali_edge AS quali_gap_to_teammate_pct), 'pre_quali' AS stage FROM {0} w JOIN (SELECT series, race_seq, entity, score FROM qm_scores) q USING (series, race_seq, entity)"""
+cte("early_run", PROJECTED.format("whole_run"))
+
+
+def projected(d: DataFrame) -> DataFrame:
+    quali = vr.variant_scores(d, d.select(*EV2), QUALI_MODEL, "quali_relevance")
+    return vr.before_qualifying(d, quali).withColumn("view", F.lit("pre_quali"))
+
+
+EARLY = {name: v for name, v in ABLATION.items() if name == "full" or name.startswith("full + ")}
+score_ctes("abl", "early_run", list(dict.fromkeys(f for v in ABLATION.values() for f in v.features)), "early", "stage")
+cte("abe_scores", f"SELECT * FROM abl_early WHERE method IN ({', '.join(repr('pre_quali:' + n) for n in EARLY)})")
+graded_ctes("abe", "abe_scores")
+
+
+@query("j11_pre_quali_ablation", WPAIR, paired_windows("abe_rows", COMPARE, "pre_quali:full"))
+def _(t):
+    """The candidates again before qualifying, where the grid columns hold the projected order."""
+    d = whole(t)
+    return compared(graded(race_scores(d, EARLY, varied=projected(d))), "pre_quali:full")
+
+
+# -- J14e: the class of the venue, at two stages ------------------------------------------------------------
+CLASSED = {"without": Variant(tuple(RACE_FEATURES)), "with": Variant((*RACE_FEATURES, *CLASS_FEATURES))}
+cte("classed_run", """SELECT w.*, street_circuit, drv_type_avg_finish, team_type_avg_finish FROM whole_run w JOIN venue_classed USING (series, race_seq, entity)""")
+cte("class_run", "SELECT *, CAST(venue % 100 IN (2, 5, 7, 11) AS INT) AS street_circuit FROM whole_run")
+
+
+def _prior(by: str) -> str:
+    from .sqlbase import prior_values
+
+    return prior_values("finish_when_running" if "entity" in by else "pace", by, 10)
+
+
+cte("venue_classed", f"""SELECT series, race_seq, entity, street_circuit, drv_type_avg_finish, team_type_avg_finish FROM
+  (SELECT *, {_prior('series, entity, street_circuit')} AS drv_type_avg_finish FROM class_run) JOIN (SELECT series, team, street_circuit, race_seq, {_prior('series, team, street_circuit')} AS team_type_avg_finish
+   FROM (SELECT series, team, street_circuit, race_seq, avg(finish_when_running) AS pace FROM class_run GROUP BY ALL)) USING (series, team, street_circuit, race_seq)""")
+system_ctes("cls", "classed_run", CLASSED, "race_relevance")
+cte("class_early", PROJECTED.format("classed_run"))
+_CLASS_INPUTS = [*RACE_FEATURES, *CLASS_FEATURES]
+score_ctes("cls", "class_early", _CLASS_INPUTS, "early", "stage")
+cte("cls_both", """SELECT series, season, race_seq, entity, position, place, 'post_quali:' || method AS method, score FROM cls_scores
+  UNION ALL SELECT series, season, race_seq, entity, position, place, method, score FROM cls_early""")
+graded_ctes("cls2", "cls_both")
+cte("cls_rows", "SELECT * REPLACE (split_part(method, ':', 2) AS method), split_part(method, ':', 1) AS stage FROM cls2_rows")
+cte("cls_diffs", f"""SELECT a.series, a.race_seq, a.stage, a."window", a.method, {', '.join(f'a.{m} - b.{m} AS {m}' for m in COMPARE)}
+  FROM cls_rows a JOIN cls_rows b USING (series, race_seq, stage) WHERE a.method = 'with' AND b.method = 'without'""")
+
+
+@query("j14e_venue_class_experiment", "stage:s " + WPAIR, f"""SELECT stage, "window", method, metric, mean AS difference, ci_low, ci_high,
+  {BETTER_SQL.format(low=LOW, a='method', b="'without'")} AS better FROM ({boot_sql('cls_diffs', 'series, race_seq', ['stage', '"window"', 'method'], list(COMPARE), R)})""")
+def _(t):
+    """The race model with and without form at venues of the same class, at both stages, on both windows."""
+    d = cut(ft.add_venue_class(whole(t), (F.col("venue") % 100).isin(2, 5, 7, 11)))
+    views = d.withColumn("view", F.lit("post_quali")).unionByName(projected(d))
+    rows = graded(race_scores(d, CLASSED, varied=views))
+    parts = F.split("method", ":")
+    rows = cut(rows.withColumns({"stage": parts[0], "method": parts[1]}))
+    return mt.paired_comparison(rows, EV2, COMPARE, "without", replicates=R, by=["stage", "window"])
+
+
+# -- J14b: designs picked on one window, checked on the other --------------------------------------------------
+DESIGNS = {"history": Variant(HISTORY), "compact": Variant((*HISTORY, *PRACTICE_FEATURES)), "detailed": Variant((*HISTORY, *PRACTICE_FEATURES, *PRACTICE_DETAIL_FEATURES))}
+PRACTICE_KEEP, PRACTICE_GUARD = ("ndcg5", "position_error"), ("ndcg5", "position_error", "pole_logloss")
+system_ctes("dsg", "whole_run", DESIGNS, "quali_relevance")
+cte("practised", "SELECT series, race_seq FROM whole_run GROUP BY ALL HAVING max(practice_available) > 0")
+cte("dsg_seen", "SELECT series, season, race_seq, entity, method, score, CAST(quali_position AS DOUBLE) AS place FROM dsg_scores SEMI JOIN practised USING (series, race_seq)")
+quali_rows_ctes("dsg", "dsg_seen")
+
+
+def picked_sql(paired: str, metric: str, keep: Sequence[str], guard: Sequence[str], lower: bool = False) -> str:
+    named = lambda ms: ", ".join(f"'{m}'" for m in ms)
+    return f"""SELECT method, gain, n = 1 AS picked, n = 1 AND good AND NOT bad AS adopt FROM (SELECT *, row_number() OVER (ORDER BY round(gain, 10) DESC NULLS LAST, method) AS n FROM
+      (SELECT method, max({'-' if lower else ''}difference) FILTER ("window" = 'tuning' AND metric = '{metric}') AS gain, bool_or("window" = 'later' AND metric IN ({named(keep)}) AND better = method) AS good,
+        bool_or("window" = 'later' AND metric IN ({named(guard)}) AND better <> method AND better <> 'unclear') AS bad FROM ({paired}) GROUP BY method))"""
+
+
+PICK = "method:s gain:d picked:b adopt:b"
+
+
+def _practised(d: DataFrame) -> DataFrame:
+    return d.where("practice_available > 0").select(*EV2).distinct()
+
+
+@query("j14b_practice_experiment", PICK, picked_sql(paired_windows("dsg_rows", PRACTICE_GUARD, "history"), "ndcg5", PRACTICE_KEEP, PRACTICE_GUARD))
+def _(t):
+    """The practice design that gains most on the tuning window, checked on the later one."""
+    d = whole(t)
+    scores = quali_scores(d, DESIGNS).join(_practised(d), EV2, "left_semi")
+    return vr.picked(compared(quali_graded(cut(scores)), "history", PRACTICE_GUARD), "ndcg5", PRACTICE_KEEP, PRACTICE_GUARD)
+
+
+PRACTISED = {"race model": Variant(tuple(RACE_FEATURES)), "race model + practice": Variant((*RACE_FEATURES, *PRACTICE_FEATURES))}
+system_ctes("prc", "whole_run", PRACTISED, "race_relevance")
+graded_ctes("prc", "prc_scores")
+cte("prc_seen", "SELECT * FROM prc_rows SEMI JOIN practised USING (series, race_seq)")
+
+
+@query("j14b_race_half", WPAIR, paired_windows("prc_seen", COMPARE, "race model"))
+def _(t):
+    """What practice adds to the race model once the grid is known, on the events that had it."""
+    d = whole(t)
+    rows = graded(race_scores(d, PRACTISED)).join(_practised(d), EV2, "left_semi")
+    return compared(cut(rows), "race model")
+
+
+# -- J14g: a weight picked on one window, graded on the other ----------------------------------------------------
+WEIGHTS = (0.25, 0.5, 1.0)
+_SQ = "OVER (PARTITION BY series, race_seq)"
+cte("spr_scores", f"""SELECT s.series, s.season, s.race_seq, s.entity, s.score, CAST(s.quali_position AS DOUBLE) AS place, k.sq_position FROM qm_scores s
+  LEFT JOIN (SELECT series, season, round, entity, sq_position FROM sprint_known) k USING (series, season, round, entity)""")
+cte("spr_all", f"""SELECT series, season, race_seq, entity, place, CASE WHEN weight = 0 THEN 'model alone' ELSE 'w=' || weight END AS method,
+  CASE WHEN n >= 2 AND weight > 0 THEN (o - avg(o) {_SQ[:-1]}, weight)) / coalesce(nullif(stddev_pop(o) {_SQ[:-1]}, weight), 0), 1) * coalesce(nullif(stddev_pop(score) {_SQ[:-1]}, weight), 0), 1) ELSE score END AS score FROM
+  (SELECT *, score + weight * -(sq - avg(sq) {_SQ}) / coalesce(nullif(stddev_samp(sq) {_SQ}, 0), 1) AS o FROM
+   (SELECT *, count(sq_position) {_SQ} AS n, CAST(coalesce(sq_position, max(sq_position) {_SQ} + 1) AS DOUBLE) AS sq FROM spr_scores) JOIN (SELECT unnest([0.0, 0.25, 0.5, 1.0])::DOUBLE AS weight) ON true)""".replace(
+    "avg(sq) " + _SQ, "avg(sq) " + _SQ[:-1] + ", weight)").replace("stddev_samp(sq) " + _SQ, "stddev_samp(sq) " + _SQ[:-1] + ", weight)"))
+cte("spr_with", "SELECT DISTINCT series, race_seq FROM spr_scores WHERE sq_position IS NOT NULL")
+quali_rows_ctes("spr", "spr_all")
+cte("spr_seen", "SELECT * FROM spr_rows SEMI JOIN spr_with USING (series, race_seq)")
+
+
+@query("j14g_sprint_experiment", PICK, picked_sql(paired_windows("spr_seen", QUALI_METRICS, "model alone"), "position_error", QUALI_KEEP, QUALI_METRICS, True))
+def _(t):
+    """The weight on the sprint order with the least position error on the tuning window's sprint events, graded on the later ones."""
+    d = whole(t)
+    sq = ft.eligible_sprint_quali(t.sprint_quali, t.calendar, 1998).select(*EVENT, "entity", "sq_position")
+    model = vr.variant_scores(d, d.select(*EV2), QUALI_MODEL, "quali_relevance").drop("sq_position").join(sq, [*EVENT, "entity"], "left")
+    model = cut(model.select("series", "season", "race_seq", "entity", "score", "sq_position", F.col("quali_position").cast("double").alias("place")))
+    parts = [model.withColumn("method", F.lit("model alone"))]
+    parts += [lw.sprint_blend(model, "score", "sq_position", w, "_b", EV2).drop("score").withColumnRenamed("_b", "score").withColumn("method", F.lit(f"w={w}")) for w in WEIGHTS]
+    every = cut(parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]))
+    rows = quali_graded(every).join(model.where("sq_position is not null").select(*EV2).distinct(), EV2, "left_semi")
+    return vr.picked(compared(cut(rows), "model alone", QUALI_METRICS), "position_error", QUALI_KEEP, QUALI_METRICS, True)
+
+
+# -- J7: the chain of tuned settings --------------------------------------------------------------------------------
+TUNED = {f"{w}": Variant(tuple(RACE_FEATURES), recency=w) for w in RECENCY_CANDIDATES}
+QUALI_TUNED = {f"{w}": Variant(tuple(QUALI_FEATURES), recency=w) for w in RECENCY_CANDIDATES}
+system_ctes("tnr", "whole_run", TUNED, "race_relevance")
+system_ctes("tnq", "whole_run", QUALI_TUNED, "quali_relevance")
+cte("tnr_seen", f"SELECT * FROM tnr_scores WHERE season = {LAST} - 1")
+cte("tnq_seen", f"SELECT * REPLACE (CAST(quali_position AS DOUBLE) AS place) FROM tnq_scores WHERE season = {LAST} - 1")
+cte("tnr_losses", losses_sql("tnr_seen"))
+cte("tnq_losses", losses_sql("tnq_seen"))
+_FIT = "SELECT method, min({{'l': round(loss, 10), 't': temperature}}) AS m FROM (SELECT method, temperature, avg(loss) AS loss FROM {0} GROUP BY ALL) GROUP BY method"
+cte("tnr_best", f"SELECT method, m.t AS temperature, m.l AS win_logloss FROM ({_FIT.format('tnr_losses')}) ORDER BY m.l, CAST(method AS DOUBLE) LIMIT 1")
+cte("tn_field", """SELECT s.series, s.race_seq, s.method, s.entity, s.place, s.score, b.temperature, f.dnf_prob FROM tnr_seen s JOIN tnr_best b USING (method)
+  JOIN (SELECT series, race_seq, entity, dnf_prob FROM dnf_field) f USING (series, race_seq, entity)""")
+cte("tn_plain", exact_sql("tn_field", "series, race_seq, method", temp="temperature"))
+cte("tn_drawn", exact_sql("tn_field", "series, race_seq, method", True, "temperature"))
+cte("tn_blend", f"""SELECT blend, avg(-ln(greatest(0.998 * (blend * p.share + (1 - blend) * q.share) + 0.002 / n, 1e-12))) AS loss FROM tn_plain p JOIN tn_drawn q USING (series, race_seq, method, entity, pos)
+  JOIN tn_field f USING (series, race_seq, method, entity) JOIN (SELECT series, race_seq, count(*) AS n FROM tn_field GROUP BY ALL) USING (series, race_seq), unnest({list(BLEND_CANDIDATES)}) b(blend)
+  WHERE p.pos = 1 AND f.place = 1 GROUP BY blend""")
+
+
+@query("j7_settings", "recency:d temperature:d win_logloss:d blend:d blend_logloss:d quali_temperature:d",
+       f"""SELECT CAST(r.method AS DOUBLE) AS recency, r.temperature, r.win_logloss, b.blend, b.loss AS blend_logloss, q.m.t AS quali_temperature FROM tnr_best r
+         JOIN ({_FIT.format('tnq_losses')}) q USING (method), (SELECT * FROM tn_blend ORDER BY round(loss, 10), blend LIMIT 1) b""")
+def _(t):
+    """Recency, temperature, blend and qualifying temperature, each chosen given those before it, on the tuning window."""
+    d = whole(t)
+    tuning = F.col("season") == last_season(d) - 1
+    race = race_scores(d, TUNED).where(tuning)
+    fits = lw.fit_temperature(lw.temperature_losses(race, "score", "place", event=ev.METHOD_EVENT), ["method"])
+    best = cut(fits.orderBy("loss", F.col("method").cast("double")).limit(1).select("method", "temperature", F.col("loss").alias("win_logloss")))
+    rates = d.select(*EV2, "entity", lw.dnf_probability().alias("dnf_prob"))
+    field = race.join(best.select("method", "temperature"), "method").join(rates, [*EV2, "entity"])
+    blends = ev.tune_blend(cut(field), F.col("temperature"), BLEND_CANDIDATES)
+    blend = blends.orderBy(F.round("win_logloss", 10), "blend").limit(1).select("method", "blend", F.col("win_logloss").alias("blend_logloss"))
+    quali = quali_scores(d, QUALI_TUNED).where(tuning).join(best.select("method"), "method", "left_semi")
+    pole = lw.fit_temperature(lw.temperature_losses(cut(quali), "score", "place", event=ev.METHOD_EVENT), ["method"])
+    out = best.join(blend, "method").join(pole.select("method", F.col("temperature").alias("quali_temperature")), "method")
+    return out.withColumn("recency", F.col("method").cast("double")).drop("method")

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..constants import MIN_TRAIN_EVENTS
-from ..operators import ranker as rk
+from ..operators import listwise as lw, metrics as mt, ranker as rk
 from . import evaluate as ev
 from .evaluate import DATE, EVENT, METHOD_EVENT
 
@@ -81,3 +81,24 @@ def ablation_sets(full: Sequence[str], groups: Mapping[str, Sequence[str]], cand
 def windowed(rows: DataFrame, split: int | Column) -> DataFrame:
     """Graded events with the window they belong to: ``tuning`` before the season ``split``, ``later`` from it on."""
     return rows.withColumn("window", F.when(F.col("season") < split, "tuning").otherwise("later"))
+
+
+def before_qualifying(df: DataFrame, quali_scores: DataFrame) -> DataFrame:
+    """The events' rows as they stand before qualifying: the order that ``score`` of ``quali_scores`` projects, and prior averages."""
+    q = quali_scores.select(*EVENT, "entity", F.col("score").alias("_q"))
+    types = dict(df.dtypes)
+    seen = lw.projected_weekend(df.join(q, [*EVENT, "entity"]), "_q", EVENT).drop("_q")
+    return seen.withColumns({c: F.col(c).cast(types[c]) for c in ("grid", "quali_position")})
+
+
+def picked(table: DataFrame, metric: str, keep: Sequence[str], guard: Sequence[str], lower: bool = False) -> DataFrame:
+    """One row per variant of a comparison by window: its gain on the tuning window, whether it is the one picked for the largest
+    gain, and whether it is then kept: on the later window clearly better on a keep metric and clearly worse on no guard metric."""
+    d = table.withColumn("verdict", mt.clear_verdict())
+    late, tuned = F.col("window") == "later", (F.col("window") == "tuning") & (F.col("metric") == metric)
+    good = F.col("metric").isin(*keep) & (F.col("verdict") == "better")
+    bad = F.col("metric").isin(*guard) & (F.col("verdict") == "worse")
+    sign = -1.0 if lower else 1.0
+    g = d.groupBy("method").agg(F.max(F.when(tuned, sign * F.col("difference"))).alias("gain"), (F.bool_or(late & good) & ~F.bool_or(late & bad)).alias("_kept"))
+    first = F.row_number().over(W.partitionBy().orderBy(F.desc_nulls_last(F.round("gain", 10)), "method")) == 1  # one row per variant
+    return g.withColumn("picked", first).withColumn("adopt", F.col("picked") & F.coalesce("_kept", F.lit(False))).drop("_kept")

@@ -53,7 +53,7 @@ def test_depth_uses_the_field_still_running(spark):
 
 def test_mixture_keeps_its_sums_and_bands_nest(spark):
     d = field(spark, [2.0, 1.0, 0.5, 0.0, -1.0]).withColumn("dnf_prob", F.lit(0.3))
-    m = op.forecast(d, "score", 0.6, 0.7, 400)
+    m = op.forecast(d, "score", 0.6, 0.7)
     assert op.check_distribution(m).first().problems == []
     for r in op.summarise(m).collect():
         assert 0 < r.p_win <= r.p_podium <= r.p_top5 + 1e-9 <= r.p_top10 + 2e-9

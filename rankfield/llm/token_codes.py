@@ -29,9 +29,9 @@ from rankfield.llm.text import mix, prefix, raw, release, slices, span_hashes
 BITS = 512
 END = 2
 SEGMENT_TOKENS = 1 << 20
-#: What a task keeps of the chunks it has encoded: some 12 MB.
-CACHE_CHUNKS = 200_000
-CACHE_IDS = 2_000_000
+#: What a task keeps of the chunks it has encoded: some 40 MB.
+CACHE_CHUNKS = 600_000
+CACHE_IDS = 6_000_000
 #: Bytes of new chunks that are encoded as one text.
 PART_BYTES = 1 << 16
 

@@ -210,10 +210,11 @@ def _(t):
     "j6_calibration_error",
     "method:s event_type:s ece:d n:i",
     """SELECT method, event_type, sum(m * abs(s - o)) / sum(m) AS ece, CAST(sum(m) AS BIGINT) AS n FROM (SELECT method, event_type, b, count(*) AS m, avg(p) AS s, avg(y) AS o FROM
-      (SELECT method, event_type, p, y, ntile(10) OVER (PARTITION BY method, event_type ORDER BY p, y) AS b FROM (SELECT method, event_type, round(p, 6) AS p, y FROM wf_types)) GROUP BY ALL) GROUP BY ALL""",
+      (SELECT method, event_type, p, y, ntile(10) OVER (PARTITION BY method, event_type ORDER BY p, y) AS b FROM (SELECT method, event_type, round(p, 9) AS p, y FROM wf_types)) GROUP BY ALL) GROUP BY ALL""",
 )
 def _(t):
-    return mt.calibration_error(ev.event_types(forward(t)[1]), "p", "y", ("method", "event_type"))
+    types = ev.event_types(forward(t)[1]).withColumn("p", F.round("p", 9))  # below the error of the quadrature
+    return mt.calibration_error(types, "p", "y", ("method", "event_type"))
 
 
 COMPARE = ("ndcg5", "win_logloss", "podium_brier")
@@ -548,27 +549,6 @@ def _(t):
 
 
 # -- redundancy and stability -----------------------------------------------------------------
-PAIRS = ("drv_avg_finish_3", "drv_avg_finish_5", "drv_points_rate_5", "drv_avg_grid_5", "team_avg_finish_3", "team_avg_finish_5")
-
-
-def _spearman_sql(a: str, b: str) -> str:
-    return f"""SELECT '{a}' AS a, '{b}' AS b, corr(rx, ry) AS rho, count(*) AS n FROM (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rx,
-      rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry FROM (SELECT round(CAST({a} AS DOUBLE), 6) AS x, round(CAST({b} AS DOUBLE), 6) AS y FROM form_table
-      WHERE {a} IS NOT NULL AND {b} IS NOT NULL))"""
-
-
-cte("form_table", "SELECT * FROM fa_entity JOIN fa_team USING (series, team, race_seq)")
-
-
-@query(
-    "j15_feature_correlation",
-    "a:s b:s rho:d n:i",
-    "SELECT * FROM (" + " UNION ALL ".join(_spearman_sql(a, b) for i, a in enumerate(PAIRS) for b in PAIRS[i + 1 :]) + ") WHERE abs(rho) >= 0.3",
-)
-def _(t):
-    return ev.feature_correlation(ft.add_form(t.outcomes), PAIRS, 0.3)
-
-
 cte("perm_fit", fit_sql("SELECT * FROM oos_dates", weight="greatest(pow(2.0, -(k.latest - a.season) / 2.0), 0.15)", before="a.race_date < k.cutoff"))
 cte("perm_base", "SELECT *, row_number() OVER (PARTITION BY series, race_seq ORDER BY entity) AS i FROM train_field WHERE race_date IN (SELECT key FROM oos_dates)")
 

@@ -420,3 +420,79 @@ def _(t):
     pole = lw.fit_temperature(lw.temperature_losses(cut(quali), "score", "place", event=ev.METHOD_EVENT), ["method"])
     out = best.join(blend, "method").join(pole.select("method", F.col("temperature").alias("quali_temperature")), "method")
     return out.withColumn("recency", F.col("method").cast("double")).drop("method")
+
+
+# -- J15: which inputs carry the same information ---------------------------------------------------------------------
+_LISTED = ", ".join(f"CAST({f} AS DOUBLE) AS {f}" for f in RACE_FEATURES)
+cte("train_run", f"SELECT row_number() OVER () AS id, {_LISTED} FROM whole_run WHERE season < {LAST} - 1")
+cte("train_long", f"SELECT id, f, v FROM (UNPIVOT (SELECT * FROM train_run) ON {', '.join(RACE_FEATURES)} INTO NAME f VALUE v)")
+cte("feature_pairs", """SELECT a.f AS a, b.f AS b, a.v AS x, b.v AS y FROM train_long a JOIN train_long b USING (id)""")
+
+
+@query("j15_feature_correlation", "a:s b:s rho:d n:i", f"""SELECT a, b, corr(rx, ry) AS rho, count(*) AS n FROM (SELECT a, b, rank() OVER (PARTITION BY a, b ORDER BY x) + (count(*) OVER (PARTITION BY a, b, x) - 1) / 2.0 AS rx,
+    rank() OVER (PARTITION BY a, b ORDER BY y) + (count(*) OVER (PARTITION BY a, b, y) - 1) / 2.0 AS ry FROM feature_pairs
+    JOIN (SELECT unnest({list(RACE_FEATURES)}) AS a, unnest(range({len(RACE_FEATURES)})) AS i) USING (a) JOIN (SELECT unnest({list(RACE_FEATURES)}) AS b, unnest(range({len(RACE_FEATURES)})) AS j) USING (b) WHERE i < j)
+  GROUP BY ALL HAVING abs(corr(rx, ry)) >= 0.8""")
+def _(t):
+    """All pairs of the race model's inputs, on the rows before the reported windows."""
+    d = whole(t)
+    return ev.feature_correlation(d.where(F.col("season") < last_season(d) - 1), RACE_FEATURES)
+
+
+# -- J12: what each probability step is worth ---------------------------------------------------------------------------
+cte("stp_scores", "SELECT series, season, race_seq, entity, position, place, 'model' AS method, score FROM abl_scores WHERE method = 'full'")
+cte("stp_losses", losses_sql("stp_scores"))
+cte("stp_deep", f"""SELECT series, method, race_seq, temperature, avg(loss) AS loss FROM (SELECT a.series, a.method, a.race_seq, a.entity, temperature,
+  -ln(greatest(exp(a.score / temperature) / sum(exp(b.score / temperature)), 1e-12)) AS loss FROM stp_scores a JOIN stp_scores b ON a.series = b.series AND a.race_seq = b.race_seq AND b.place >= a.place, unnest({GRID_SQL}) g(temperature)
+  WHERE a.place <= 3 GROUP BY a.series, a.method, a.race_seq, a.entity, a.score, temperature) GROUP BY ALL""")
+cte("stp_t", rolling_sql("stp_losses"))
+cte("stp_t3", rolling_sql("stp_deep"))
+cte("stp_fixed", f"SELECT m.t AS temperature FROM (SELECT min({{'l': round(loss, 10), 't': temperature}}) AS m FROM (SELECT temperature, avg(loss) AS loss FROM stp_losses SEMI JOIN (SELECT DISTINCT series, race_seq FROM stp_scores WHERE season < {LAST} - 1) USING (series, race_seq) GROUP BY temperature))")
+STEPS = {"raw": ("raw", 1.0), "fixed": ("fixed", 0.7), "rolling": ("rolling", 0.7), "rolling, ranking only": ("rolling", 1.0), "rolling, retirements only": ("rolling", 0.0), "rolling, top three": ("deep", 0.7)}
+cte("stp_temps", """SELECT t.series, t.race_seq, v.step, CASE v.step WHEN 'raw' THEN 1.0 WHEN 'fixed' THEN f.temperature WHEN 'rolling' THEN t.temperature ELSE d.temperature END AS temperature
+  FROM stp_t t JOIN stp_t3 d USING (series, race_seq), stp_fixed f, (VALUES ('raw'), ('fixed'), ('rolling'), ('deep')) v(step)""")
+cte("stp_rows", f"""SELECT s.series, s.race_seq, s.season, s.entity, s.place, s.score, t.step AS method, t.temperature, d.dnf_prob FROM stp_scores s JOIN stp_temps t USING (series, race_seq)
+  JOIN (SELECT series, race_seq, entity, greatest(least(0.35 * coalesce(drv_dnf_rate_10, 0.12) + 0.65 * coalesce(team_dnf_rate_10, 0.12), 0.35), 0.02) AS dnf_prob FROM whole_run) d USING (series, race_seq, entity) WHERE s.season >= {LAST} - 1""")
+cte("stp_plain", exact_sql("stp_rows", "series, race_seq, method", temp="temperature"))
+cte("stp_drawn", exact_sql("stp_rows", "series, race_seq, method", True, "temperature"))
+cte("stp_table", f"""SELECT series, race_seq, v.name AS method, entity, sum(s) FILTER (pos = 1) AS p_win, sum(s) FILTER (pos <= 3) AS p_podium, sum(s) FILTER (pos <= 10) AS p_top10 FROM
+  (SELECT *, 0.998 * (w * p.share + (1 - w) * q.share) + 0.002 / count(*) OVER (PARTITION BY series, race_seq, v.name, entity) AS s FROM stp_plain p JOIN stp_drawn q USING (series, race_seq, method, entity, pos)
+   JOIN (VALUES {', '.join(f"('{n}', '{step}', {w})" for n, (step, w) in STEPS.items())}) v(name, step, w) ON v.step = method) GROUP BY ALL""".replace("SELECT *, 0.998", "SELECT series, race_seq, entity, pos, v.name, 0.998").replace("v.name AS method, entity, sum", "name AS method, entity, sum").replace("GROUP BY ALL", "GROUP BY series, race_seq, name, entity"))
+cte("stp_seen", "SELECT DISTINCT t.series, t.race_seq, t.method, t.entity, s.place, s.score FROM stp_table t JOIN stp_scores s USING (series, race_seq, entity)")
+cte("stp_types", """SELECT series, race_seq, method, entity, u.event_type, round(u.p, 9) AS p, u.y FROM (SELECT t.*, s.place, CAST(s.place = min(s.place) OVER (PARTITION BY series, race_seq, method) AS INT) AS won
+  FROM stp_table t JOIN stp_seen s USING (series, race_seq, method, entity)), LATERAL (VALUES ('win', p_win, won), ('podium', p_podium, (place <= 3)::INT), ('top10', p_top10, (place <= 10)::INT)) u(event_type, p, y)""")
+cte("stp_ece", """SELECT method, event_type, sum(m * abs(s - o)) / sum(m) AS ece FROM (SELECT method, event_type, b, count(*) AS m, avg(p) AS s, avg(y) AS o FROM
+  (SELECT method, event_type, p, y, ntile(10) OVER (PARTITION BY method, event_type ORDER BY p, y) AS b FROM stp_types) GROUP BY ALL) GROUP BY ALL""")
+
+
+@query("j12_probability_steps", "method:s win_logloss:d podium_brier:d ece_win:d ece_podium:d ece_top10:d n_events:i",
+       f"""SELECT method, avg(win_logloss) AS win_logloss, avg(podium_brier) AS podium_brier, count(*) AS n_events, any_value(w.ece) AS ece_win, any_value(p.ece) AS ece_podium, any_value(x.ece) AS ece_top10
+         FROM ({grade_sql('stp_table', 'stp_seen')}) JOIN (SELECT method, ece FROM stp_ece WHERE event_type = 'win') w USING (method) JOIN (SELECT method, ece FROM stp_ece WHERE event_type = 'podium') p USING (method)
+         JOIN (SELECT method, ece FROM stp_ece WHERE event_type = 'top10') x USING (method) GROUP BY method""")
+def _(t):
+    """One set of scores of the whole model, six ways to turn them into probabilities."""
+    d = whole(t)
+    scores = race_scores(d, {"model": ABLATION["full"]})
+    start = last_season(d) - 1
+    losses = cut(lw.temperature_losses(scores, "score", "place", event=ev.METHOD_EVENT, keep=("season",)))
+    deep = lw.temperature_losses(scores, "score", "place", 3, event=ev.METHOD_EVENT)
+    rolling, top = (lw.rolling_temperature(x, ["series", "method"], "race_seq", 1.0).select("series", "race_seq", F.col("temperature").alias(n)) for x, n in ((losses, "rolling"), (deep, "deep")))
+    fixed = lw.fit_temperature(losses.where(F.col("season") < start), ["method"]).first()
+    rates = d.select(*EV2, "entity", lw.dnf_probability().alias("dnf_prob"))
+    seen = scores.where(F.col("season") >= start).join(rolling, EV2).join(top, EV2).join(rates, [*EV2, "entity"])
+    steps = {"raw": F.lit(1.0), "fixed": F.lit(fixed["temperature"] if fixed else 1.0), "rolling": F.col("rolling"), "deep": F.col("deep")}
+    each = F.inline(F.array(*[F.struct(F.lit(n).alias("method"), c.alias("temperature")) for n, c in steps.items()]))
+    rows = cut(seen.select(*EV2, "entity", "place", "score", "dnf_prob", each))
+    halves = cut(lw.exact_positions(rows, "score", F.col("temperature"), {"plain": False, "drawn": True}, "dnf_prob", ev.METHOD_EVENT))
+    named = F.inline(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(s).alias("step"), F.lit(w).alias("w")) for n, (s, w) in STEPS.items()]))
+    mixed = halves.select("*", named).where("step = method")
+    share = F.col("w") * F.col("plain") + (1 - F.col("w")) * F.col("drawn")
+    m = mixed.select(*EV2, F.col("name").alias("method"), "entity", "field", "pos", share.alias("share"))
+    table = cut(lw.summarise(lw.smooth(m), ev.METHOD_EVENT))
+    graded_rows = scores.drop("method").join(table.select(*ev.METHOD_EVENT, "entity"), [*EV2, "entity"])
+    means = ev.summary(ev.grade(graded_rows, table), ("win_logloss", "podium_brier"))
+    types = ev.event_types(table.join(scores.select(*EV2, "entity", F.col("place").alias("actual")), [*EV2, "entity"])).withColumn("p", F.round("p", 9))
+    ece = mt.calibration_error(types, "p", "y", ("method", "event_type")).groupBy("method").agg(
+        *[F.max(F.when(F.col("event_type") == k, F.col("ece"))).alias(f"ece_{k}") for k in ("win", "podium", "top10")]
+    )
+    return means.join(ece, "method")

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..constants import ECE_BINS, LOG_FLOOR, LOWER_IS_BETTER, RELIABILITY_EDGES
 from ..functions.hashrand import DRAWS, poisson_draws
+from ..functions.places import running_total
 from ..functions.scalars import safe_corr, wilson_high, wilson_low
 from ..session import cut
 
@@ -166,16 +167,13 @@ def reliability(df: DataFrame, p: str, y: str, by: Sequence[str] = (), edges: Se
     return g.withColumns({"ci_low": wilson_low("hits", "n"), "ci_high": wilson_high("hits", "n")})
 
 
-def calibration_error(df: DataFrame, p: str, y: str, by: Sequence[str] = (), bins: int = ECE_BINS, digits: int = 6) -> DataFrame:
+def calibration_error(df: DataFrame, p: str, y: str, by: Sequence[str] = (), bins: int = ECE_BINS) -> DataFrame:
     """Size-weighted gap between stated and observed over equal-count buckets.
 
-    Rows are first counted per (p to ``digits`` places, y): at most 2 x 10^digits groups
-    per key however many rows there are. The buckets are then cut through those
-    counts, so no window runs over the rows. Equal p are ordered by outcome."""
-    g = df.groupBy(*by, F.round(p, digits).alias("_p"), F.col(y).alias("_y")).agg(F.count(F.lit(1)).alias("_c"))
-    run = W.partitionBy(*by).orderBy("_p", "_y")
-    whole = W.partitionBy(*by)
-    g = g.withColumns({"_hi": F.sum("_c").over(run), "_n": F.sum("_c").over(whole)}).withColumn("_lo", F.col("_hi") - F.col("_c"))
+    Rows are first counted per (p, y). The buckets are then cut through running totals of those counts, which go by
+    ranges of p, so no window holds a key's rows. Equal p are ordered by outcome."""
+    g = df.groupBy(*by, F.col(p).alias("_p"), F.col(y).alias("_y")).agg(F.count(F.lit(1)).alias("_c"))
+    g = running_total(g, list(by), ["_p", "_y"], "_c", "_lo", "_n").withColumn("_hi", F.col("_lo") + F.col("_c"))
     # Bucket b of k holds n div k rows, one more for the first n mod k (as array_split does).
     b = g.withColumn("_k", F.least(F.col("_n"), F.lit(bins))).withColumn(
         "_b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_k") - 1))

@@ -17,6 +17,7 @@ from ..constants import CALIBRATION_WARMUP, MIN_TRAIN_EVENTS, RECENCY_FLOOR
 from ..operators import listwise as lw, metrics as mt, ranker as rk
 from ..operators.marginals import exact_positions
 from ..operators.ranker import EVENT
+from ..session import cut
 
 DATE = "race_date"
 METHOD_EVENT = [*EVENT, "method"]
@@ -254,39 +255,41 @@ def biggest_gain(comparison: DataFrame, metric: str, by: Sequence[str] = ()) ->
 
 
 # -- redundancy ------------------------------------------------------------------------
-def feature_correlation(df: DataFrame, features: Sequence[str], threshold: float = 0.8, digits: int = 6) -> DataFrame:
+def null_classes(df: DataFrame, names: Sequence[str]) -> dict[str, str]:
+    """Each column's representative: the first column that is null in the same rows."""
+    duo = [(a, b) for i, a in enumerate(names) for b in names[i + 1:]]
+    differ = df.agg(*[F.max(F.col(a).isNull() != F.col(b).isNull()).alias(f"_{k}") for k, (a, b) in enumerate(duo)]).first() if duo else ()
+    out = {n: n for n in names}
+    for k, (a, b) in enumerate(duo):
+        if not differ[k] and out[b] == b:
+            out[b] = out[a]
+    return out
+
+
+def feature_correlation(df: DataFrame, features: Sequence[str], threshold: float = 0.8) -> DataFrame:
     """Spearman correlation of every pair of features over the rows with both, where large.
 
-    Pairs of columns are laid out per row (their number is fixed by the feature list), then
-    rows are counted per rounded value: ranks come from those counts, so tied or repeated
-    values never share one task as rows, and the sums use counts only."""
-    names = list(features)
-    duo = F.array(
-        *[
-            F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.round(F.col(a).cast("double"), digits).alias("x"), F.round(F.col(b).cast("double"), digits).alias("y"))
-            for i, a in enumerate(names) for b in names[i + 1:]
-        ]
-    )
-    pair = ["a", "b"]
-    cells = df.select(F.inline(duo)).where("x is not null and y is not null").groupBy(*pair, "x", "y").agg(F.count(F.lit(1)).alias("c"))
-
-    def ranks(v: str) -> DataFrame:
-        # Counts per whole number carry the rank across; inside one there are at most
-        # 10^digits values, so no window grows with the rows.
-        g = cells.groupBy(*pair, v).agg(F.sum("c").alias("_c")).withColumn("_f", F.floor(v))
-        whole = g.groupBy(*pair, "_f").agg(F.sum("_c").alias("_s"))
-        below = F.sum("_s").over(W.partitionBy(*pair).orderBy("_f")) - F.col("_s")
-        g = g.join(whole.select(*pair, "_f", below.alias("_below")), [*pair, "_f"])
-        before = F.sum("_c").over(W.partitionBy(*pair, "_f").orderBy(v)) - F.col("_c")
-        return g.select(*pair, v, (F.col("_below") + before + (F.col("_c") + 1) / 2.0).alias(f"r{v}"))
-
-    d = cells.join(ranks("x"), [*pair, "x"]).join(ranks("y"), [*pair, "y"])
+    A feature's ranks among the rows that have another one depend only on where that one is null, so ranks are worked
+    out per (feature, class of nulls), from counts per value and their running totals. Then one pass over rows of ranks sums
+    all pairs; only those sums are shuffled."""
+    from ..functions.places import running_total
     from ..functions.scalars import safe_corr
 
-    c, x, y = F.col("c"), F.col("rx"), F.col("ry")
-    n = F.sum("c")
-    rho = safe_corr(n.cast("double"), F.sum(c * x), F.sum(c * y), F.sum(c * x * x), F.sum(c * y * y), F.sum(c * x * y))
-    out = d.groupBy(*pair).agg(rho.alias("rho"), n.alias("n"))
+    names = list(features)
+    rows = cut(df.select(F.monotonically_increasing_id().alias("_id"), *[F.col(n).cast("double").alias(n) for n in names]))
+    same = null_classes(rows, names)
+    classes = sorted(set(same.values()))
+    cells = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(c).alias("c"), F.when(F.col(c).isNotNull(), F.col(a)).alias("v")) for a in names for c in classes])
+    long = rows.select("_id", F.inline(cells)).where("v is not null")
+    counts = long.groupBy("a", "c", "v").agg(F.count(F.lit(1)).alias("_n"))
+    ranks = running_total(counts, ["a", "c"], ["v"], "_n", "_below", "_all").select("a", "c", "v", (F.col("_below") + (F.col("_n") + 1) / 2.0).alias("r"))
+    key = F.concat_ws("|", "a", "c")
+    held = long.join(ranks, ["a", "c", "v"]).groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct(key, "r"))).alias("_r"))
+    pair = [F.struct(*(F.lit(v).alias(k) for k, v in (("a", a), ("b", b), ("ka", f"{a}|{same[b]}"), ("kb", f"{b}|{same[a]}")))) for i, a in enumerate(names) for b in names[i + 1:]]
+    duo = F.transform(F.array(*pair), lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b"), F.try_element_at("_r", p["ka"]).alias("x"), F.try_element_at("_r", p["kb"]).alias("y")))
+    x, y, n = F.col("x"), F.col("y"), F.count(F.lit(1))
+    rho = safe_corr(n.cast("double"), F.sum(x), F.sum(y), F.sum(x * x), F.sum(y * y), F.sum(x * y))
+    out = held.select(F.inline(duo)).where("x is not null and y is not null").groupBy("a", "b").agg(rho.alias("rho"), n.alias("n"))
     return out.where(F.abs(F.col("rho")) >= threshold)
 
 

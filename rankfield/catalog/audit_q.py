@@ -5,20 +5,20 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import audit as op, listwise as lw, ranker as rk
-from ..plans import evaluate as ev, features as ft, live
+from ..plans import evaluate as ev, features as ft, live, worlds
 from ..constants import MIN_BIAS_EVENTS
 from ..session import cut
 from ..sources.contest import EVENT, KEY, Tables, add_outcomes
 from .evaluate_q import COMPARE, R, forward, oos, paired_sql
-from .features_q import feature_ctes
+from .features_q import feature_ctes, practice_ctes
 from .landing_q import penalty_list
 from .listwise_q import dnf_field, mixed
 from .metrics_q import BUCKET_SQL, outcomes, wilson_sql
 from .ranker_q import TWO, train_field
 from .registry import query
-from .sqlbase import cte
+from .sqlbase import CTES, cte
 
-CUT = 40
+#: Features that the light build has, for a quick look without the raw tables.
 CHECKED = (
     "drv_avg_finish_3", "drv_avg_finish_5", "drv_points_rate_5", "drv_dnf_rate_10", "drv_experience", "drv_positions_gained_5", "drv_podium_rate_10",
     "drv_avg_quali_5", "drv_teammate_quali_edge", "team_avg_finish_3", "team_avg_finish_5", "team_points_rate_5", "team_dnf_rate_10", "team_avg_quali_5", "team_pace_gap_pct",
@@ -30,50 +30,60 @@ def light_build(results):
     return ft.add_racecraft(ft.add_pace(ft.add_quali(ft.add_form(add_outcomes(results)))))
 
 
-def _base_sql(name: str, contest: str) -> None:
-    cte(name, f"""SELECT *, coalesce(position, 24) AS finish_or_last, CAST(dnf AS INT) AS dnf_flag,
-      CASE WHEN position IS NOT NULL AND NOT coalesce(dnf, true) THEN position END AS finish_when_running,
-      CASE WHEN position IS NOT NULL THEN CAST(position <= 3 AS INT) END AS podium_flag, CASE WHEN position IS NOT NULL THEN CAST(position <= 10 AS INT) END AS top10_flag FROM {contest}""")
+# The same cuts in SQL, and the whole build once more from the changed rows of each.
+_SEQS = "(SELECT list_sort(list(DISTINCT race_seq)) FROM contest)"
+MIDDLE = f"{_SEQS}[len({_SEQS}) // 2 + 1]"
+_LO, _HI = f"CAST(floor(0.4 * len({_SEQS})) AS BIGINT)", f"(len({_SEQS}) - 2)"
+TRUNCATED = {k: f"{_SEQS}[{_LO} + ({_HI} - {_LO}) * {k} // 2 + 1]" for k in range(3)}
 
 
-cte("tampered_rows", f"""SELECT c.* EXCLUDE (position, points, dnf), CASE WHEN c.race_seq = {CUT} THEN m.position ELSE c.position END AS position,
-  CASE WHEN c.race_seq = {CUT} THEN m.points ELSE c.points END AS points, CASE WHEN c.race_seq = {CUT} THEN m.dnf ELSE c.dnf END AS dnf
-  FROM contest c JOIN (SELECT series, race_seq, field + 1 - position AS mirror, position, points, dnf FROM contest) m
+def _build_sql(p: str, rows: str) -> None:
+    cte(f"{p}_rows", f"SELECT series, season, round, entity, team, venue, position, points, dnf FROM {rows}")
+    cte(f"{p}_whole", CTES["whole"].replace("FROM all_rows a", f"FROM {p}_rows a"))
+    feature_ctes(f"{p}_whole", p)
+    cte(f"{p}_gaps", CTES["fw_gaps"].replace("FROM whole ", f"FROM {p}_whole "))
+    practice_ctes(f"{p}_gaps", p)
+    cte(f"{p}_all", CTES["features_all"].replace("fw_", f"{p}_"))
+
+
+cte("mirrored", f"""SELECT c.* EXCLUDE (position, points, dnf), CASE WHEN hit THEN m.position ELSE c.position END AS position, CASE WHEN hit THEN m.points ELSE c.points END AS points,
+  CASE WHEN hit THEN m.dnf ELSE c.dnf END AS dnf FROM (SELECT *, race_seq = {MIDDLE} AS hit FROM contest) c JOIN (SELECT series, race_seq, field + 1 - position AS mirror, position, points, dnf FROM contest) m
   ON m.series = c.series AND m.race_seq = c.race_seq AND m.mirror = c.position""")
-_base_sql("tampered_base", "tampered_rows")
-feature_ctes("tampered_base", "ftam")
-cte("cut_rows", f"SELECT * FROM contest WHERE race_seq <= {CUT}")
-_base_sql("cut_base", "cut_rows")
-feature_ctes("cut_base", "fcut")
-
-
-def _changes_sql(p: str) -> str:
-    a = "SELECT * FROM fa_entity JOIN fa_team USING (series, team, race_seq)"
-    b = f"SELECT * FROM {p}_entity JOIN {p}_team USING (series, team, race_seq)"
-    return " UNION ALL ".join(
-        f"""SELECT '{f}' AS feature, count(*) FILTER (moved AND race_seq <= {CUT}) AS before, count(*) FILTER (moved AND race_seq > {CUT}) AS after FROM
-        (SELECT a.race_seq, (a.{f} IS NULL) <> (b.{f} IS NULL) OR coalesce(abs(a.{f} - b.{f}) > 1e-9, false) AS moved FROM ({a}) a JOIN ({b}) b USING (series, race_seq, entity))"""
-        for f in CHECKED
-    )
+_build_sql("ftam", "mirrored")
+for _k, _at in TRUNCATED.items():
+    cte(f"kept_{_k}", f"SELECT * FROM contest WHERE race_seq <= {_at}")
+    _build_sql(f"fcut{_k}", f"kept_{_k}")
+
+AUDITED = tuple(ft.ALL_FEATURES)
+
+
+def _moved_sql(name: str, p: str, cutoff: str) -> str:
+    moved = lambda f: f"(a.{f} IS NULL) <> (b.{f} IS NULL) OR coalesce(abs(a.{f} - b.{f}) > 1e-9, false)"
+    counts = ", ".join(f"count(*) FILTER (({moved(f)}) AND a.race_seq <= k) AS e_{f}, count(*) FILTER (({moved(f)}) AND a.race_seq > k) AS l_{f}" for f in AUDITED)
+    rows = ", ".join(f"('{f}', e_{f}, l_{f})" for f in AUDITED)
+    return f"""SELECT '{name}' AS audit, k AS cutoff, u.feature, u.before, u.after FROM (SELECT any_value(k) AS k, {counts} FROM (SELECT * FROM features_all WHERE position IS NOT NULL) a
+      JOIN {p}_all b USING (series, race_seq, entity), (SELECT {cutoff} AS k) x), LATERAL (VALUES {rows}) u(feature, before, after)"""
+
+
+cte("leakage_rows", " UNION ALL ".join([_moved_sql("tamper", "ftam", MIDDLE), *(_moved_sql("truncate", f"fcut{k}", at) for k, at in TRUNCATED.items())]))
 
 
-@query("m1_tamper", "feature:s before:i after:i", _changes_sql("ftam"))
+@query("m1_tamper", "cutoff:i feature:s before:i after:i", "SELECT * FROM leakage_rows WHERE audit = 'tamper'")
 def _(t: Tables):
-    base = cut(t.contest)
-    return op.compare_builds(light_build(base), light_build(op.tamper(base, F.col("race_seq") == CUT)), CHECKED, CUT)
+    """Every feature of the whole build after the middle event's outcome is mirrored."""
+    return cut(worlds.leakage(t, AUDITED)).where("audit = 'tamper'")
 
 
-@query("m2_truncation", "feature:s before:i after:i", _changes_sql("fcut"))
+@query("m2_truncation", "cutoff:i feature:s before:i after:i", "SELECT * FROM leakage_rows WHERE audit = 'truncate'")
 def _(t):
-    base = cut(t.contest)
-    return op.compare_builds(light_build(base), light_build(base.where(F.col("race_seq") <= CUT)), CHECKED, CUT)
+    """Every feature of the whole build from raw tables that stop at an event, for three events."""
+    return cut(worlds.leakage(t, AUDITED)).where("audit = 'truncate'")
 
 
-@query("m1_status", "status:s features:i", f"SELECT 'PASS' AS status, {len(CHECKED)} AS features FROM (SELECT count(*) FROM contest)")
+@query("m1_status", "audit:s status:s features:i",
+       "SELECT audit, CASE WHEN max(before) > 0 THEN 'FAIL' ELSE 'PASS' END AS status, count(DISTINCT feature) AS features FROM leakage_rows GROUP BY audit")
 def _(t):
-    base = cut(t.contest)
-    tampered = light_build(op.tamper(base, F.col("race_seq") == CUT))
-    return op.leakage_status(op.compare_builds(light_build(base), tampered, CHECKED, CUT))
+    return op.leakage_status(cut(worlds.leakage(t, AUDITED)), ("audit",))
 
 
 CLASSES = {

@@ -47,8 +47,10 @@ def compare_builds(
     return one.select(F.inline(rows))
 
 
-def leakage_status(changes: DataFrame) -> DataFrame:
-    return changes.agg(F.when(F.max("before") > 0, FAIL).otherwise(PASS).alias("status"), F.count(F.lit(1)).alias("features"))
+def leakage_status(changes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """FAIL where a feature moved before the cut."""
+    status = F.when(F.max("before") > 0, FAIL).otherwise(PASS).alias("status")
+    return changes.groupBy(*by).agg(status, F.count_distinct("feature").alias("features"))
 
 
 # -- inputs and contributions ------------------------------------------------------------

@@ -107,3 +107,16 @@ def test_stages_before_the_grid_never_read_it(spark, small):
     assert rows[0] == rows[1] and len(rows[0]) > 10
     stages = {m: [r for r in rows[0] if r[0].startswith(m)] for m in ("pre_quali", "pre_practice")}
     assert [r[2] for r in stages["pre_quali"]] != [r[2] for r in stages["pre_practice"]]
+
+
+def test_a_planted_leak_turns_the_audit_red(spark, small):
+    from rankfield.plans import worlds
+
+    t = Tables(spark, small)
+    found = worlds.leakage(t, ("drv_avg_finish_3", "season_progress", "leak"), lambda d: d.withColumn("leak", F.col("position") * 2.0)).cache()
+    one = {(r.audit, r.cutoff, r.feature): r for r in found.collect()}
+    assert all(r.before == 0 for k, r in one.items() if k[2] != "leak")
+    leaks = [r for k, r in one.items() if k[0] == "tamper" and k[2] == "leak"]
+    assert leaks[0].before > 0 and [r.after > 0 for k, r in one.items() if k[0] == "tamper" and k[2] == "drv_avg_finish_3"] == [True]
+    assert {r.audit: r.status for r in audit.leakage_status(found, ("audit",)).collect()} == {"tamper": "FAIL", "truncate": "PASS"}
+    assert len({k[1] for k in one if k[0] == "truncate"}) == 3

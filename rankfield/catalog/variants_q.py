@@ -12,11 +12,11 @@ from ..plans import evaluate as ev, features as ft, variants as vr
 from ..plans.variants import Variant
 from ..session import cut
 from ..sources.contest import EVENT, Tables
-from .evaluate_q import COMPARE, EV2, LAST, R, diffs_sql, grade_sql, last_season, losses_sql, podium_sql, rolling_sql
+from .evaluate_q import BEFORE_GRID, COMPARE, EV2, LAST, R, diffs_sql, grade_sql, last_season, losses_sql, podium_sql, rolling_sql
 from .metrics_q import BETTER_SQL, LOW, boot_sql
 from .ranker_q import dated
 from .registry import query
-from .listwise_q import GRID_SQL
+from .listwise_q import GRID_SQL, METHODS, baselines
 from .sqlbase import cte, exact_sql
 
 CIRCUIT = ("drv_circuit_avg_finish", "team_circuit_avg_finish", "circuit_overtaking_score", "circuit_dnf_rate", "drv_circuit_starts", "circuit_pole_win_rate", "season_progress")
@@ -496,3 +496,74 @@ def _(t):
         *[F.max(F.when(F.col("event_type") == k, F.col("ece"))).alias(f"ece_{k}") for k in ("win", "podium", "top10")]
     )
     return means.join(ece, "method")
+
+
+# -- J3, J4, J10: the whole models against every baseline, at each stage ---------------------------------------------------
+FULL = {"model": ABLATION["full"]}
+_BASE = "SELECT series, season, race_seq, entity, position, place, {0} AS method, score FROM baselines SEMI JOIN oos_events USING (series, race_seq)"
+cte("ful_scores", f"SELECT series, season, race_seq, entity, position, place, 'model' AS method, score FROM abl_scores WHERE method = 'full' UNION ALL {_BASE.format('method')}")
+graded_ctes("ful", "ful_scores")
+cte("fue_scores", f"""SELECT series, season, race_seq, entity, position, place, 'model' AS method, score FROM abl_early WHERE method = 'pre_quali:full'
+  UNION ALL {_BASE.format('method')} WHERE method IN ({', '.join(repr(m) for m in BEFORE_GRID)})""")
+graded_ctes("fue", "fue_scores")
+QUALI_BASE = ("recent_form", "team_form")
+cte("fuq_scores", f"""SELECT series, season, race_seq, entity, 'model' AS method, score, CAST(quali_position AS DOUBLE) AS place FROM qm_scores
+  UNION ALL SELECT b.series, b.season, b.race_seq, b.entity, b.method, b.score, CAST(c.quali_position AS DOUBLE) AS place FROM baselines b SEMI JOIN oos_events o ON o.series = b.series AND o.race_seq = b.race_seq
+  JOIN (SELECT series, race_seq, entity, quali_position FROM contest) c USING (series, race_seq, entity) WHERE b.method IN ('recent_form', 'team_form')""")
+quali_rows_ctes("fuq", "fuq_scores")
+RACE_SPEC = "series:i race_seq:i method:s window:s ndcg5:d winner_hit:i position_error:d win_logloss:d podium_brier:d"
+
+
+def _based(t: Tables, d: DataFrame, methods: Sequence[str]) -> DataFrame:
+    return baselines(t, tuple(methods)).join(ev.eligible(d), EV2, "left_semi").select(*RACE_COLUMNS)
+
+
+def full_rows(t: Tables, d: DataFrame) -> DataFrame:
+    return graded(cut(race_scores(d, FULL).unionByName(_based(t, d, tuple(METHODS)))))
+
+
+def early_rows(t: Tables, d: DataFrame) -> DataFrame:
+    model = race_scores(d, FULL, varied=projected(d)).withColumn("method", F.lit("model"))
+    return graded(cut(model.unionByName(_based(t, d, BEFORE_GRID))))
+
+
+def pole_rows(t: Tables, d: DataFrame) -> DataFrame:
+    model = quali_scores(d, QUALI_MODEL).withColumn("method", F.lit("model"))
+    places = t.contest.select(*EV2, "entity", F.col("quali_position").cast("double").alias("place"))
+    base = _based(t, d, QUALI_BASE).drop("place", "position").join(places, [*EV2, "entity"])
+    return quali_graded(cut(model.unionByName(base)))
+
+
+@query("j3_full_walk_forward", RACE_SPEC, "SELECT * FROM ful_rows")
+def _(t):
+    """The model of 27 inputs and four baselines once the grid is known."""
+    return full_rows(t, whole(t))
+
+
+@query("j3_full_before_grid", RACE_SPEC, "SELECT * FROM fue_rows")
+def _(t):
+    """The same model on the projected grid, and the baselines that need none."""
+    return early_rows(t, whole(t))
+
+
+@query("j4_full_quali", "series:i race_seq:i method:s window:s ndcg5:d position_error:d pole_logloss:d", "SELECT * FROM fuq_rows")
+def _(t):
+    """The qualifying model of 28 inputs and two baselines."""
+    return pole_rows(t, whole(t))
+
+
+_MEANS = ", ".join(f"avg({c}) AS {c}" for c in ("loss", "ndcg5", "position_error"))
+
+
+@query("j10_full_report", "stage:s window:s method:s loss:d ndcg5:d position_error:d n_events:i", f"""SELECT stage, "window", method, {_MEANS}, count(*) AS n_events FROM
+  (SELECT 'post_quali' AS stage, "window", method, win_logloss AS loss, ndcg5, position_error FROM ful_rows UNION ALL SELECT 'pre_quali', "window", method, win_logloss, ndcg5, position_error FROM fue_rows
+   UNION ALL SELECT 'qualifying', "window", method, pole_logloss, ndcg5, position_error FROM fuq_rows) GROUP BY ALL""")
+def _(t):
+    """What each stage's model and baselines come to, by window."""
+    d = whole(t)
+    parts = (("post_quali", full_rows(t, d), "win_logloss"), ("pre_quali", early_rows(t, d), "win_logloss"), ("qualifying", pole_rows(t, d), "pole_logloss"))
+    every = None
+    for stage, rows, loss in parts:
+        one = rows.select(F.lit(stage).alias("stage"), "window", "method", F.col(loss).alias("loss"), "ndcg5", "position_error")
+        every = one if every is None else every.unionByName(one)
+    return ev.summary(every, ("loss", "ndcg5", "position_error"), ("stage", "window", "method"))

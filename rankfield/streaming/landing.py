@@ -7,6 +7,7 @@ partitions a batch touches are read and rewritten.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -37,9 +38,12 @@ def land(
         .option("multiLine", True).option("mode", "PERMISSIVE").json(source).select("*", arrived())
     )
 
-    def write(batch: DataFrame, _: int) -> None:
+    stream = hashlib.md5(progress.encode()).hexdigest()[:12]
+
+    def write(batch: DataFrame, number: int) -> None:
         batch = cut(batch)
-        failed_documents(batch, table).write.mode("append").parquet(log)
+        # A folder per batch: one that is tried again replaces its rows.
+        failed_documents(batch, table).write.mode("overwrite").parquet(f"{log}/batch={stream}-{number}")
         rows = cut(last_arrived(parse(batch.where("_corrupt_record is null").drop("_corrupt_record")), keys))
         touched = rows.select(*partitions).distinct()
         try:

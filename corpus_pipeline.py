@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from rankfield.llm import fm_decon, mixing, ngram_join, token_codes, toxicity
@@ -42,6 +41,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of the mix, and what they hold of each document: doc_id, start, n_tokens, ids_crc32."""
+    import public_tokenizers  # here, so that all other queries work without the package
+
     ship(spark)
     return token_codes.encoded(docs, tokenizer_path=public_tokenizers.path("byte_bpe_50k.json"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import cache
 
 CTES: dict[str, str] = {}
 
@@ -11,13 +12,20 @@ def cte(name: str, body: str) -> None:
     CTES[name] = body
 
 
+@cache
+def _read(text: str) -> frozenset[str]:
+    """Words that stand where a table does."""
+    return frozenset(w for pair in re.findall(r"\b(?:FROM|JOIN)\s+(\w+)|,\s*(?=(\w+)\s+[a-z])", text) for w in pair if w)
+
+
 def with_ctes(sql: str) -> str:
     used: list[str] = []
     open_: set[str] = set()
 
     def visit(text: str) -> None:
-        for name in CTES:
-            if name not in used and name not in open_ and re.search(rf"\b(FROM|JOIN)\s+{name}\b|,\s*{name}\s+[a-z]", text):
+        found = _read(text)
+        for name in [n for n in CTES if n in found]:
+            if name not in used and name not in open_:
                 open_.add(name)
                 visit(CTES[name])
                 used.append(name)

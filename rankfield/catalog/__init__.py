@@ -9,7 +9,7 @@ from .registry import ORACLES, QUERIES
 
 MODULES = (
     "windows_q", "ladders_q", "features_q", "checks_q", "landing_q", "resolve_q", "laps_q", "listwise_q",
-    "metrics_q", "evaluate_q", "variants_q", "ranker_q", "projection_q", "replay_q", "audit_q",
+    "metrics_q", "evaluate_q", "variants_q", "ranker_q", "projection_q", "replay_q", "audit_q", "live_q",
 )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import audit as op, listwise as lw, ranker as rk
-from ..plans import evaluate as ev, features as ft, live, worlds
+from ..plans import evaluate as ev, features as ft, worlds
 from ..constants import MIN_BIAS_EVENTS
 from ..session import cut
 from ..sources.contest import EVENT, KEY, Tables, add_outcomes
@@ -308,13 +308,3 @@ def _(t):
 )
 def _(t):
     return op.board(forecast_rows(t), [*EVENT, "k"], "exp_position")
-
-
-@query("m15_live_forecast", "series:i season:i round:i entity:i grid:i temperature:d p_win:d p_podium:d p_top10:d exp_position:d why:s", None)
-def _(t):
-    now = F.lit("2001-12-01").cast("timestamp_ntz")
-    drops = penalty_list(t).where("season = 2001").withColumn("places", F.col("penalty").try_cast("int"))
-    # The open event has no list of its own: the season's last penalties carry over to it.
-    latest = drops.groupBy("series", "entity").agg(F.max_by("places", "round").alias("places"))
-    penalties = latest.withColumns({"season": F.lit(2001), "round": F.lit(12)})
-    return live.run(t, now, penalties)

@@ -38,8 +38,8 @@ def whole(t: Tables) -> DataFrame:
 
 
 # -- the same in SQL: one system of equations per (date, variant), solved by elimination -------------
-def system_ctes(p: str, src: str, variants: Mapping[str, Variant], label: str, gain: str | None = None, scored: str | None = None) -> None:
-    """``{p}_scores``: out-of-sample scores (method) of the variants on ``scored`` (default ``src``)."""
+def system_ctes(p: str, src: str, variants: Mapping[str, Variant], label: str, gain: str | None = None, scored: str | None = None, dates: str = "oos_dates") -> None:
+    """``{p}_scores``: out-of-sample scores (method) of the variants on ``scored`` (default ``src``); a model for each of ``dates``."""
     features = list(dict.fromkeys(f for v in variants.values() for f in v.features))
     n = len(features)
     inputs = ", ".join(f"coalesce(CAST({f} AS DOUBLE), avg({f}) OVER ev, 0)" for f in features)
@@ -58,7 +58,7 @@ def system_ctes(p: str, src: str, variants: Mapping[str, Variant], label: str, g
     share = "CASE WHEN recency IS NULL THEN 1 ELSE greatest(pow(recency, -(k.latest - a.season) / 2.0), 0.15) END"
     rows = ", ".join(f"('{m}', {v.ridge}, {'NULL' if v.recency is None else v.recency}, [{', '.join(str(features.index(f) + 1) for f in v.features)}])" for m, v in variants.items())
     cte(f"{p}_v", f"SELECT method, ridge, CAST(recency AS DOUBLE) AS recency, has FROM (VALUES {rows}) v(method, ridge, recency, has)")
-    cte(f"{p}_k", f"SELECT key, cutoff, latest, recency FROM oos_dates, (SELECT DISTINCT recency FROM {p}_v)")
+    cte(f"{p}_k", f"SELECT key, cutoff, latest, recency FROM {dates}, (SELECT DISTINCT recency FROM {p}_v)")
     cte(f"{p}_s", f"SELECT key, recency, i, j, sum({share} * v) AS v FROM {p}_k k JOIN {p}_w a ON a.race_date < k.cutoff GROUP BY ALL")
     cte(f"{p}_all", f"SELECT key, recency, sum({share} * v) AS total FROM {p}_k k JOIN {p}_n a ON a.race_date < k.cutoff GROUP BY ALL")
     cte(f"{p}_m", f"""SELECT key, method, i, j, CASE WHEN NOT list_contains(has, i) THEN CAST(i = j AS INT)::DOUBLE WHEN j <= {n} AND NOT list_contains(has, j) THEN 0.0

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Sequence
+from datetime import timedelta
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Row, Window as W, functions as F
@@ -91,18 +92,20 @@ def solve_cutoffs(sums: Sequence[Row], cutoffs: Sequence, n: int, recency: float
 def oos_scores(
     df: DataFrame, targets: DataFrame, features: Sequence[str], label: str, recency: float | None = None, top: int | None = None,
     ridge: float = 0.0, every: int = 1, least: int = MIN_TRAIN_EVENTS, date: str = DATE, varied: DataFrame | None = None,
+    sums: list[Row] | None = None,
 ) -> DataFrame:
     """Out-of-sample scores of the target events: each is scored by a model of strictly earlier dates, whatever the series.
 
     Training pools all series by event date, so series with other calendars never lend a later event. A target needs
     ``least`` earlier dates. The normal equations are sums over events: one pass gathers them per date, running sums
     give every cut-off's, and one pass scores all events. ``varied``: rows to score instead of ``df``'s (as many
-    versions of an event as its column ``method`` names)."""
+    versions of an event as its column ``method`` names). ``sums``: ``df``'s ``event_sums`` where they are known."""
     rk.require(df, [label, date, *features])
     dates = [r[0] for r in df.select(date).distinct().collect()]
     wanted = [r[0] for r in df.join(targets.select(*EVENT).distinct(), EVENT, "left_semi").select(date).distinct().collect()]
     plan = refit_plan(dates, wanted, every, least)
-    fits = solve_cutoffs(event_sums(df, features, label, date, top), list(plan.values()), len(features), recency, ridge, date)
+    sums = event_sums(df, features, label, date, top) if sums is None else sums
+    fits = solve_cutoffs(sums, list(plan.values()), len(features), recency, ridge, date)
     spark = df.sparkSession
     kind = df.schema[date].dataType.simpleString()
     rows = [(t, c, [float(x) for x in fits[c]]) for t, c in plan.items() if c in fits]
@@ -120,6 +123,21 @@ def oos_scores(
     return d.withColumn("score", (F.col("_raw") - F.avg("_raw").over(w)) / F.when(sd > 1e-9, sd).otherwise(1.0)).drop("_c", "_raw")
 
 
+def fitted(
+    df: DataFrame, features: Sequence[str], label: str, recency: float | None = None, top: int | None = None, ridge: float = 0.0,
+    least: int = MIN_TRAIN_EVENTS, date: str = DATE, sums: list[Row] | None = None,
+) -> rk.Ranker:
+    """The model of all of the frame's events: that of a cut-off after its last date. Fewer than ``least`` dates are refused.
+    ``sums``: the frame's ``event_sums`` where they are known."""
+    rk.require(df, [label, date, *features])
+    sums = event_sums(df, features, label, date, top) if sums is None else sums
+    dates = {r[date] for r in sums}
+    if len(dates) < least:
+        raise LookupError(f"{len(dates)} dates to train on, {least} needed")
+    cutoff = max(dates) + timedelta(days=1)
+    return rk.Ranker(tuple(features), (tuple(float(c) for c in solve_cutoffs(sums, [cutoff], len(features), recency, ridge, date)[cutoff]),))
+
+
 def eligible(df: DataFrame, least: int = MIN_TRAIN_EVENTS, date: str = DATE) -> DataFrame:
     """Events with at least ``least`` earlier dates in the frame."""
     dates = sorted(r[0] for r in df.select(date).distinct().collect())

@@ -291,12 +291,12 @@ def frame(t: Tables, results: DataFrame | None = None, upcoming: bool = True, to
     return add_outcomes(event_sequence(base.repartition("series"), ["series"], ["season", "round"]))
 
 
-def build(t: Tables, upcoming: bool = True, stat: str = "median", results: DataFrame | None = None) -> DataFrame:
+def build(t: Tables, upcoming: bool = True, stat: str = "median", results: DataFrame | None = None, today: Column | None = None) -> DataFrame:
     """The whole feature table, from landed results so that no source is read twice.
 
     The joined frame is stored before the windows: they then run over one scan, and neither
     half is planned again while the other's stages finish."""
-    return add_all(cut(frame(t.landed("calendar", "standings"), results, upcoming)), stat)
+    return add_all(cut(frame(t.landed("calendar", "standings"), results, upcoming, today)), stat)
 
 
 ALL_FEATURES = list(dict.fromkeys([*RACE_FEATURES, *QUALI_FEATURES, "drv_avg_grid_5", "quali_gap_to_teammate_pct"]))

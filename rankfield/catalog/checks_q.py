@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from ..operators import checks as op
@@ -153,3 +155,23 @@ def _(t):
     d = damaged(t)
     d.log = d.log.drop(*EVENT)
     return op.findings(d, F.lit(TODAY).cast("date"))
+
+
+# Both find nothing in the tables above, so each has its own damage.
+@query("l1_planted_empty", SPEC, """SELECT NULL AS series, NULL AS season, NULL AS round, 'qualifying' AS detail WHERE (SELECT count(*) FROM contest WHERE quali_position > 30) = 0
+  UNION ALL SELECT NULL, NULL, NULL, 'drivers' WHERE (SELECT count(*) FROM driversd WHERE season < 1990) = 0
+  UNION ALL SELECT NULL, NULL, NULL, 'results' WHERE (SELECT count(*) FROM resultsd) = 0""")
+def _(t):
+    """Two of the tables lose all their rows."""
+    d = damaged(t)
+    return op.tables_populated(replace(d, qualifying=d.qualifying.where("quali_position > 30"), drivers=d.drivers.where("season < 1990")))
+
+
+@query("l15_planted_late_practice", SPEC, """SELECT series, season, round, concat_ws(':', entity, session) AS detail FROM session_pace p JOIN (SELECT series, season, round, race_start FROM racesd) r USING (series, season, round)
+  WHERE session_start + CASE WHEN (season * 12 + round + entity) % 43 = 0 THEN INTERVAL 20 DAY ELSE INTERVAL 0 DAY END > race_start""")
+def _(t):
+    """Some sessions dated twenty days late."""
+    d = damaged(t)
+    late = (F.col("season") * 12 + F.col("round") + F.col("entity")) % 43 == 0
+    moved = F.when(late, F.col("session_start") + F.expr("INTERVAL 20 DAY")).otherwise(F.col("session_start"))
+    return op.practice_predates_race(replace(d, pace=d.pace.withColumn("session_start", moved)))

@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..constants import EXPLANATION_GROUPS, GROUP_LABELS, QUALI_FEATURES, RACE_FEATURES
-from ..plans import live
+from ..constants import DEFAULTS, EXPLANATION_GROUPS, GROUP_LABELS, PENALTY_GAP, QUALI_FEATURES, RACE_FEATURES
+from ..operators import ranker as rk
+from ..plans import evaluate as ev, live
 from ..plans.variants import Variant
 from ..sources.contest import Tables
-from .evaluate_q import losses_sql
+from .evaluate_q import EV2, losses_sql
 from .landing_q import penalty_list
 from .projection_q import WEEKEND
 from .registry import query
 from .sqlbase import cte, exact_sql
-from .variants_q import score_ctes, system_ctes
+from .variants_q import score_ctes, system_ctes, whole
 
 SPEC = """series:i season:i round:i version:s stage:s entity:i start_source:s grid:i held:b temperature:d quali_temperature:d p_win:d p_podium:d p_top5:d
   p_top10:d exp_position:d q_p_win:d q_p_podium:d q_exp_position:d season_strength:d why:s"""
@@ -141,3 +142,25 @@ cte("live_last", "SELECT * FROM live_known WHERE position IS NOT NULL AND race_d
 def _(t):
     """The last events forecast again as they stood with a grid, with practice and with neither, in one plan."""
     return live.replay(t, carried(t, 2001, 11))
+
+
+# -- F5: the whole model's reasons for every result ------------------------------------------------------
+_INPUTS = "[" + ", ".join(f"coalesce(CAST({f} AS DOUBLE), avg({f}) OVER ev, 0)" for f in RACE_FEATURES) + "]"
+cte("full_raw", f"""SELECT *, list_dot_product(x, c) AS raw FROM (SELECT series, race_seq, entity, grid, quali_position, {_INPUTS} AS x FROM whole_run WINDOW ev AS (PARTITION BY series, race_seq))
+  JOIN (SELECT c FROM lvr_g WHERE key = DATE '2001-12-28') ON true""")
+cte("full_parts", f"""SELECT series, race_seq, entity, grid, quali_position, {_NAMES}[i] AS f, c[i] * (x[i] - avg(x[i]) OVER (PARTITION BY series, race_seq, i)) / sd AS part FROM
+  (SELECT *, CASE WHEN stddev_pop(raw) OVER w > 1e-9 THEN stddev_pop(raw) OVER w ELSE 1 END AS sd FROM full_raw WINDOW w AS (PARTITION BY series, race_seq)), unnest(range(1, {len(RACE_FEATURES) + 1})) u(i)""")
+_IDS = ", ".join(f"('{f}', '{g}')" for f, g in EXPLANATION_GROUPS.items())
+
+
+@query("f5_full_groups", "series:i race_seq:i entity:i group:s contribution:d", f"""SELECT series, race_seq, entity,
+  CASE WHEN f = 'quali_position' AND coalesce(abs(grid - quali_position) >= 3, false) THEN 'one_lap_pace' ELSE g END AS "group", sum(part) AS contribution
+  FROM full_parts JOIN (VALUES {_IDS}) v(f, g) USING (f) GROUP BY ALL""")
+def _(t):
+    """Contributions of all 27 inputs by group; a grid pulled away from qualifying hands the qualifying position to pace."""
+    d = whole(t)
+    keys = [*EV2, "entity"]
+    model = ev.fitted(d, RACE_FEATURES, "race_relevance", DEFAULTS["recency"], None, live.RIDGE)
+    long = model.contributions(d).join(d.select(*keys, "grid", "quali_position"), keys)
+    apart = F.coalesce(F.abs(F.col("grid") - F.col("quali_position")) >= PENALTY_GAP, F.lit(False))
+    return rk.grouped_contributions(long, EXPLANATION_GROUPS, keys, apart)

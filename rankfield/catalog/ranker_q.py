@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..constants import EXPLANATION_GROUPS, GROUP_LABELS, PENALTY_GAP
 from ..operators import ranker as op
-from ..plans import features as ft
+from ..plans import evaluate as ev, features as ft
 from ..session import cut
 from ..sources.contest import EVENT, Tables
 from .registry import query
@@ -147,5 +147,5 @@ def _(t):
 
 @query("f_full_model", "series:i race_seq:i entity:i score:d", None)
 def _(t):
-    d = cut(op.recency_weights(ft.build(t, upcoming=False), 2.0, latest_season(t.outcomes)))
-    return op.train(d, ft.RACE_FEATURES, "race_relevance", top=8, ridge=0.01).score(d)
+    d = cut(dated(ft.build(t, upcoming=False)))
+    return ev.fitted(d, ft.RACE_FEATURES, "race_relevance", 2.0, 8, 0.01).score(d)

@@ -36,6 +36,27 @@ def _(t):
     return op.integrity_problems(t.contest, ["series"], ["season", "round"], "entity", "race_seq")
 
 
+cte("e0_broken", """SELECT * REPLACE (race_seq - CASE WHEN (season * 12 + round + series) % 13 = 0 THEN 2 ELSE 0 END AS race_seq) FROM contest
+  UNION ALL SELECT * FROM contest WHERE (season * 12 + round + entity) % 97 = 0""")
+
+
+@query(
+    "e0_planted_problems",
+    "series:i season:i round:i problem:s",
+    """SELECT series, season, round, 'duplicate key' AS problem FROM
+      (SELECT series, season, round, entity FROM e0_broken GROUP BY ALL HAVING count(*) > 1)
+      UNION ALL SELECT series, season, round, 'sequence not increasing' FROM
+      (SELECT *, lag(hi) OVER (PARTITION BY series ORDER BY season, round) p FROM
+       (SELECT series, season, round, min(race_seq) lo, max(race_seq) hi FROM e0_broken GROUP BY ALL)) WHERE lo <> hi OR lo <= p""",
+)
+def _(t):
+    """Rows landed twice, and events numbered behind earlier ones."""
+    off = F.when((F.col("season") * 12 + F.col("round") + F.col("series")) % 13 == 0, 2).otherwise(0)
+    twice = t.contest.where((F.col("season") * 12 + F.col("round") + F.col("entity")) % 97 == 0)
+    broken = t.contest.withColumn("race_seq", F.col("race_seq") - off).unionByName(twice)
+    return op.integrity_problems(broken, ["series"], ["season", "round"], "entity", "race_seq")
+
+
 @query(
     "e1_prior_rolling",
     ROW + "drv_avg_grid_5:d drv_points_rate_5:d drv_dnf_rate_10:d",

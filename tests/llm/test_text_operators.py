@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -123,6 +124,27 @@ def test_dedup_matches_every_window(docs, local, block_rows):
     assert by_row(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(want, key=repr)
 
 
+def test_a_text_that_ends_in_nul_bytes_parts_no_repeats():
+    short, long = b"abc\0", b"abc\0\0\0"
+    for right in ([long, short, long], [short, long, long], [long, long, short]):
+        found = suffix_dedup.repeated_offsets(np.zeros(3, int), [b"x", b"y", b"z"], right, 6, 3)
+        assert found[:, 0].tolist() == [r == long for r in right] and not found[:, 1:].any()
+
+
+def test_dedup_of_texts_with_nul_bytes_matches_every_window(session):
+    draw, rows = random.Random(3), []
+    for _ in range(12):
+        body = "".join(draw.choice("abcdefgh") for _ in range(120))
+        ends = ["\0" * 30, "\0" * 30, "\0" * 10, "\0" * 50, ""]
+        draw.shuffle(ends)
+        rows += [(len(rows) + i, draw.choice("xyz") * (1 + i) + body + end) for i, end in enumerate(ends)]
+        rows += [(len(rows) + i, end + body + draw.choice("xyz") * (1 + i)) for i, end in enumerate(ends)]
+    count = Counter(t[k : k + 80] for _, t in rows for k in range(len(t) - 79))
+    want = [(i, sum(any(count[t[k : k + 80]] > 1 for k in range(max(0, j - 79), min(j, len(t) - 80) + 1)) for j in range(len(t)))) for i, t in rows]
+    got = suffix_dedup.dedup(session.createDataFrame(rows, "doc_id long, text string").repartition(3), length=80, gram=16)
+    assert by_row(got, "doc_id", "n_removed") == sorted(want, key=repr)
+
+
 # -- language model ------------------------------------------------------------------------------
 @pytest.mark.parametrize("order", [1, 2, 3])
 def test_scores_match_the_formula(docs, local, order):

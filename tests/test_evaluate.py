@@ -49,6 +49,18 @@ def test_series_with_shifted_calendars_lend_no_later_event(spark):
     assert out.where("series = 1").agg(F.min("race_seq")).first()[0] == 6
 
 
+def test_sums_come_one_row_per_date_from_any_number_of_tasks(spark):
+    import numpy as np
+
+    d = _field(spark, n=6).withColumn("y", F.col("x") * F.col("race_seq")).unionByName(_field(spark, n=6, series=1).withColumn("y", F.col("x") - 1.0))
+    few, many = (ev.event_sums(d.repartition(n, "series", "race_seq"), ("x", "y"), "label") for n in (1, 7))
+    assert len(few) == len(many) == 6
+    for a, b in zip(sorted(few, key=lambda r: r.race_date), sorted(many, key=lambda r: r.race_date)):
+        assert (a.season, a.race_date) == (b.season, b.race_date) and abs(a.w - b.w) < 1e-9
+        assert np.allclose(a.xx, b.xx) and np.allclose(a.xy, b.xy) and len(a.xx) == 3 and len(a.xy) == 2
+    assert ev.event_sums(d.where("x > 99"), ("x", "y"), "label") == []
+
+
 def test_normal_equations_match_the_fitted_ranker(spark):
     d = _field(spark, n=32).withColumns({"y": F.hash("entity", "race_seq") % 7 * 1.0, "weight": F.lit(1.0)})
     sums = ev.event_sums(d, ("x", "y"), "label")

@@ -44,6 +44,16 @@ def test_temperature_prefers_sharp_when_favourites_win(spark):
     assert rolling[9] == 0.7 and rolling[10] == 0.05
 
 
+def test_trailing_temperatures_are_those_of_the_losses_event_by_event(spark):
+    rows = [(s, e, m, f"e{i}", ((i * 7 + e * 3 + s) % 5) / 3.0, None if e == 4 else float((i * (2 + e % 3) + s) % 6)) for s in (0, 1) for e in range(30) for m in ("a", "b") for i in range(6)]
+    d = spark.createDataFrame(rows, "series int, race_seq int, method string, entity string, score double, place double")
+    by, event = ["series", "method"], [*E, "method"]
+    for depth in (1, 3):
+        want = op.rolling_temperature(op.temperature_losses(d, "score", "place", depth, event=event), by, "race_seq", 0.7)
+        got = op.trailing_temperature(d, "score", "place", by, "race_seq", 0.7, depth, event)
+        assert sorted(map(tuple, got.select(*by, "race_seq", "temperature", "n").collect())) == sorted(map(tuple, want.select(*by, "race_seq", "temperature", "n").collect()))
+
+
 def test_depth_uses_the_field_still_running(spark):
     d = field(spark, [2.0, 1.0, 0.0])
     got = op.temperature_losses(d, "score", "place", 2, [1.0]).first().loss

@@ -132,3 +132,29 @@ def test_a_planted_leak_turns_the_audit_red(spark, small):
     assert leaks[0].before > 0 and [r.after > 0 for k, r in one.items() if k[0] == "tamper" and k[2] == "drv_avg_finish_3"] == [True]
     assert {r.audit: r.status for r in audit.leakage_status(found, ("audit",)).collect()} == {"tamper": "FAIL", "truncate": "PASS"}
     assert len({k[1] for k in one if k[0] == "truncate"}) == 3
+
+
+def test_correlations_rank_each_pair_among_the_rows_that_have_both(spark):
+    import random
+
+    import numpy as np
+
+    draw = random.Random(5)
+    rows = [(float(i % 9), None if i % 4 == 0 else draw.gauss(0, 1) + i % 9, None if i % 4 == 0 else -float(i % 3), None if i % 5 == 1 else draw.gauss(0, 0.1) + i % 9) for i in range(200)]
+    names = ("p", "q", "r", "s")
+    d = spark.createDataFrame(rows, "p double, q double, r double, s double").repartition(3)
+    assert set(ev.null_classes(d, names).values()) == {"p", "q", "s"}
+
+    def ranks(v):
+        return np.array([sum(w < x for w in v) + (sum(w == x for w in v) + 1) / 2 for x in v])
+
+    want = {}
+    for i, a in enumerate(names):
+        for j, b in list(enumerate(names))[i + 1 :]:
+            both = [(r[i], r[j]) for r in rows if r[i] is not None and r[j] is not None]
+            want[a, b] = (np.corrcoef(*(ranks(v) for v in zip(*both)))[0, 1], len(both))
+    got = {(r.a, r.b): (r.rho, r.n) for r in ev.feature_correlation(d, names, 0.0).collect()}
+    assert set(got) == set(want)
+    assert all(abs(got[k][0] - want[k][0]) < 1e-9 and got[k][1] == want[k][1] for k in want)
+    large = ev.feature_correlation(d, names, 0.8)
+    assert {(r.a, r.b) for r in large.collect()} == {k for k, v in want.items() if abs(v[0]) >= 0.8}
